@@ -59,8 +59,8 @@ def _(d):
 @query("delta_e_2000", f"""WITH pairs AS (SELECT reading_id, l AS l1, a AS a1, b AS b1, 100 - l AS l2, b AS a2, -a AS b2 FROM readings),
     {delta_e('pairs', 'reading_id')} SELECT reading_id, delta_e FROM de""")
 def _(d):
-    l, a, b = [F.col(c) for c in LAB]
-    return d.readings().select("reading_id", F.round(C.delta_e_2000(l, a, b, F.lit(100.0) - l, b, -a), 6).alias("delta_e"))
+    r = d.readings().select("reading_id", *LAB, (F.lit(100.0) - F.col("l")).alias("l2"), F.col("b").alias("a2"), (-F.col("a")).alias("b2"))
+    return C.with_delta_e(r, LAB, ("l2", "a2", "b2"), "d").select("reading_id", F.round("d", 6).alias("delta_e"))
 
 
 @query("hex_functions", """SELECT p_partkey, lpad(hex(p_partkey * 7919 % 16777216), 6, '0') AS hex, (p_partkey * 7919 % 16777216 // 65536)::INT AS r,

@@ -1 +1,111 @@
+"""Folder import over the documents: each is a photo with its text as recognised text and as content."""
 
+from pyspark.sql import functions as F
+
+from checks import sqltext as S
+from checks.base import Data, query
+from tintshelf.operators import imports as I
+from tintshelf.plans.flows import folder_import
+
+_MARK = "coalesce(hashed, '')"
+_NAMED = "(doc_id || '')"
+
+# Proposals: the text cascade first, then the file name (three or four digits make a number code).
+PROPOSED = f"""texts AS (SELECT doc_id, text, {S.hash_code('text')} AS hashed, {S.before_hash('text', 'first')} AS lined FROM documents),
+    {S.style_code_cte('documents', 'doc_id')},
+    votes AS (SELECT doc_id, CASE WHEN {S.effective(_MARK, 'first')} THEN hashed END AS a, nullif(coalesce(code, ''), '') AS b, nullif(lined, '') AS c,
+      CASE WHEN length({_NAMED}) IN (3, 4) THEN {_NAMED} END AS n FROM texts JOIN coded USING (doc_id)),
+    found AS (SELECT f.*, coalesce({{order}}, '') AS found_code, CASE {{sources}} ELSE '' END AS found_source FROM import_files f JOIN votes USING (doc_id)),
+    cleaned AS (SELECT *, {S.clean('found_code', 'first')} AS proposed_style_code FROM found),
+    proposed AS (SELECT *, CASE WHEN regexp_matches(proposed_style_code, '^[A-Z0-9][A-Z0-9_-]{{{{2,}}}}$') THEN 'ok' WHEN found_code <> '' THEN 'invalid_style_code' ELSE 'ocr_failed' END AS status,
+      CASE WHEN found_code = '' THEN {_NAMED} ELSE coalesce(nullif({S.safe(S.rep(S.rep('found_code', '(?s)[#＃].*$'), '[*+]+', '-'))}, ''), 'UNKNOWN') END AS prefix FROM cleaned)"""
+_ORDERS = {
+    "text_first": ("a, b, c, n", "WHEN a IS NOT NULL THEN 'normal' WHEN b IS NOT NULL THEN 'prefixed_fallback' WHEN c IS NOT NULL THEN 'hash_prefix' WHEN n IS NOT NULL THEN 'filename'"),
+    "filename_first": ("n, a, b, c", "WHEN n IS NOT NULL THEN 'filename' WHEN a IS NOT NULL THEN 'normal' WHEN b IS NOT NULL THEN 'prefixed_fallback' WHEN c IS NOT NULL THEN 'hash_prefix'"),
+}
+
+
+def proposed(mode: str) -> str:
+    order, sources = _ORDERS[mode]
+    return PROPOSED.replace("{order}", order).replace("{sources}", sources).replace("{{2,}}", "{2,}")
+
+
+NAMED = """used AS (SELECT lower(doc_id::VARCHAR) AS fold, max(n) + 1 AS start FROM existing_names GROUP BY ALL),
+    numbered AS (SELECT p.*, coalesce(start, 0) + row_number() OVER (PARTITION BY lower(prefix) ORDER BY source_rel_path) - 1 AS n FROM proposed p LEFT JOIN used ON fold = lower(prefix)),
+    allocated AS (SELECT *, prefix || '_' || CASE WHEN n < 1000 THEN printf('%03d', n) ELSE n::VARCHAR END || '.jpg' AS proposed_filename, sha256(text) AS hash FROM numbered)"""
+KEPT = """kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY source_rel_path) AS nth FROM allocated WHERE status = 'ok')
+      WHERE nth = 1 AND hash NOT IN (SELECT hash FROM hash_index)),
+    manifest AS (SELECT source_rel_path, proposed_filename AS image_name, regexp_replace(regexp_replace(regexp_replace(proposed_filename, '[.][^.]+$', ''), '(_[0-9]{3})+$', ''), '_[^_]*$', '') AS style_code,
+      'year:2024|category:' || lang || '|subcategory:' || source AS tags FROM kept)"""
+FLOW = f"WITH {proposed('text_first')}, {NAMED}, {KEPT}"
+
+
+def _hashed(d: Data):
+    return I.with_content_hash(d.import_files()).drop("content")
+
+
+def _propose(d, mode):
+    return I.propose_codes(_hashed(d), mode).select(
+        "source_rel_path", "proposed_style_code", "prefix", "status", "source", F.array_join("tags", "|").alias("tags")
+    )
+
+
+_COLUMNS = "source_rel_path, proposed_style_code, prefix, status, found_source AS source, 'year:2024|category:' || lang || '|subcategory:' || source AS tags"
+
+
+@query("propose_codes", f"WITH {proposed('text_first')} SELECT {_COLUMNS} FROM proposed")
+def _(d):
+    return _propose(d, "text_first")
+
+
+@query("propose_codes_filename_first", f"WITH {proposed('filename_first')} SELECT {_COLUMNS} FROM proposed")
+def _(d):
+    return _propose(d, "filename_first")
+
+
+@query("allocate_names", f"WITH {proposed('text_first')}, {NAMED} SELECT source_rel_path, proposed_filename FROM allocated")
+def _(d):
+    named = I.allocate_names(I.propose_codes(_hashed(d)), d.existing_names())
+    return named.select("source_rel_path", "proposed_filename")
+
+
+@query("dedup_by_content", """SELECT sha256(text) AS hash, min(source_rel_path) AS source_rel_path FROM import_files
+    GROUP BY 1 HAVING sha256(text) NOT IN (SELECT hash FROM hash_index)""".replace("HAVING sha256(text)", "HAVING sha256(any_value(text))"))
+def _(d):
+    files = _hashed(d).select("hash", F.expr("substring(path, length(root) + 2)").alias("source_rel_path"))
+    return I.dedup_by_content(files, d.hash_index())
+
+
+@query("import_manifest", f"{FLOW} SELECT source_rel_path, image_name, style_code, tags FROM manifest")
+def _(d):
+    manifest, _summary = folder_import(d.import_files(), d.existing_names(), d.hash_index())
+    return manifest.select("source_rel_path", "image_name", "style_code", F.array_join("tags", "|").alias("tags"))
+
+
+@query("import_summary", f"""{FLOW} SELECT (SELECT count(*) FROM manifest) AS imported,
+    (SELECT count(*) FROM allocated WHERE status = 'ok') - (SELECT count(*) FROM manifest) AS duplicates, (SELECT count(*) FROM allocated WHERE status <> 'ok') AS failed""")
+def _(d):
+    return folder_import(d.import_files(), d.existing_names(), d.hash_index())[1]
+
+
+@query("apply_manifest", f"""{FLOW}, added AS (SELECT DISTINCT style_code, unnest(string_split(tags, '|')) AS tag FROM manifest WHERE style_code <> '')
+    SELECT style_code, tag FROM product_tags UNION SELECT style_code, tag FROM added""")
+def _(d):
+    manifest, _summary = folder_import(d.import_files(), d.existing_names(), d.hash_index())
+    return I.apply_manifest(d.catalog(), manifest)[0].product_tags
+
+
+@query("scan_progress", """WITH o AS (SELECT lang, doc_id, source, CASE WHEN n_chars % 7 = 0 THEN 'renamed' WHEN n_chars % 5 = 0 THEN 'failed' ELSE 'success' END AS outcome,
+      lpad(doc_id::VARCHAR, 9, '0') AS path FROM documents),
+    r AS (SELECT *, row_number() OVER w AS processed, sum((outcome = 'success')::INT) OVER w AS success, sum((outcome = 'failed')::INT) OVER w AS failed FROM o WHERE outcome <> 'renamed'
+      WINDOW w AS (PARTITION BY lang ORDER BY path)),
+    t AS (SELECT lang, sum((outcome <> 'renamed')::INT) AS total, sum((outcome = 'renamed')::INT) AS already_renamed FROM o GROUP BY lang)
+    SELECT lang AS job_id, processed, total::BIGINT AS total, success::BIGINT AS success, failed::BIGINT AS failed, already_renamed::BIGINT AS already_renamed FROM r JOIN t USING (lang)
+    WHERE processed = 1 OR processed % 50 = 0 OR processed = total""")
+def _(d):
+    n = F.col("n_chars")
+    outcome = F.when(n % 7 == 0, "renamed").when(n % 5 == 0, "failed").otherwise("success")
+    files = d.table("documents").select(
+        F.col("lang").alias("job_id"), F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("source_rel_path"), outcome.alias("outcome")
+    )
+    return I.scan_progress(files)

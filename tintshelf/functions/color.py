@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # ---- fixed values: CIE / sRGB constants (D65) ------------------------------------------------------
@@ -55,42 +55,64 @@ def _hue(ap: Column, b: Column) -> Column:
     return F.when((ap == 0) & (b == 0), F.lit(0.0)).when(deg < 0, deg + 360).otherwise(deg)
 
 
-def delta_e_2000(l1: Column, a1: Column, b1: Column, l2: Column, a2: Column, b2: Column) -> Column:
-    """CIEDE2000 colour difference (published formula, kL = kC = kH = 1)."""
-    def chroma(a: Column, b: Column) -> Column:
-        return F.sqrt(a * a + b * b)
-
-    g = (F.lit(1.0) - _chroma_weight((chroma(a1, b1) + chroma(a2, b2)) / 2)) * 0.5
-    p1, p2 = a1 * (g + 1), a2 * (g + 1)
-    c1, c2 = chroma(p1, b1), chroma(p2, b2)
-    h1, h2 = _hue(p1, b1), _hue(p2, b2)
-    flat = (c1 * c2) == 0
-    gap, total = h2 - h1, h1 + h2
-    dh = (
-        F.when(flat, F.lit(0.0)).when(F.abs(gap) <= 180, gap).when(gap <= 0, gap + 360).otherwise(gap - 360)
-    )
-    hm = (
-        F.when(flat, total)
-        .when(F.abs(gap) <= 180, total / 2)
-        .when(total < 360, (total + 360) / 2)
-        .otherwise((total - 360) / 2)
-    )
-    lm, cm = (l1 + l2) / 2, (c1 + c2) / 2
-
+def _delta_e_stages():
+    """CIEDE2000 (published formula, kL = kC = kH = 1) as stages; each names values the later ones reuse."""
     def cosd(x: Column) -> Column:
         return F.cos(F.radians(x))
 
-    t = (
-        F.lit(1.0) - cosd(hm - 30) * 0.17 + cosd(hm * 2) * 0.24 + cosd(hm * 3 + 6) * 0.32 - cosd(hm * 4 - 63) * 0.20
-    )
-    off = F.pow(lm - 50, F.lit(2.0))
-    dl = (l2 - l1) / (F.lit(1.0) + off * 0.015 / F.sqrt(off + 20))
-    dc = (c2 - c1) / (F.lit(1.0) + cm * 0.045)
-    dhh = F.sqrt(c1 * c2) * F.sin(F.radians(dh / 2)) * 2 / (F.lit(1.0) + cm * t * 0.015)
-    theta = F.exp(-F.pow((hm - 275) / 25, F.lit(2.0))) * 30
-    rt = -F.sin(F.radians(theta * 2)) * _chroma_weight(cm) * 2
-    # The quadratic form is non-negative; greatest() only guards against -0 from rounding.
-    return F.sqrt(F.greatest(dl * dl + dc * dc + dhh * dhh + rt * dc * dhh, F.lit(0.0)))
+    def spread(v):
+        return F.pow(v["lm"] - 50, F.lit(2.0))
+
+    yield {"g": lambda v: (F.lit(1.0) - _chroma_weight(
+        (F.sqrt(v["a1"] * v["a1"] + v["b1"] * v["b1"]) + F.sqrt(v["a2"] * v["a2"] + v["b2"] * v["b2"])) / 2)) * 0.5 + 1}
+    yield {"p1": lambda v: v["a1"] * v["g"], "p2": lambda v: v["a2"] * v["g"]}
+    yield {
+        "c1": lambda v: F.sqrt(v["p1"] * v["p1"] + v["b1"] * v["b1"]),
+        "c2": lambda v: F.sqrt(v["p2"] * v["p2"] + v["b2"] * v["b2"]),
+        "h1": lambda v: _hue(v["p1"], v["b1"]), "h2": lambda v: _hue(v["p2"], v["b2"]),
+    }
+    yield {
+        "flat": lambda v: (v["c1"] * v["c2"]) == 0, "gap": lambda v: v["h2"] - v["h1"],
+        "total": lambda v: v["h1"] + v["h2"], "lm": lambda v: (v["l1"] + v["l2"]) / 2, "cm": lambda v: (v["c1"] + v["c2"]) / 2,
+    }
+    yield {
+        "dh": lambda v: F.when(v["flat"], 0.0).when(F.abs(v["gap"]) <= 180, v["gap"])
+        .when(v["gap"] <= 0, v["gap"] + 360).otherwise(v["gap"] - 360),
+        "hm": lambda v: F.when(v["flat"], v["total"]).when(F.abs(v["gap"]) <= 180, v["total"] / 2)
+        .when(v["total"] < 360, (v["total"] + 360) / 2).otherwise((v["total"] - 360) / 2),
+    }
+    yield {
+        "dl": lambda v: (v["l2"] - v["l1"]) / (F.lit(1.0) + spread(v) * 0.015 / F.sqrt(spread(v) + 20)),
+        "dc": lambda v: (v["c2"] - v["c1"]) / (F.lit(1.0) + v["cm"] * 0.045),
+        "t": lambda v: F.lit(1.0) - cosd(v["hm"] - 30) * 0.17 + cosd(v["hm"] * 2) * 0.24
+        + cosd(v["hm"] * 3 + 6) * 0.32 - cosd(v["hm"] * 4 - 63) * 0.20,
+        "rt": lambda v: -F.sin(F.radians(F.exp(-F.pow((v["hm"] - 275) / 25, F.lit(2.0))) * 60)) * _chroma_weight(v["cm"]) * 2,
+    }
+    yield {"dhh": lambda v: F.sqrt(v["c1"] * v["c2"]) * F.sin(F.radians(v["dh"] / 2)) * 2 / (F.lit(1.0) + v["cm"] * v["t"] * 0.015)}
+    # The quadratic form is non-negative; greatest() only guards against rounding below 0.
+    yield {"de": lambda v: F.sqrt(F.greatest(
+        v["dl"] * v["dl"] + v["dc"] * v["dc"] + v["dhh"] * v["dhh"] + v["rt"] * v["dc"] * v["dhh"], F.lit(0.0)))}
+
+
+_DE_INPUTS = ("l1", "a1", "b1", "l2", "a2", "b2")
+
+
+def delta_e_2000(l1: Column, a1: Column, b1: Column, l2: Column, a2: Column, b2: Column) -> Column:
+    """CIEDE2000 difference as one expression. Over many rows ``with_delta_e`` is far cheaper."""
+    v = dict(zip(_DE_INPUTS, (l1, a1, b1, l2, a2, b2)))
+    for stage in _delta_e_stages():
+        v.update({name: fn(v) for name, fn in stage.items()})
+    return v["de"]
+
+
+def with_delta_e(df: DataFrame, first: tuple[str, str, str], second: tuple[str, str, str], name: str = "delta_e_00") -> DataFrame:
+    """Add the CIEDE2000 difference of two Lab column triples, one projection per stage so nothing is computed twice."""
+    v = {k: F.col(c) for k, c in zip(_DE_INPUTS, (*first, *second))}
+    columns = df.columns
+    for stage in _delta_e_stages():
+        df = df.select("*", *[fn(v).alias(f"_de_{n}") for n, fn in stage.items()])
+        v.update({n: F.col(f"_de_{n}") for n in stage})
+    return df.select(*columns, F.col("_de_de").alias(name))
 
 
 def normalize_hex(text: Column) -> Column:

@@ -26,10 +26,16 @@ PHONE_WORDS = "iphone|ipad|macbook|watch|airpods"
 BRIDGE_MODEL_WORDS = "pt|rm|cr|wr|ys|nh|3nh|fru|bn|cm"
 MIN_YEAR = 2000
 
+EFFECTIVE = r"^([A-Z][A-Z0-9_-]{2,}|\d{3,4}(-\d{1,2})?)$"
 WS = r"[\s\p{Z}]"
 LINE_BREAKS = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]"
 
 
+def let(value: Column, fn) -> Column:
+    """``fn(value)`` with ``value`` evaluated once (a lambda variable), however often ``fn`` uses it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Trim any white space at both ends."""
     return F.regexp_replace(c, rf"^{WS}+|{WS}+$", "")
@@ -56,7 +62,7 @@ def _cut_last(c: Column) -> Column:
 
 def style_code_catalog(name: Column) -> Column:
     """Catalog flavour: every trailing ``_ddd`` goes, then one more ``_part``."""
-    return _cut_last(F.regexp_replace(stem_of(name), r"(?:_\d{3})+$", ""))
+    return _cut_last(F.regexp_replace(stem_of(name), r"(?:_\d{3})++$", ""))
 
 
 def style_code_search(name: Column) -> Column:
@@ -89,7 +95,7 @@ def is_numeric_hash_code(code: Column, mode: str = "trailing") -> Column:
 
 
 def is_effective_code(code: Column, mode: str = "trailing") -> Column:
-    return clean_code(code, mode).rlike(r"^([A-Z][A-Z0-9_-]{2,}|\d{3,4}(-\d{1,2})?)$")
+    return clean_code(code, mode).rlike(EFFECTIVE)
 
 
 def is_any_code(code: Column) -> Column:
@@ -110,19 +116,29 @@ def extract_hash_code(text: Column) -> Column:
 
 
 # The cascade of extract_style_code: (pattern that finds, pattern the normalised find must match entirely).
-# Repeated groups are written one character at a time, so a failing match never backtracks exponentially.
+# Texts are searched whole and without their white space, so runs get long. Every repeated group is possessive:
+# it neither backtracks nor recurses. A find is a row of words joined by single dashes or blanks; a word that
+# runs on into other letters ends the row before it.
 _VENDOR_FIND = (
     r"\bK[FEP8][A-Z]?\d{2}[-_ ]?\d{3,4}(?:[-_ ]?\d{1,2}[A-Z]?)?\b",
     r"\bJ[C0][A-Z]?\d{2}[-_ ]?\d{3,4}(?:[-_ ]?\d{1,2}[A-Z]?)?\b",
 )
 _VENDOR_FULL = r"^(KF|JC)[A-Z]?\d{2}-?\d{3,4}(?:-?\d{1,2}[A-Z]?)?$"
+_DIGITS = r"[- ]\d(?:_?\d)*+(?!\w)"
+_DIGITS_LETTER = r"[- ]\d(?:_?\d)*+[A-Z](?!\w)"
+_MIXED = r"[- ]\d[A-Z]?(?:_?\d[A-Z]?)*+(?!\w)"
 _LATER_STEPS = (
-    (r"\b[A-Z][A-Z0-9]?\d{2,4}(?:[-_ ]?\d)+(?:[-_ ]?\d{1,2}[A-Z]?)?\b",
-     r"^[A-Z][A-Z0-9]?\d{2,4}(?:-\d{1,4})+(?:-\d{1,2}[A-Z]?)?$"),
-    (r"\b[A-Z]{1,4}(?:[-_ ]?\d[A-Z]?)+\b",
-     r"^[A-Z]{1,4}(?:-\d{1,4}[A-Z]?)+(?:-\d{1,2}[A-Z]?)?$"),
-    (r"\b[A-Z]{1,5}\d{1,4}(?:[-_ ]?[A-Z0-9])*\b",
-     r"^[A-Z]{1,5}\d{1,4}(?:-[A-Z0-9]{1,4})*$"),
+    # two-letter prefix, 2-4 digits, then digit groups, the last of which may end in a letter
+    (r"\b[A-Z][A-Z0-9]?\d{2,4}"
+     rf"(?:(?:_?\d)++(?!\w)(?:{_DIGITS})*+(?:{_DIGITS_LETTER})?|(?!\w)(?:{_DIGITS})++(?:{_DIGITS_LETTER})?"
+     r"|(?!\w)[- ]\d(?:_?\d)++[A-Z](?!\w)|(?:_?\d){2,}+[A-Z](?!\w))",
+     r"^[A-Z][A-Z0-9]?\d{2,4}(?:-\d{1,4}(?![A-Z0-9]))++(?:-\d{1,2}[A-Z])?$"),
+    # 1-4 letters, then digit groups with optional letters
+    (rf"\b[A-Z]{{1,4}}(?:(?:_?\d[A-Z]?)++(?!\w)(?:{_MIXED})*+|(?:{_MIXED})++)",
+     r"^[A-Z]{1,4}(?:-\d{1,4}[A-Z]?)++$"),
+    # 1-5 letters and a digit, then anything alphanumeric
+    (r"\b[A-Z]{1,5}\d{1,4}(?:_?[A-Z0-9])*+(?!\w)(?:[- ][A-Z0-9](?:_?[A-Z0-9])*+(?!\w))*+",
+     r"^[A-Z]{1,5}\d{1,4}(?:-[A-Z0-9]{1,4})*+$"),
 )
 _NUMBER_FULL = r"^\d{3,4}(?:-\d{1,2})?$"
 _WORD_FIND = r"\b[A-Z]{3,6}\b"
@@ -142,8 +158,18 @@ def _expand(text: Column) -> Column:
 
 def extract_style_code(text: Column, hash_suffix: bool = True) -> Column:
     """Ordered cascade of code shapes over three spellings of the text; '' when nothing fits."""
-    raw = _expand(F.coalesce(text, F.lit("")))
-    spellings = [raw, F.regexp_replace(raw, rf"{WS}+", ""), F.regexp_replace(raw, "[^A-Z0-9]+", "-")]
+    def spell(raw: Column) -> Column:
+        return F.array(raw, F.regexp_replace(raw, rf"{WS}+", ""), F.regexp_replace(raw, "[^A-Z0-9]+", "-"))
+
+    code = let(let(_expand(F.coalesce(text, F.lit(""))), spell), _cascade)
+    if hash_suffix:
+        code = F.concat(code, F.lit("#"))
+    return F.coalesce(code, F.lit(""))
+
+
+def _cascade(forms: Column) -> Column:
+    """First code in the three spellings, or null."""
+    spellings = [F.get(forms, F.lit(i)) for i in range(3)]
 
     def found(pattern: str, forms: list[Column]) -> Column:
         return F.concat(*[F.regexp_extract_all(s, F.lit(pattern), F.lit(0)) for s in forms])
@@ -165,19 +191,21 @@ def extract_style_code(text: Column, hash_suffix: bool = True) -> Column:
         number = _dashed(strip(F.substring_index(s, "#", 1)))
         steps.append(F.when(F.contains(s, F.lit("#")) & number.rlike(_NUMBER_FULL), number))
     steps.append(F.get(found(_WORD_FIND, spellings[:2]), F.lit(0)))
-    code = F.coalesce(*steps)
-    if hash_suffix:
-        code = F.concat(code, F.lit("#"))
-    return F.coalesce(code, F.lit(""))
+    return F.coalesce(*steps)
+
+
+def _if_effective(text: Column, mode: str) -> Column:
+    """The cleaned text when it is a usable code, else ''."""
+    return let(clean_code(text, mode), lambda c: F.when(c.rlike(EFFECTIVE), c).otherwise(F.lit("")))
 
 
 def code_before_hash(text: Column, mode: str = "trailing") -> Column:
     """Last non-blank line before the first hash sign, if it is a usable code; else ''."""
-    before = F.regexp_extract(text, "(?s)^([^#＃]*)[#＃]", 1)
-    ls = lines_of(before)
-    last = F.when(F.size(ls) > 0, F.element_at(ls, -1)).otherwise(before)
-    ok = text.rlike("[#＃]") & is_effective_code(last, mode)
-    return F.when(ok, clean_code(last, mode)).otherwise(F.lit(""))
+    def last_line(before: Column) -> Column:
+        return let(lines_of(before), lambda ls: F.when(F.size(ls) > 0, F.element_at(ls, -1)).otherwise(before))
+
+    last = let(F.regexp_extract(text, "(?s)^([^#＃]*)[#＃]", 1), last_line)
+    return F.when(text.rlike("[#＃]"), _if_effective(last, mode)).otherwise(F.lit(""))
 
 
 def _without_copy_mark(name: Column) -> Column:
@@ -194,19 +222,21 @@ def code_from_filename(name: Column, variant: str = "standard") -> Column:
     else:
         mode = "first"
         hashed = code_before_hash(stem, mode)
-        bare = strip(F.regexp_replace(stem, r"(?:_\d{3})+$", ""))
-    plain = F.when(is_effective_code(bare, mode), clean_code(bare, mode)).otherwise(F.lit(""))
-    code = F.when(hashed != "", hashed).otherwise(plain)
-    source = F.when(hashed != "", F.lit("filename_hash")).when(plain != "", F.lit("filename")).otherwise(F.lit(""))
-    return F.struct(code.alias("code"), source.alias("source"))
+        bare = strip(F.regexp_replace(stem, r"(?:_\d{3})++$", ""))
+    both = F.struct(hashed.alias("hashed"), _if_effective(bare, mode).alias("plain"))
+
+    def choose(t: Column) -> Column:
+        code = F.when(t["hashed"] != "", t["hashed"]).otherwise(t["plain"])
+        source = F.when(t["hashed"] != "", F.lit("filename_hash")).when(t["plain"] != "", F.lit("filename"))
+        return F.struct(code.alias("code"), F.coalesce(source, F.lit("")).alias("source"))
+
+    return let(both, choose)
 
 
 def code_from_label_lines(text: Column) -> Column:
     """First line that cleans to a code, else the whole text if it does, else ''."""
-    hit = F.get(F.filter(F.split(text, LINE_BREAKS), is_any_code), F.lit(0))
-    return F.coalesce(
-        clean_code(hit, "first"), F.when(is_any_code(text), clean_code(text, "first")), F.lit("")
-    )
+    cleaned = F.transform(F.concat(F.split(text, LINE_BREAKS), F.array(text)), lambda t: clean_code(t, "first"))
+    return F.coalesce(F.get(F.filter(cleaned, lambda c: c.rlike("^[A-Z0-9][A-Z0-9_-]{2,}$")), F.lit(0)), F.lit(""))
 
 
 def filename_prefix(code: Column, variant: str = "standard") -> Column:
@@ -281,11 +311,6 @@ def library_slug(value: Column) -> Column:
     )
 
 
-def let(value: Column, fn) -> Column:
-    """``fn(value)`` with ``value`` evaluated once (a lambda variable), however often ``fn`` uses it."""
-    return F.get(F.transform(F.array(value), fn), F.lit(0))
-
-
 def distinct_folded(items: Column) -> Column:
     """Case-insensitive dedup of an array; the first spelling stays, in place. Sort based, so long arrays are fine."""
     keyed = F.array_sort(F.transform(items, lambda x, i: F.struct(F.lower(x).alias("f"), i.alias("i"), x.alias("x"))))
@@ -295,7 +320,7 @@ def distinct_folded(items: Column) -> Column:
 
 
 def split_tags(value: Column) -> Column:
-    parts = F.filter(F.split(F.coalesce(value, F.lit("")), rf"(?:[、,，]|{WS})+"), lambda x: x != "")
+    parts = F.filter(F.split(F.coalesce(value, F.lit("")), r"[、,，\s\p{Z}]+"), lambda x: x != "")
     return distinct_folded(parts)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tintshelf.functions import color as C
 from tintshelf.functions import text as T
 from tintshelf.operators.numbering import number_within
+from tintshelf.session import spread
 
 CARD_COLUMNS = ("library_id", "name", "note", "illuminant", "angle", "l", "a", "b", "hex")
 # Edge lengths of the Lab grid; values past the gamut fall into the outermost cells, so the grid has at most
@@ -103,7 +104,9 @@ class _Cells:
         c = (np.hypot(lab[:, 1], lab[:, 2])[:, None] + self.chroma[None]) / 2
 
         def weight(x):
-            return np.sqrt(x**7 / (x**7 + 25.0**7))
+            cube = x * x * x
+            seventh = cube * cube * x
+            return np.sqrt(seventh / (seventh + 25.0**7))
 
         c = c * (1.5 - 0.5 * weight(c))
         ab2 = (gap[..., 1] ** 2 + gap[..., 2] ** 2) * (1 - np.sin(np.radians(60)) * weight(c)) / (1 + 0.045 * c) ** 2
@@ -111,7 +114,7 @@ class _Cells:
 
 
 def _route(points: DataFrame, cells: _Cells, k: int, first: bool) -> DataFrame:
-    """(l, a, b, cell). ``first``: the closest cells that together hold k cards; else all others within reach."""
+    """(l, a, b, reach, cell). ``first``: the closest cells that together hold k cards; else all others within reach."""
 
     def route(batches):
         for pdf in batches:
@@ -124,15 +127,19 @@ def _route(points: DataFrame, cells: _Cells, k: int, first: bool) -> DataFrame:
                 np.put_along_axis(home, order, np.cumsum(n, axis=1) - n < k, axis=1)
                 pick = home if first else ~home & (bound <= part["reach"].to_numpy(np.float64)[:, None] + 1e-6)
                 row, cell = np.nonzero(pick)
-                yield part[["l", "a", "b"]].iloc[row].assign(cell=cells.ids[cell])
+                lists = np.split(cells.ids[cell], np.searchsorted(row, np.arange(1, len(part))))
+                yield part[["l", "a", "b", "reach"]].assign(cells=lists)
 
-    return points.mapInPandas(route, "l double, a double, b double, cell int")
+    routed = points.mapInPandas(route, "l double, a double, b double, reach double, cells array<int>")
+    return routed.select("l", "a", "b", "reach", F.explode("cells").alias("cell"))
 
 
 def _score(routed: DataFrame, shelf: DataFrame, k: int) -> DataFrame:
-    pairs = routed.join(shelf, "cell")
-    de = F.round(C.delta_e_2000(*[F.col(c) for c in ("l", "a", "b", "cl", "ca", "cb")]), 6)
-    return _nearest(pairs.select("l", "a", "b", "library_id", "name", de.alias("delta_e_00")), k)
+    pairs = C.with_delta_e(routed.join(shelf, "cell"), ("l", "a", "b"), ("cl", "ca", "cb"))
+    # A plain filter would be pushed below the staged projections and repeat the whole formula; a generator is not.
+    de = F.round("delta_e_00", 6)
+    within = F.explode(F.when(de <= F.col("reach"), F.array(de)).otherwise(F.array().cast("array<double>")))
+    return _nearest(pairs.select("l", "a", "b", "library_id", "name", within.alias("delta_e_00")), k)
 
 
 def _nearest(pairs: DataFrame, k: int) -> DataFrame:
@@ -166,10 +173,10 @@ def nearest_colors(readings: DataFrame, cards: DataFrame, k: int = 12, libraries
     cells = _Cells(summary.collect())  # at most one row per grid cell
     asked = readings.select("reading_id", *[F.col(c).cast("double").alias(c) for c in "lab"])
     lab = ["l", "a", "b"]
-    points = asked.select(*lab).distinct()
+    points = spread(asked.select(*lab), *lab).distinct().withColumn("reach", F.lit(float("inf")))
     near = _score(_route(points, cells, k, True), shelf, k)
     reach = near.groupBy(*lab).agg(F.max("delta_e_00").alias("far"), F.count("*").alias("got"))
-    held = points.join(reach, lab, "left").withColumn(
+    held = points.drop("reach").join(reach, lab, "left").withColumn(
         "reach", F.when(F.col("got") >= k, F.col("far")).otherwise(F.lit(float("inf")))
     ).drop("far", "got")
     rest = _score(_route(held, cells, k, False), shelf, k)

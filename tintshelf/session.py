@@ -1,4 +1,4 @@
-"""Session helpers and the size checks that gate every broadcast in the library."""
+"""Session helpers."""
 
 from __future__ import annotations
 
@@ -6,9 +6,6 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-# A side is only handed to every task when a LIMIT-bounded count shows it is at most this many rows.
-MAX_BROADCAST_ROWS = 20_000
-
 
 def get_spark(app: str = "tintshelf", master: str | None = None) -> SparkSession:
     """Return the active session, or build a local one for tests and the bench."""
@@ -31,6 +28,10 @@ def get_spark(app: str = "tintshelf", master: str | None = None) -> SparkSession
     )
 
 
-def rows_at_most(df: DataFrame, bound: int) -> bool:
-    """True when ``df`` has at most ``bound`` rows; the scan stops after ``bound + 1`` rows."""
-    return df.limit(bound + 1).count() <= bound
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition small rows that are about to fan out, over the session's shuffle partitions.
+
+    Adaptive coalescing looks at input bytes and would put them all into one task; a given number is kept.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
