@@ -180,7 +180,7 @@ VIEWS: dict[str, str] = {
         printf('GZ%02d-%04d', 20 + label, (vec_id // 5) % 10) || '_' || vec_id || '.jpg' AS image_name,
         embedding::DOUBLE[] AS embedding FROM embeddings""",
     "sims": """SELECT q.vec_id AS query_id, q.style_code AS query_code, c.image_name, c.style_code, c.vec_id,
-        round(list_dot_product(q.embedding, c.embedding), 6) AS score FROM vectors q, vectors c""",
+        round(list_dot_product(q.embedding, c.embedding), 12) AS score FROM vectors q, vectors c""",
     "modal": """SELECT vec_id, image_name, style_code, embedding[1:16] AS clip, embedding[17:32] AS shape,
         embedding[33:48] AS color, embedding[49:64] AS stripe FROM vectors""",
     "view_queries": """SELECT vec_id AS query_id, view, list_transform(generate_series(1, 64),

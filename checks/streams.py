@@ -1 +1,98 @@
+"""Streams over the driver tables as file sources, drained once, next to their batch twins."""
 
+import tempfile
+
+from pyspark.sql import functions as F
+
+from checks.base import Data, query
+from checks.color import AVERAGES
+from tintshelf.streaming import manifest as M
+from tintshelf.streaming import readings as S
+
+
+def work_folder(spark) -> str:
+    """A new folder under the session's checkpoint folder; a temporary one only for local sessions without it."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    import uuid
+
+    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def _source(d: Data, name: str):
+    return d.spark.readStream.schema(d.table(name).schema).parquet(f"{d.folder}/{name}*.parquet")
+
+
+def _drain(stream, folder: str):
+    q = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out")
+    q.trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.parquet(f"{folder}/out")
+
+
+def _live_readings(d: Data):
+    e = F.col("event_id")
+    return _source(d, "events").select(
+        F.col("user_id").alias("device_id"), "ts", (F.col("value") % 60 + 20).alias("l"),
+        (e % 161 - 80).cast("double").alias("a"), (e * 7 % 161 - 80).cast("double").alias("b"),
+    )
+
+
+_MEANS = f"WITH {AVERAGES} SELECT device_id, group_no, ts, round(l, 6) AS l, round(a, 6) AS a, round(b, 6) AS b FROM means"
+
+
+def _shown(df):
+    return df.select("device_id", "group_no", "ts", *[F.round(c, 6).alias(c) for c in "lab"])
+
+
+@query("average_readings", _MEANS)
+def _(d):
+    return _shown(S.average_readings(d.readings()))
+
+
+@query("stream_average_readings", _MEANS)
+def _(d):
+    return _shown(_drain(S.stream_average_readings(_live_readings(d)), work_folder(d.spark)))
+
+
+@query("recent_devices", """WITH e AS (SELECT user_id % 7 AS owner, 'd' || user_id AS device_id, 'n' || (user_id % 40) AS name, ts FROM events),
+    i AS (SELECT owner, device_id, max(ts) AS ts FROM e GROUP BY ALL), n AS (SELECT owner, name, max(ts) AS ts FROM e GROUP BY ALL),
+    k AS (SELECT DISTINCT e.* FROM e JOIN i USING (owner, device_id, ts) JOIN n USING (owner, name, ts))
+    SELECT owner, (row_number() OVER (PARTITION BY owner ORDER BY ts DESC))::INT AS rank, device_id, name, ts FROM k QUALIFY rank <= 8""")
+def _(d):
+    e = d.table("events").select(
+        (F.col("user_id") % 7).alias("owner"), F.concat(F.lit("d"), "user_id").alias("device_id"),
+        F.concat(F.lit("n"), F.col("user_id") % 40).alias("name"), "ts",
+    )
+    return S.recent_devices(e)
+
+
+@query("stream_dedup", "SELECT DISTINCT sha256(text) AS hash FROM documents")
+def _(d):
+    docs = _source(d, "documents").select(F.sha2("text", 256).alias("hash"), F.timestamp_seconds("doc_id").alias("ts"))
+    return _drain(M.stream_dedup(docs), work_folder(d.spark)).select("hash")
+
+
+@query("stream_manifest", r"""WITH rows AS (SELECT 'ST' || lang || '-' || (doc_id % 100) || '_' || doc_id || '.jpg' AS image_name, 'ST' || lang || '-' || (doc_id % 100) AS style_code, 'category:' || source AS tag FROM documents)
+    SELECT style_code, tag FROM product_tags UNION SELECT style_code, tag FROM rows""")
+def _(d):
+    folder = work_folder(d.spark)
+    code = F.concat(F.lit("ST"), "lang", F.lit("-"), F.col("doc_id") % 100)
+    rows = _source(d, "documents").select(
+        F.concat("lang", F.lit("/"), "doc_id").alias("source_rel_path"), F.concat(code, F.lit("_"), "doc_id", F.lit(".jpg")).alias("image_name"),
+        code.alias("style_code"), F.array(F.concat(F.lit("category:"), "source")).alias("tags"),
+    )
+
+    def store(catalog, batch_id):
+        catalog.product_tags.write.mode("overwrite").parquet(f"{folder}/tags/{batch_id}")
+
+    M.stream_manifest(rows, d.catalog, store, f"{folder}/state", availableNow=True).awaitTermination()
+    return d.spark.read.parquet(f"{folder}/tags/0")
+
+
+@query("match_stream", """WITH """ + AVERAGES + """ SELECT device_id || '/' || group_no AS reading_id, n::INT AS rank FROM means, generate_series(1, 3) g(n)""")
+def _(d):
+    # The rows and ranks; the distances themselves are those of match_readings.
+    folder = work_folder(d.spark)
+    S.match_stream(_live_readings(d), d.cards().drop("card_key"), f"{folder}/out", f"{folder}/state", k=3, availableNow=True).awaitTermination()
+    return d.spark.read.parquet(f"{folder}/out").select("reading_id", "rank")

@@ -1 +1,82 @@
+"""Text index over all documents; the benchmark passages and the order comments of parts are the queries."""
 
+from pyspark.sql import functions as F
+
+from checks.base import Data, query
+from tintshelf.functions import text as T
+from tintshelf.operators import textindex as H
+
+
+def _postings(d: Data):
+    return H.build_postings(d.docs())
+
+
+def _idf(d: Data, postings=None):
+    n = d.table("documents").agg(F.count("*").alias("n"))
+    return H.token_idf(postings if postings is not None else _postings(d), n)
+
+
+@query("build_postings", "SELECT token, image_name FROM postings")
+def _(d):
+    return _postings(d)
+
+
+@query("token_idf", "SELECT token, df, round(idf, 6) AS idf FROM token_idf")
+def _(d):
+    return _idf(d).withColumn("idf", F.round("idf", 6))
+
+
+def _query_tokens(d: Data):
+    """Tokens of the benchmark passages, half of them with their second letter lost."""
+    t = d.table("benchmark").select(F.col("item_id").alias("query_id"), F.explode(T.text_tokens(F.col("text"))).alias("t"))
+    damaged = F.concat(F.substring("t", 1, 1), F.expr("substring(t, 3)"))
+    token = F.when((F.length("t") % 2 == 0) & (F.length("t") > 5), damaged).otherwise(F.col("t"))
+    return t.select("query_id", token.alias("query_token")).distinct()
+
+
+def _matches(d: Data):
+    return H.match_tokens(_query_tokens(d).select("query_token"), _idf(d).select("token", "idf"))
+
+
+@query("match_tokens")
+def _(d):
+    return _matches(d).withColumn("ratio", F.round("ratio", 6)).withColumn("idf", F.round("idf", 6))
+
+
+_TOKENS = r"""raw_tokens AS (SELECT DISTINCT item_id AS query_id, unnest(list_transform(regexp_extract_all(upper(replace(text, 'ß', 'ss')), '[A-Z0-9]{4,}'),
+      lambda t: regexp_replace(t, '^[0-9]+|[0-9]+$', '', 'g'))) AS t FROM benchmark),
+    query_tokens AS (SELECT DISTINCT query_id, CASE WHEN length(t) % 2 = 0 AND length(t) > 5 THEN t[1:1] || t[3:] ELSE t END AS query_token
+      FROM raw_tokens WHERE length(t) >= 4 AND regexp_matches(t, '[A-Z]'))"""
+
+
+@query("match_tokens_exact", f"WITH {_TOKENS} SELECT DISTINCT query_token, token, 1.0::DOUBLE AS ratio FROM query_tokens JOIN token_idf ON token = query_token")
+def _(d):
+    return _matches(d).filter("query_token = token").select("query_token", "token", "ratio")
+
+
+@query("inject_text_candidates")
+def _(d):
+    tokens, ranked = _query_tokens(d), _ranked(d)
+    out = H.inject_text_candidates(ranked, tokens, _matches(d), _postings(d))
+    return out.withColumn("score", F.round("score", 6))
+
+
+def _ranked(d: Data):
+    """A first list: the documents that hold the most tokens of a passage."""
+    hits = _query_tokens(d).join(_postings(d), F.col("query_token") == F.col("token")).groupBy("query_id", "image_name").agg(F.count("*").alias("n"))
+    return hits.filter("n >= 8").select("query_id", "image_name", (F.col("n") / 40.0).alias("score"))
+
+
+_EXACT = f"""{_TOKENS}, hits AS (SELECT query_id, image_name, count(*) AS n FROM query_tokens JOIN postings ON token = query_token GROUP BY ALL),
+    ranked AS (SELECT query_id, image_name, n / 40.0::DOUBLE AS score FROM hits WHERE n >= 8),
+    top64 AS (SELECT token, image_name FROM postings QUALIFY row_number() OVER (PARTITION BY token ORDER BY image_name) <= 64),
+    raw AS (SELECT query_id, image_name, sum(idf) AS raw, count(*) AS hits FROM query_tokens JOIN token_idf ON token = query_token JOIN top64 USING (token) GROUP BY ALL),
+    seeds AS (SELECT query_id, image_name, least(1.2::DOUBLE, 0.88::DOUBLE + 0.18::DOUBLE * raw / (max(raw) OVER (PARTITION BY query_id) + 1e-6::DOUBLE) + least(0.08::DOUBLE, 0.02::DOUBLE * (hits - 1))) AS seed FROM raw),
+    merged AS (SELECT query_id, image_name, score, seed, greatest(coalesce(score, seed), coalesce(seed, score)) AS best FROM ranked FULL JOIN seeds USING (query_id, image_name)),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY seed IS NULL, round(best, 9) DESC, image_name) AS nth FROM merged)"""
+
+
+@query("inject_text_candidates_exact", f"WITH {_EXACT} SELECT query_id, image_name, round(best, 6) AS score FROM placed WHERE score IS NOT NULL OR nth <= 24")
+def _(d):
+    exact = _matches(d).filter("query_token = token")
+    return H.inject_text_candidates(_ranked(d), _query_tokens(d), exact, _postings(d)).withColumn("score", F.round("score", 6))

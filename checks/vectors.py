@@ -52,24 +52,24 @@ def _recall(d: Data, k: int = 90):
     return V.topk_vectors(d.queries(), d.images(), k)
 
 
-@query("topk_vectors", "SELECT query_id, image_name, score FROM recalled")
+@query("topk_vectors", "SELECT query_id, image_name, round(score, 6) AS score FROM recalled")
 def _(d):
-    return _recall(d)
+    return _rounded(_recall(d), "score")
 
 
-@query("topk_vectors_by_cells", "SELECT query_id, image_name, score FROM recalled WHERE true QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, image_name) <= 20")
+@query("topk_vectors_by_cells", "SELECT query_id, image_name, round(score, 6) AS score FROM recalled WHERE true QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, image_name) <= 20")
 def _(d):
     # The way taken when the query side is too large to hand to every task.
-    return V.topk_vectors(d.queries(), d.images(), 20, max_broadcast_rows=0)
+    return _rounded(V.topk_vectors(d.queries(), d.images(), 20, max_broadcast_rows=0), "score")
 
 
 _VIEWS = """per_view AS (SELECT q.query_id, q.view, c.image_name, list_dot_product(q.embedding, c.embedding) AS score FROM view_queries q, vectors c)"""
 
 
-@query("topk_vectors_views", f"""WITH {_VIEWS}, fused AS (SELECT query_id, image_name, round(0.8::DOUBLE * max(score) + 0.2::DOUBLE * avg(score), 6) AS score FROM per_view GROUP BY ALL)
-    SELECT query_id, image_name, score FROM fused QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, image_name) <= 20""")
+@query("topk_vectors_views", f"""WITH {_VIEWS}, fused AS (SELECT query_id, image_name, round(0.8::DOUBLE * max(score) + 0.2::DOUBLE * avg(score), 12) AS score FROM per_view GROUP BY ALL)
+    SELECT query_id, image_name, round(score, 6) AS score FROM fused QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, image_name) <= 20""")
 def _(d):
-    return V.topk_vectors(d.view_queries(), d.images(), 20, consensus=0.2)
+    return _rounded(V.topk_vectors(d.view_queries(), d.images(), 20, consensus=0.2), "score")
 
 
 def _view_scores(d: Data):
@@ -79,7 +79,7 @@ def _view_scores(d: Data):
     return top.select(F.substring_index("query_id", "/", 1).cast("bigint").alias("query_id"), "image_name", "score")
 
 
-@query("fuse_views", """WITH per_view AS (SELECT q.query_id, q.view, c.image_name, round(list_dot_product(q.embedding, c.embedding), 6) AS score FROM view_queries q, vectors c),
+@query("fuse_views", """WITH per_view AS (SELECT q.query_id, q.view, c.image_name, round(list_dot_product(q.embedding, c.embedding), 12) AS score FROM view_queries q, vectors c),
     top AS (SELECT * FROM per_view QUALIFY row_number() OVER (PARTITION BY query_id, view ORDER BY score DESC, image_name) <= 20)
     SELECT query_id, image_name, round(0.55::DOUBLE * max(score) + 0.45::DOUBLE * avg(score), 6) AS score FROM top GROUP BY ALL""")
 def _(d):
@@ -87,7 +87,7 @@ def _(d):
 
 
 # The same top-20 lists after zeroing the first view, as a second opinion.
-_SECOND = """second AS (SELECT query_id, image_name, score FROM (SELECT q.query_id, c.image_name, round(list_dot_product(q.embedding, c.embedding), 6) AS score
+_SECOND = """second AS (SELECT query_id, image_name, score FROM (SELECT q.query_id, c.image_name, round(list_dot_product(q.embedding, c.embedding), 12) AS score
     FROM view_queries q, vectors c WHERE view = 1) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, image_name) <= 20)"""
 
 
@@ -185,8 +185,8 @@ def _(d):
     return V.cap_unique_codes(_recall(d), 40, 12).select("query_id", "image_name", "rank")
 
 
-@query("first_per_code", """WITH r AS (SELECT query_id, upper(style_code) AS code, min(row_rank) AS at FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, image_name) AS row_rank FROM recalled) GROUP BY ALL)
-    SELECT query_id, code, (row_number() OVER (PARTITION BY query_id ORDER BY at))::INT AS rank FROM r QUALIFY rank <= 9""")
+@query("first_per_code", """WITH r AS (SELECT query_id, upper(style_code) AS code, min(row_rank) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, image_name) AS row_rank FROM recalled) GROUP BY ALL)
+    SELECT query_id, code, (row_number() OVER (PARTITION BY query_id ORDER BY pos))::INT AS rank FROM r QUALIFY rank <= 9""")
 def _(d):
     rows = V.cap_unique_codes(_recall(d), 0, 0).withColumn("style_code", F.lower("style_code"))
     return V.first_per_code(rows).select("query_id", F.upper("style_code").alias("code"), "rank")
@@ -239,12 +239,12 @@ def _(d):
     return N.pair_features(_head_pairs(d)).select("query_id", "image_name", _listed(F.col("features")).alias("features"))
 
 
-@query("mine_positives", "SELECT a.image_name, b.image_name AS partner FROM vectors a JOIN vectors b ON a.style_code = b.style_code AND a.image_name <> b.image_name")
+@query("mine_positives", "SELECT a.image_name, b.image_name AS partner FROM vectors a JOIN vectors b ON a.style_code = b.style_code AND (a.image_name <> b.image_name OR (SELECT count(*) FROM vectors x WHERE x.style_code = a.style_code) = 1)")
 def _(d):
     return N.mine_positives(d.modal())
 
 
-_HARD = """clip_sims AS (SELECT q.image_name, c.image_name AS partner, round(list_dot_product(q.clip, c.clip), 6) AS s FROM modal q JOIN modal c ON q.style_code <> c.style_code),
+_HARD = """clip_sims AS (SELECT q.image_name, c.image_name AS partner, round(list_dot_product(q.clip, c.clip), 12) AS s FROM modal q JOIN modal c ON q.style_code <> c.style_code),
     hard AS (SELECT image_name, partner FROM clip_sims QUALIFY row_number() OVER (PARTITION BY image_name ORDER BY s DESC, partner) <= 16)"""
 
 
@@ -271,7 +271,7 @@ def _(d):
 
 
 @query("training_metrics", f"""WITH {_HARD}, marked AS (SELECT image_name, partner, 0.0 AS label FROM hard UNION ALL
-      SELECT a.image_name, b.image_name, 1.0 FROM vectors a JOIN vectors b ON a.style_code = b.style_code AND a.image_name <> b.image_name),
+      SELECT a.image_name, b.image_name, 1.0 FROM vectors a JOIN vectors b ON a.style_code = b.style_code AND (a.image_name <> b.image_name OR (SELECT count(*) FROM vectors x WHERE x.style_code = a.style_code) = 1)),
     joined AS (SELECT label, list_dot_product(q.clip, c.clip) AS base, {_SIDES} FROM marked m JOIN modal q ON q.image_name = m.image_name JOIN modal c ON c.image_name = partner),
     {pair_sql('joined', 'label')}
     SELECT count(*) AS samples, round(avg(label)::DOUBLE, 4) AS pos_rate, round(avg((({model_sql(MODEL)} >= 0.5) = (label = 1))::INT), 4) AS train_acc FROM featured""")
@@ -292,8 +292,8 @@ def _(d):
     return _rounded(N.rerank(_recall(d), q, c, MODEL, top_n=40, weight=0.4, max_unique_codes=12), "score")
 
 
-@query("ranking_eval", f"""WITH {SEARCHED}, at AS (SELECT v.vec_id, min(rank) AS at FROM vectors v LEFT JOIN (SELECT * FROM searched WHERE rank <= 9) s ON s.query_id = v.vec_id AND s.style_code = v.style_code GROUP BY ALL)
-    SELECT count(*) AS queries, round(avg((at IS NOT NULL)::INT), 6) AS hit_rate, round(avg(coalesce(1.0::DOUBLE / at, 0)), 6) AS mrr FROM at""")
+@query("ranking_eval", f"""WITH {SEARCHED}, firsts AS (SELECT v.vec_id, min(rank) AS pos FROM vectors v LEFT JOIN (SELECT * FROM searched WHERE rank <= 9) s ON s.query_id = v.vec_id AND s.style_code = v.style_code GROUP BY ALL)
+    SELECT count(*) AS queries, round(avg((pos IS NOT NULL)::INT), 6) AS hit_rate, round(avg(coalesce(1.0::DOUBLE / pos, 0)), 6) AS mrr FROM firsts""")
 def _(d):
     truth = d.vectors().select(F.col("vec_id").alias("query_id"), "style_code")
     return _rounded(N.ranking_eval(_search(d), truth, 9), "hit_rate", "mrr")
@@ -332,7 +332,7 @@ def _shape_sims(d: Data):
     return V.topk_vectors(q, m.select("image_name", F.col("shape").alias("embedding")), 50).withColumnRenamed("score", "sim")
 
 
-_SHAPE = """shape_sims AS (SELECT query_id, image_name, sim FROM (SELECT q.vec_id AS query_id, c.image_name, round(list_dot_product(q.shape, c.shape), 6) AS sim FROM modal q, modal c)
+_SHAPE = """shape_sims AS (SELECT query_id, image_name, sim FROM (SELECT q.vec_id AS query_id, c.image_name, round(list_dot_product(q.shape, c.shape), 12) AS sim FROM modal q, modal c)
     QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, image_name) <= 50)"""
 
 
@@ -357,7 +357,7 @@ def _(d):
 
 
 _REGION = f"""{_SHAPE}, region AS (SELECT query_id, image_name, sim AS score, regexp_replace(image_name, '_[^_]*$', '') AS style_code FROM shape_sims),
-    strong AS (SELECT query_id, style_code, max(score) AS score FROM region WHERE score >= 0.1::DOUBLE GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY max(score) DESC, style_code) <= 8)"""
+    strong AS (SELECT query_id, style_code, max(score) AS score FROM region WHERE score >= 0.1::DOUBLE GROUP BY query_id, style_code QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY max(score) DESC, style_code) <= 8)"""
 
 
 def _region(d: Data):
@@ -370,9 +370,9 @@ def _(d):
 
 
 @query("region_rescue", f"""WITH {_RESULT}, {_REGION} SELECT query_id, style_code, rank_score FROM result UNION ALL
-    SELECT query_id, style_code, score FROM strong ANTI JOIN result USING (query_id, style_code)""")
+    SELECT query_id, style_code, round(score, 6) FROM strong ANTI JOIN result USING (query_id, style_code)""")
 def _(d):
-    return R.region_rescue(_search(d), _region(d), min_score=0.1)
+    return _rounded(R.region_rescue(_search(d), _region(d), min_score=0.1), "rank_score")
 
 
 _SEEDS = f"""{_REGION}, seeds AS (SELECT query_id, image_name, 0.92::DOUBLE + 0.24::DOUBLE * score AS seed FROM region WHERE score >= 0.1::DOUBLE),
@@ -416,12 +416,12 @@ _BOXES = """src AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_qua
     boxes AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, greatest(0, least(1, (x0 - ox) / dw)) AS x, greatest(0, least(1, (y0 - oy) / dh)) AS y, greatest(0, least(1, (x1 - x0) / dw)) AS w,
       greatest(0, least(1, (y1 - y0) / dh)) AS h FROM edges WHERE bw >= 20 AND bh >= 20 AND x1 - x0 >= 20 AND y1 - y0 >= 20)"""
 _KEYS = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
-_ROUND4 = ", ".join(f"round({c}, 6) AS {c}" for c in _FOUR)
+_ROUND4 = ", ".join(f"round({c}, 9) AS {c}" for c in _FOUR)
 
 
 def _flat(df, column, extra=()):
     return df.filter(F.col(column).isNotNull()).select(
-        *_KEYS.split(", "), *[F.round(F.col(f"{column}.{c}"), 6).alias(c) for c in _FOUR], *[F.col(f"{column}.{c}").alias(c) for c in extra]
+        *_KEYS.split(", "), *[F.round(F.col(f"{column}.{c}"), 9).alias(c) for c in _FOUR], *[F.col(f"{column}.{c}").alias(c) for c in extra]
     )
 
 
@@ -433,8 +433,8 @@ def _(d):
 _GROWN = """grown AS (SELECT *, greatest(0.01::DOUBLE, least(1, w * 2)) AS gw, greatest(0.01::DOUBLE, least(1, h * 2.4::DOUBLE)) AS gh FROM boxes)"""
 
 
-@query("expand_crop", f"""WITH {_BOXES}, {_GROWN} SELECT {_KEYS}, round(greatest(0, least(1 - gw, x + w / 2 - gw / 2)), 6) AS x, round(greatest(0, least(1 - gh, y + h / 2 - gh / 2)), 6) AS y,
-    round(gw, 6) AS w, round(gh, 6) AS h FROM grown""")
+@query("expand_crop", f"""WITH {_BOXES}, {_GROWN} SELECT {_KEYS}, round(greatest(0, least(1 - gw, x + w / 2 - gw / 2)), 9) AS x, round(greatest(0, least(1 - gh, y + h / 2 - gh / 2)), 9) AS y,
+    round(gw, 9) AS w, round(gh, 9) AS h FROM grown""")
 def _(d):
     return _flat(_boxes(d).withColumn("e", R.expand_crop(F.col("r"))), "e")
 
@@ -442,7 +442,7 @@ def _(d):
 @query("crop_mode", f"""WITH {_BOXES}, s0 AS (SELECT *, greatest(w, 0.38::DOUBLE) AS w0, greatest(h, 0.38::DOUBLE) AS h0, w >= h * 1.8::DOUBLE AS strip FROM boxes),
     s1 AS (SELECT *, sqrt(greatest(1, 0.14::DOUBLE / (w0 * h0))) AS k FROM s0),
     s2 AS (SELECT *, greatest(0.01::DOUBLE, least(1, w0 * k)) AS gw, CASE WHEN strip THEN greatest(h, least(greatest(0.01::DOUBLE, least(1, h0 * k)), 0.42::DOUBLE)) ELSE greatest(0.01::DOUBLE, least(1, h0 * k)) END AS gh FROM s1)
-    SELECT {_KEYS}, round(greatest(0, least(1 - gw, x + w / 2 - gw / 2)), 6) AS x, round(greatest(0, least(1 - gh, y + h / 2 - gh / 2)), 6) AS y, round(gw, 6) AS w, round(gh, 6) AS h,
+    SELECT {_KEYS}, round(greatest(0, least(1 - gw, x + w / 2 - gw / 2)), 9) AS x, round(greatest(0, least(1 - gh, y + h / 2 - gh / 2)), 9) AS y, round(gw, 9) AS w, round(gh, 9) AS h,
       w * h <= 0.1::DOUBLE AND gw * gh >= w * h * 1.6::DOUBLE AS strict_small, strip FROM s2""")
 def _(d):
     return _flat(_boxes(d).withColumn("e", R.crop_mode(F.col("r"))), "e", ("strict_small", "strip"))
@@ -472,9 +472,9 @@ def _(d):
 
 @query("ivf_topk")
 def _(d):
-    return R.ivf_topk(d.queries(), d.images(), 20, clusters=16, nprobe=4)
+    return _rounded(R.ivf_topk(d.queries(), d.images(), 20, clusters=16, nprobe=4), "score")
 
 
-@query("ivf_topk_full_probe", "SELECT query_id, image_name, score FROM recalled QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, image_name) <= 20")
+@query("ivf_topk_full_probe", "SELECT query_id, image_name, round(score, 6) AS score FROM recalled QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, image_name) <= 20")
 def _(d):
-    return R.ivf_topk(d.queries(), d.images(), 20, clusters=8, nprobe=8)
+    return _rounded(R.ivf_topk(d.queries(), d.images(), 20, clusters=8, nprobe=8), "score")

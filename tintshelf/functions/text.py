@@ -38,7 +38,7 @@ def let(value: Column, fn) -> Column:
 
 def strip(c: Column) -> Column:
     """Trim any white space at both ends."""
-    return F.regexp_replace(c, rf"^{WS}+|{WS}+$", "")
+    return F.regexp_replace(c, rf"^{WS}++|(?<!{WS}){WS}++$", "")
 
 
 def lines_of(text: Column) -> Column:
@@ -76,7 +76,7 @@ def normalize_code(code: Column) -> Column:
 
 
 def _safe(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, "[^A-Za-z0-9_-]+", "_"), "^_+|_+$", "")
+    return F.regexp_replace(F.regexp_replace(c, "[^A-Za-z0-9_-]+", "_"), "^_++|(?<!_)_++$", "")
 
 
 def clean_code(code: Column, mode: str = "trailing") -> Column:
@@ -105,7 +105,8 @@ def is_any_code(code: Column) -> Column:
 
 def extract_hash_code(text: Column) -> Column:
     """First code ending in ``#``: line by line, then over the text without white space. Null if none."""
-    token = r"[A-Za-z0-9_+*\-]+#"
+    # A run is only tried from its start: if no hash sign follows it, none follows its tail either.
+    token = r"(?<![A-Za-z0-9_+*\-])[A-Za-z0-9_+*\-]++#"
     full = r"^[A-Z0-9_-]+#$"
     per_line = F.transform(lines_of(text), lambda s: F.upper(F.regexp_extract(s, token, 0)))
     joined = F.upper(F.regexp_extract(F.regexp_replace(text, rf"{WS}+", ""), token, 0))
@@ -145,7 +146,7 @@ _WORD_FIND = r"\b[A-Z]{3,6}\b"
 
 
 def _dashed(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, "[^A-Z0-9]+", "-"), "^-+|-+$", "")
+    return F.regexp_replace(F.regexp_replace(c, "[^A-Z0-9]+", "-"), "^-++|(?<!-)-++$", "")
 
 
 def _expand(text: Column) -> Column:
@@ -294,7 +295,7 @@ def year_from_code(code: Column, max_year: int) -> Column:
 
 def library_id(value: Column) -> Column:
     low = F.lower(strip(F.coalesce(value, F.lit(""))))
-    return F.substring(F.regexp_replace(F.regexp_replace(low, r"[^\p{L}\p{N}]+", "_"), "^_+|_+$", ""), 1, 80)
+    return F.substring(F.regexp_replace(F.regexp_replace(low, r"[^\p{L}\p{N}]+", "_"), "^_++|(?<!_)_++$", ""), 1, 80)
 
 
 def library_slug(value: Column) -> Column:
@@ -302,7 +303,7 @@ def library_slug(value: Column) -> Column:
     raw = strip(F.coalesce(value, F.lit("")))
     known = F.create_map(*[F.lit(x) for pair in KNOWN_LIBRARIES.items() for x in pair])
     ascii_slug = F.regexp_replace(F.lower(strip(F.regexp_replace(raw, r"\.[^.]+$", ""))), "[^a-z0-9]+", "_")
-    ascii_slug = F.regexp_replace(ascii_slug, "^_+|_+$", "")
+    ascii_slug = F.regexp_replace(ascii_slug, "^_++|(?<!_)_++$", "")
     return F.coalesce(
         F.try_element_at(known, raw),
         F.when(ascii_slug != "", ascii_slug),

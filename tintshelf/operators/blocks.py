@@ -8,7 +8,7 @@ Both sides are arrays of doubles; one query may have several views. Two physical
   when ``q.p + |q| * radius`` (Cauchy-Schwarz) stays under the score the query already holds. Cells are
   cut into hash chunks of bounded size on both sides, so a cell with a third of all rows is many tasks.
 
-Scores are rounded to 6 places before ranking, ties go to the smaller key.
+Scores are rounded to 12 places, so the block layout cannot change them; ties go to the smaller key.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ PAIR_SCHEMA = "query_id string, key string, score double"
 MAX_BROADCAST_VALUES = 8_000_000  # 64 MB of doubles
 MAX_PIVOTS = 1024
 CHUNK_ROWS = 4096
+PLACES = 12
 
 
 @dataclass(frozen=True)
@@ -65,7 +66,7 @@ def _best_pairs(queries: _Queries, keys, codes, vectors: np.ndarray, keep: Keep)
     """Surviving (query, key, score) rows of one block pair, by matrix product."""
     order = np.argsort(keys, kind="stable")
     keys, codes, vectors = keys[order], codes[order], vectors[order]
-    scores = np.round(queries.fuse(queries.stack @ vectors.T, keep.consensus), 6)
+    scores = np.round(queries.fuse(queries.stack @ vectors.T, keep.consensus), PLACES)
     if any(c is not None for c in queries.codes):
         scores[(queries.codes[:, None] == codes[None, :]) != keep.same_code] = -np.inf
     if keep.skip_self:

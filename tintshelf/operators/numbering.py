@@ -1,7 +1,7 @@
 """Consecutive numbers and running sums inside groups of any size.
 
-A plain window pulls a whole group into one task. Here rows are range-partitioned by (group, order), so a
-group with a third of all rows spans many partitions; only per-partition totals are chained.
+A plain window pulls a whole group into one task. Here rows are cut into key ranges over (group, order), so a
+group with a third of all rows spans many tasks; only the totals per range are chained.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ import tempfile
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+MAX_RANGES = 256
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared checkpoint folder of the session; local sessions without one get a temporary folder."""
@@ -26,8 +28,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def _ranged(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
-    # The partition number must not change between the two uses below, even if a task is run again.
-    return checkpointed(df.repartitionByRange(*group, *order).withColumn("_pid", F.spark_partition_id()))
+    """Add ``_pid``, the number of the key range a row falls into.
+
+    The rows are checkpointed first: they are read for the split points and again for the numbers. Split
+    points come from a few hashed keys; they only decide how even the ranges are, never the result.
+    """
+    base = checkpointed(df)
+    n = min(MAX_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    key = F.struct(*group, *order)
+    some = base.select(key.alias("k")).orderBy(F.xxhash64("k"), "k").limit(n * 16)
+    ranked = some.agg(F.sort_array(F.collect_list("k")).alias("ks"))  # at most n * 16 keys
+    step = F.size("ks") / n
+    splits = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.get("ks", F.least(F.floor(i * step).cast("int"), F.size("ks") - 1)))
+    one = ranked.select(F.array_distinct(splits).alias("_splits"), F.lit(1).alias("_one"))
+    with_splits = base.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one")
+    pid = F.size(F.filter("_splits", lambda b: b <= key))
+    return with_splits.withColumn("_pid", pid).drop("_splits", "_one")
 
 
 def running_sums(df: DataFrame, group: list[str], order: list[str], sums: dict[str, str]) -> DataFrame:

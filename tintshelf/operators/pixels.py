@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 from tintshelf.functions import color as C
 
 HSV_BINS = (12, 4, 4)
-PER_IMAGE = Window.partitionBy("image_id")
+
+
+def _per_image():
+    return Window.partitionBy("image_id")
 
 
 def gray(r: Column, g: Column, b: Column) -> Column:
@@ -44,8 +47,8 @@ def _hsv_bin() -> Column:
     return part[0] * (HSV_BINS[1] * HSV_BINS[2]) + part[1] * HSV_BINS[2] + part[2]
 
 
-def _share(count: Column, over=PER_IMAGE) -> Column:
-    return count / (F.sum(count).over(over) + 1e-8)
+def _share(count: Column) -> Column:
+    return count / (F.sum(count).over(_per_image()) + 1e-8)
 
 
 def hsv_histogram(pixels: DataFrame) -> DataFrame:
@@ -60,7 +63,7 @@ def garment_color_histogram(pixels: DataFrame, top_rows: int = 24, min_pixels: i
     counts = pixels.groupBy("image_id", _hsv_bin().alias("bin")).agg(
         F.count("*").alias("every"), F.sum(inside).alias("inside")
     )
-    enough = F.sum("inside").over(PER_IMAGE) >= min_pixels
+    enough = F.sum("inside").over(_per_image()) >= min_pixels
     counts = counts.withColumn("n", F.when(enough, F.col("inside")).otherwise(F.col("every"))).filter("n > 0")
     return counts.select("image_id", "bin", _share(F.col("n")).alias("value"))
 
@@ -106,7 +109,7 @@ def structure_grid(pixels: DataFrame, size: int = 24) -> DataFrame:
     p = pixels.join(image_sizes(pixels), "image_id")
     cell = F.floor(F.col("y") * size / F.col("height")) * size + F.floor(F.col("x") * size / F.col("width"))
     means = p.groupBy("image_id", cell.cast("int").alias("cell")).agg(F.avg(F.floor(_gray())).alias("m"))
-    z = (F.col("m") - F.avg("m").over(PER_IMAGE)) / (F.stddev_pop("m").over(PER_IMAGE) + 1e-6)
+    z = (F.col("m") - F.avg("m").over(_per_image())) / (F.stddev_pop("m").over(_per_image()) + 1e-6)
     return means.select("image_id", "cell", z.alias("value"))
 
 
@@ -137,7 +140,7 @@ def stripe_spectrum(pixels: DataFrame, top_rows: int = 24, min_pixels: int = 64,
         F.sum(F.col("level") * F.cos(turn)).alias("re"), F.sum(F.col("level") * F.sin(turn)).alias("im")
     ).withColumn("mag", F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")))
     spec = spec.withColumn("mag", F.col("mag") / (F.sum("mag").over(per_axis) + 1e-8))
-    length = F.sqrt(F.sum(F.col("mag") * F.col("mag")).over(PER_IMAGE)) + 1e-8
+    length = F.sqrt(F.sum(F.col("mag") * F.col("mag")).over(_per_image())) + 1e-8
     return spec.select("image_id", "axis", "k", (F.col("mag") / length).alias("value"))
 
 

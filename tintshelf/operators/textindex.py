@@ -7,8 +7,10 @@ import difflib
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tintshelf.functions import text as T
+from tintshelf.session import spread
 
 MAX_LENGTH_GAP = 3
 
@@ -32,14 +34,15 @@ def token_idf(postings: DataFrame, total_images: int | DataFrame) -> DataFrame:
     return df.select("token", "df", F.log(ratio + 1.0).alias("idf"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
 def _edits(len_a, len_b, min_ratio: float):
-    """Most characters, over both tokens, that may stay unmatched at this ratio."""
-    return F.floor((len_a + len_b) * (1.0 - min_ratio) + 1e-9).cast("int")
+    """Most characters, over both tokens, that may stay unmatched at this ratio; it has the parity of the lengths' sum."""
+    most = F.floor((len_a + len_b) * (1.0 - min_ratio) + 1e-9).cast("int")
+    return most - (most + len_a + len_b) % 2
 
 
 def _vocab_pieces(vocab: DataFrame, min_ratio: float) -> DataFrame:
@@ -79,19 +82,21 @@ def match_tokens(
     An exact hit stands alone. Otherwise the best ``max_matches`` by (ratio, idf, token) with ratio >= min_ratio
     and lengths at most 3 apart. A ratio r = 2M/(a+b) leaves at most (1-r)(a+b) characters unmatched, so of
     that many + 1 pieces of one word at least one stands unbroken in the other, near its place: candidates
-    come from an equi join on pieces and none is missed. Only they reach the Python ratio.
+    come from an equi join on pieces and none is missed. The edit distance is no larger than the number of
+    unmatched characters, so it thins them out in the JVM; only the rest reach the Python ratio.
     """
-    q = query_tokens.select("query_token").distinct()
+    q = spread(query_tokens.select("query_token"), "query_token").distinct()
     exact = q.join(vocab, q.query_token == vocab.token).select("query_token", "token", F.lit(1.0).alias("ratio"), "idf")
     rest = q.join(vocab, q.query_token == vocab.token, "left_anti")
+    a, b = F.col("query_token"), F.col("token")
+    la, lb = F.length(a), F.length(b)
     pairs = (
         _query_pieces(rest, min_ratio)
         .join(_vocab_pieces(vocab.select("token"), min_ratio), ["n", "qn", "i", "piece"])
+        .filter(F.levenshtein(a, b) <= _edits(la, lb, min_ratio))
         .select("query_token", "token")
         .distinct()
     )
-    a, b = F.col("query_token"), F.col("token")
-    la, lb = F.length(a), F.length(b)
     inside = (la >= 6) & (lb >= 6) & (F.contains(b, a) | F.contains(a, b))
     contained = pairs.filter(inside).withColumn("ratio", F.least(la, lb) / F.greatest(la, lb))
     others = pairs.filter(~inside).withColumn("ratio", _sequence_ratio(a, b))
