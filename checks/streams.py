@@ -24,9 +24,16 @@ def _source(d: Data, name: str):
     return d.spark.readStream.schema(d.table(name).schema).parquet(f"{d.folder}/{name}*.parquet")
 
 
+def _finish(running, seconds: int = 300) -> None:
+    """Wait for a drained stream; one that does not end is an error, not a hang."""
+    if not running.awaitTermination(seconds):
+        running.stop()
+        raise TimeoutError("the stream did not finish")
+
+
 def _drain(stream, folder: str):
     q = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out")
-    q.trigger(availableNow=True).start().awaitTermination()
+    _finish(q.trigger(availableNow=True).start())
     return stream.sparkSession.read.parquet(f"{folder}/out")
 
 
@@ -86,7 +93,7 @@ def _(d):
     def store(catalog, batch_id):
         catalog.product_tags.write.mode("overwrite").parquet(f"{folder}/tags/{batch_id}")
 
-    M.stream_manifest(rows, d.catalog, store, f"{folder}/state", availableNow=True).awaitTermination()
+    _finish(M.stream_manifest(rows, d.catalog, store, f"{folder}/state", availableNow=True))
     return d.spark.read.parquet(f"{folder}/tags/0")
 
 
@@ -94,5 +101,5 @@ def _(d):
 def _(d):
     # The rows and ranks; the distances themselves are those of match_readings.
     folder = work_folder(d.spark)
-    S.match_stream(_live_readings(d), d.cards().drop("card_key"), f"{folder}/out", f"{folder}/state", k=3, availableNow=True).awaitTermination()
+    _finish(S.match_stream(_live_readings(d), d.cards().drop("card_key"), f"{folder}/out", f"{folder}/state", k=3, availableNow=True))
     return d.spark.read.parquet(f"{folder}/out").select("reading_id", "rank")

@@ -41,8 +41,11 @@ def average_readings(readings: DataFrame, n: int = SAMPLES) -> DataFrame:
 
 def stream_average_readings(readings: DataFrame, n: int = SAMPLES, idle: str = "1 day") -> DataFrame:
     """Streaming twin of ``average_readings``. State per device is at most n - 1 readings; a device silent for
-    ``idle`` forgets its unfinished group. Rows of one micro-batch are put in time order; order across
-    micro-batches is arrival order."""
+    ``idle`` of event time forgets its unfinished group, and readings later than that are dropped. Rows of one
+    micro-batch are put in time order; order across micro-batches is arrival order.
+
+    The timeout follows event time: one in processing time would keep a drained stream alive for ever.
+    """
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -62,11 +65,13 @@ def stream_average_readings(readings: DataFrame, n: int = SAMPLES, idle: str = "
             yield means
         rest = rows.iloc[full * n :]
         state.update((done + full, *[list(rest[c]) for c in ("ts", "l", "a", "b")]))
-        state.setTimeoutDuration(idle_ms)
+        last = int(fresh["ts"].iloc[-1].timestamp() * 1000)
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + idle_ms)
 
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
-    return valid_readings(readings).select("device_id", "ts", "l", "a", "b").groupBy("device_id").applyInPandasWithState(
-        fold, AVERAGE_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.ProcessingTimeTimeout
+    live = valid_readings(readings).select("device_id", "ts", "l", "a", "b").withWatermark("ts", idle)
+    return live.groupBy("device_id").applyInPandasWithState(
+        fold, AVERAGE_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
