@@ -49,7 +49,7 @@ _MEANS = f"WITH {AVERAGES} SELECT device_id, group_no, ts, round(l, 6) AS l, rou
 
 
 def _shown(df):
-    return df.select("device_id", "group_no", "ts", *[F.round(c, 6).alias(c) for c in "lab"])
+    return df.select("device_id", "group_no", F.col("ts").cast("timestamp_ntz").alias("ts"), *[F.round(c, 6).alias(c) for c in "lab"])
 
 
 @query("average_readings", _MEANS)

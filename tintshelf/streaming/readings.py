@@ -69,7 +69,9 @@ def stream_average_readings(readings: DataFrame, n: int = SAMPLES, idle: str = "
         state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + idle_ms)
 
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
-    live = valid_readings(readings).select("device_id", "ts", "l", "a", "b").withWatermark("ts", idle)
+    live = valid_readings(readings).select(
+        "device_id", F.col("ts").cast("timestamp").alias("ts"), "l", "a", "b"
+    ).withWatermark("ts", idle)
     return live.groupBy("device_id").applyInPandasWithState(
         fold, AVERAGE_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout
     )
