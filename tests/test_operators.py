@@ -2,9 +2,9 @@
 
 import difflib
 import random
+from datetime import datetime
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,6 +89,6 @@ def test_assign_slots_fills_round(spark):
 
 
 def test_average_readings_skips_broken_and_incomplete(spark):
-    rows = [(1, pd.Timestamp(2024, 1, 1, 0, 0, i), float(i), 0.0, float("nan") if i == 1 else 1.0) for i in range(6)]
+    rows = [(1, datetime(2024, 1, 1, 0, 0, i), float(i), 0.0, float("nan") if i == 1 else 1.0) for i in range(6)]
     got = average_readings(spark.createDataFrame(rows, "device_id long, ts timestamp, l double, a double, b double")).collect()
     assert [(r["group_no"], round(r["l"], 6)) for r in got] == [(0, round((0 + 2 + 3) / 3, 6))]
