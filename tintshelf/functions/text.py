@@ -110,10 +110,11 @@ def extract_hash_code(text: Column) -> Column:
     full = r"^[A-Z0-9_-]+#$"
     per_line = F.transform(lines_of(text), lambda s: F.upper(F.regexp_extract(s, token, 0)))
     joined = F.upper(F.regexp_extract(F.regexp_replace(text, rf"{WS}+", ""), token, 0))
-    return F.coalesce(
+    found = F.coalesce(
         F.get(F.filter(per_line, lambda s: s.rlike(full)), F.lit(0)),
         F.when(joined.rlike(full), joined),
     )
+    return F.when(F.contains(text, F.lit("#")), found)
 
 
 # The cascade of extract_style_code: (pattern that finds, pattern the normalised find must match entirely).
@@ -149,12 +150,23 @@ def _dashed(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, "[^A-Z0-9]+", "-"), "^-++|(?<!-)-++$", "")
 
 
+def _swap(c: Column, pairs: dict[str, str]) -> Column:
+    for old, new in pairs.items():
+        c = F.replace(c, F.lit(old), F.lit(new))
+    return c
+
+
 def _expand(text: Column) -> Column:
-    up = F.translate(F.upper(text), "ＫＦＪＣ", "KFJC")
-    up = F.regexp_replace(up, r"[[^\x00-\x7F]&&[\p{L}\p{N}]]", "q")
+    def placeholders(up: Column) -> Column:
+        # Plain ASCII texts, told by their byte length, skip the slow class.
+        return F.when(F.length(up) == F.octet_length(up), up).otherwise(
+            F.regexp_replace(up, r"[[^\x00-\x7F]&&[\p{L}\p{N}]]", "q")
+        )
+
+    up = let(_swap(F.upper(text), {"Ｋ": "K", "Ｆ": "F", "Ｊ": "J", "Ｃ": "C"}), placeholders)
     up = F.regexp_replace(up, rf"\bK{WS}+F\b", "KF")
     up = F.regexp_replace(up, rf"\bJ{WS}+C\b", "JC")
-    return F.regexp_replace(F.translate(up, "O＃", "0#"), "[*+]+", "-")
+    return F.regexp_replace(_swap(up, {"O": "0", "＃": "#"}), "[*+]+", "-")
 
 
 def extract_style_code(text: Column, hash_suffix: bool = True) -> Column:
