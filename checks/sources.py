@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from checks.base import Data, query
-from checks.streams import work_folder
 from tintshelf.operators import textindex as H
+from tintshelf.session import new_folder as work_folder
 from tintshelf.sources import files as W
 from tintshelf.sources import records as R
 

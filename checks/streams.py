@@ -1,23 +1,12 @@
 """Streams over the driver tables as file sources, drained once, next to their batch twins."""
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from checks.base import Data, query
 from checks.color import AVERAGES
 from tintshelf.streaming import manifest as M
 from tintshelf.streaming import readings as S
-
-
-def work_folder(spark) -> str:
-    """A new folder under the session's checkpoint folder; a temporary one only for local sessions without it."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    import uuid
-
-    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
+from tintshelf.session import new_folder as work_folder
 
 
 def _source(d: Data, name: str):

@@ -6,31 +6,29 @@ group with a third of all rows spans many tasks; only the totals per range are c
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tintshelf.session import new_folder
+
 MAX_RANGES = 256
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared checkpoint folder of the session; local sessions without one get a temporary folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
+    """Cut the lineage through a table in the session's shared folder.
+
+    A written table computes its rows once, where ``checkpoint()`` would compute them again to save them, and
+    later reads take only the columns they need.
+    """
+    path = new_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _ranged(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     """Add ``_pid``, the number of the key range a row falls into.
 
-    The rows are checkpointed first: they are read for the split points and again for the numbers. Split
+    The rows are stored first: they are read for the split points and again for the numbers. Split
     points come from a few hashed keys; they only decide how even the ranges are, never the result.
     """
     base = checkpointed(df)
