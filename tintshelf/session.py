@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,7 +16,7 @@ def get_spark(app: str = "tintshelf", master: str | None = None) -> SparkSession
     if active is not None:
         return active
     cpus = os.environ.get("BENCH_CPUS", "8")
-    return (
+    spark = (
         SparkSession.builder.master(master or f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", cpus)
@@ -26,8 +27,11 @@ def get_spark(app: str = "tintshelf", master: str | None = None) -> SparkSession
         .config("spark.driver.memory", os.environ.get("BENCH_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
+    ship_package(spark)
+    return spark
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -50,3 +54,19 @@ def new_folder(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
         shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Hand this package to the Python workers, once per session: they need not find it on a path of their own."""
+    context = spark.sparkContext
+    if getattr(context, "_tintshelf_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    name = os.path.join(tempfile.mkdtemp(prefix="spark-"), "tintshelf_code.zip")  # Spark's file server hands it out from here
+    with zipfile.ZipFile(name, "w") as z:
+        for folder, _, files in os.walk(root):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    z.write(os.path.join(folder, f), os.path.join("tintshelf", os.path.relpath(os.path.join(folder, f), root)))
+    context.addPyFile(name)
+    context._tintshelf_shipped = True
