@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tintshelf.llm import licenses
+from tintshelf.llm import licenses, lines
 
 _SEP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _WORDS = (
@@ -51,3 +51,20 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   (sum(upto) FILTER (role = 'assistant' OR k = turns))::BIGINT AS formatted_chars
 FROM n GROUP BY conv_id
 """
+
+ORACLES["op1_line_dedup"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(text, chr(10)) AS w FROM documents),
+a AS (SELECT r, doc_id, unnest(range(len(w))) AS i, w FROM d),
+l AS (SELECT r, doc_id, i, trim(w[i + 1], ' ' || chr(9) || chr(13)) AS s, len(w) AS n FROM a),
+f AS (SELECT *, row_number() OVER o AS k, coalesce(lead(i) OVER o, n) AS upto, lead(s, 1) OVER o AS s2, lead(s, 2) OVER o AS s3,
+        coalesce(lead(i, 3) OVER o, n) AS upto3, len(regexp_split_to_array(s, '[ \\t]+')) AS words
+      FROM l WHERE s <> '' WINDOW o AS (PARTITION BY r ORDER BY i)),
+g AS (SELECT r, doc_id, i, upto, s AS gram FROM f WHERE words >= {lines.LONG_WORDS}
+      UNION ALL SELECT r, doc_id, i, upto3, s || chr(10) || s2 || chr(10) || s3 FROM f WHERE s3 IS NOT NULL),
+p AS (SELECT *, row_number() OVER (PARTITION BY gram ORDER BY doc_id NULLS FIRST, r, i) AS place FROM g),
+x AS (SELECT DISTINCT r, unnest(range(i, upto)) AS i FROM p WHERE place > 1),
+t AS (SELECT a.r, string_agg(w[a.i + 1], chr(10) ORDER BY a.i) FILTER (x.r IS NULL) AS rest, count(x.r) AS gone
+      FROM a LEFT JOIN x ON a.r = x.r AND a.i = x.i GROUP BY a.r)
+SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE coalesce(rest, '') END AS text, coalesce(len(w), 0)::BIGINT AS n_lines, coalesce(gone, 0)::BIGINT AS n_removed
+FROM d LEFT JOIN t USING (r)
+"""

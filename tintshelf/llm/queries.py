@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tintshelf.llm import chat, licenses
+from tintshelf.llm import chat, licenses, lines
 from tintshelf.llm.common import table
 from tintshelf.llm.oracles import ORACLES  # noqa: F401
 
@@ -19,6 +19,12 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+@query
+def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's text without later repeats of a run of lines."""
+    return lines.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 @query
 def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Licence labels and places of every document."""
