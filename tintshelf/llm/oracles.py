@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tintshelf.llm import licenses, lines
+from tintshelf.llm import jaccard, licenses, lines
 
 _SEP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _WORDS = (
@@ -68,3 +68,17 @@ t AS (SELECT a.r, string_agg(w[a.i + 1], chr(10) ORDER BY a.i) FILTER (x.r IS NU
 SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE coalesce(rest, '') END AS text, coalesce(len(w), 0)::BIGINT AS n_lines, coalesce(gone, 0)::BIGINT AS n_removed
 FROM d LEFT JOIN t USING (r)
 """
+
+ORACLES["op8_jaccard_join"] = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(w[p : p + {jaccard.SHINGLE - 1}], ' ') AS g
+      FROM (SELECT r, w, unnest(range(1, greatest(2, len(w) - {jaccard.SHINGLE - 2}))) AS p FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+i AS (SELECT x.r AS a, y.r AS b, count(*) AS shared FROM s x JOIN s y ON x.g = y.g AND x.r <> y.r GROUP BY x.r, y.r),
+l AS (SELECT a, b, shared / (p.n + q.n - shared) AS j FROM i JOIN n p ON p.r = a JOIN n q ON q.r = b WHERE shared / (p.n + q.n - shared) >= {jaccard.THRESHOLD}),
+reach(a, b) AS (SELECT r, r FROM d UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a),
+c AS (SELECT a, min(doc_id) AS component_id FROM reach JOIN d ON d.r = b GROUP BY a),
+k AS (SELECT a, count(*) AS n_links, count(*) FILTER (j = 1) AS same, min(doc_id) FILTER (j = 1) AS low FROM l JOIN d ON d.r = b GROUP BY a)
+SELECT doc_id, least(doc_id, low) AS class_id, 1 + coalesce(same, 0) AS copies, coalesce(n_links, 0) AS n_links, component_id, doc_id = component_id AS kept
+FROM d JOIN c ON c.a = r LEFT JOIN k ON k.a = r
+"""
