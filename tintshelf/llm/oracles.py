@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tintshelf.llm import jaccard, licenses, lines
+from tintshelf.llm import decontaminate, jaccard, licenses, lines
 
 _SEP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _WORDS = (
@@ -15,8 +15,25 @@ def _values(rows) -> str:
     return ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
 
 
+def _grams(source: str) -> str:
+    """Distinct (r, m, g): word runs of each length m in the source's texts."""
+    return f"""SELECT DISTINCT r, m, array_to_string(w[p : p + m - 1], ' ') AS g
+      FROM (SELECT r, w, m, unnest(range(1, len(w) - m + 2)) AS p FROM {source}, (SELECT DISTINCT least({decontaminate.SHINGLE}, len(w)) AS m FROM b WHERE len(w) > 0) WHERE len(w) >= m)"""
+
+
 ORACLES: dict[str, str] = {}
 
+ORACLES["op6_decontaminate"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT row_number() OVER () AS r, item_id, {_WORDS} AS w FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+x AS ({_grams("d")}),
+y AS (SELECT z.* FROM ({_grams("b")}) z JOIN b USING (r) WHERE m = least({decontaminate.SHINGLE}, len(w))),
+n AS (SELECT r, count(*) AS n FROM y GROUP BY r),
+i AS (SELECT x.r AS a, y.r AS b, count(*) AS k FROM x JOIN y USING (m, g) GROUP BY x.r, y.r)
+SELECT doc_id, item_id, n AS n_shingles, k AS n_shared, k / n AS containment
+FROM i JOIN n ON n.r = i.b JOIN d ON d.r = i.a JOIN b ON b.r = i.b WHERE k / n >= {decontaminate.CONTAINED}
+"""
+
 ORACLES["op2_license_scan"] = f"""
 WITH t(template, tpos, gram, label, base, size) AS (VALUES {_values(licenses.templates())}),
 d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),

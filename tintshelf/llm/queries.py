@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tintshelf.llm import chat, jaccard, licenses, lines
+from tintshelf.llm import chat, decontaminate, jaccard, langid, licenses, lines
 from tintshelf.llm.common import table
 from tintshelf.llm.oracles import ORACLES  # noqa: F401
 
@@ -31,6 +31,21 @@ def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, folder, "documents"))
 
 
+@query
+def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learned from the documents that are not held out."""
+    docs = table(spark, folder, "documents")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
+    model = langid.learn(docs.filter(~held_out))
+    return langid.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text", "mixture")
+
+
+@query
+def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Every benchmark item inside every document, with its exact containment."""
+    return decontaminate.find_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query
 def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """Class, number of links and component of every document."""
