@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tintshelf.llm import chat, decontaminate, jaccard, langid, licenses, lines
+from tintshelf.llm import bpe, chat, decontaminate, jaccard, langid, licenses, lines
 from tintshelf.llm.common import table
 from tintshelf.llm.oracles import ORACLES  # noqa: F401
 
@@ -46,6 +46,19 @@ def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.find_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where this machine holds the vocabulary file of a public tokenizer."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Token count and digests of ids and decoded text of every document."""
+    return bpe.encode_documents(table(spark, folder, "documents").select("doc_id", "text"), vocabulary_path()).drop("text")
+
+
 @query
 def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """Class, number of links and component of every document."""
