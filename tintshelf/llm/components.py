@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,3 +28,19 @@ def components(links: DataFrame) -> DataFrame:
         labels = nxt.select("v", "c")
         if not changed:
             return labels
+
+
+def tile_links(ids: np.ndarray, hit: np.ndarray, weight: np.ndarray) -> pd.DataFrame:
+    """What a tile of pairs tells of its members (rep, links, near): weight of the links, smallest id joined with it here.
+
+    ``ids`` are sorted and ``hit`` is symmetric with an empty diagonal. One row for each member with a link, never one for a pair.
+    """
+    links, label = hit @ weight, np.arange(len(ids))
+    while True:
+        low = np.minimum(label, np.where(hit, label[None, :], len(ids)).min(axis=1, initial=len(ids)))
+        low = low[low]  # and the label of that label
+        if (low == label).all():
+            break
+        label = low
+    keep = links > 0
+    return pd.DataFrame({"rep": ids[keep], "links": links[keep], "near": ids[label[keep]]})

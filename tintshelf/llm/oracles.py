@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tintshelf.llm import decontaminate, jaccard, licenses, lines
+from tintshelf.llm import decontaminate, jaccard, licenses, lines, vectors
 
 _SEP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _WORDS = (
@@ -99,3 +99,15 @@ k AS (SELECT a, count(*) AS n_links, count(*) FILTER (j = 1) AS same, min(doc_id
 SELECT doc_id, least(doc_id, low) AS class_id, 1 + coalesce(same, 0) AS copies, coalesce(n_links, 0) AS n_links, component_id, doc_id = component_id AS kept
 FROM d JOIN c ON c.a = r LEFT JOIN k ON k.a = r
 """
+
+ORACLES["op10_embedding_dedup"] = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+u AS (SELECT * FROM d WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda v: v IS NULL OR NOT isfinite(v))) = 0
+      AND len(list_filter(e, lambda v: v <> 0)) > 0),
+l AS (SELECT x.r AS a, y.r AS b FROM u x JOIN u y ON x.label = y.label AND len(x.e) = len(y.e) AND x.r <> y.r
+      WHERE list_dot_product(x.e, y.e) / (sqrt(list_dot_product(x.e, x.e)) * sqrt(list_dot_product(y.e, y.e))) >= {vectors.THRESHOLD}),
+reach(a, b) AS (SELECT r, r FROM d UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a),
+c AS (SELECT a, min(vec_id) AS component_id FROM reach JOIN d ON d.r = b GROUP BY a),
+k AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM d JOIN c ON c.a = r LEFT JOIN k ON k.a = r
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tintshelf.llm import bpe, chat, decontaminate, jaccard, langid, licenses, lines
+from tintshelf.llm import bpe, chat, decontaminate, jaccard, langid, licenses, lines, vectors
 from tintshelf.llm.common import table
 from tintshelf.llm.oracles import ORACLES  # noqa: F401
 
@@ -91,3 +91,9 @@ def op9_chat_format(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("loss", 256).alias("loss_sha256"),
         "formatted_chars",
     )
+
+
+@query
+def op10_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and component of every vector."""
+    return vectors.near_vectors(table(spark, folder, "embeddings"))
