@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tintshelf.llm import bpe, chat, decontaminate, jaccard, langid, licenses, lines, vectors
+from tintshelf.llm import bpe, chat, decontaminate, jaccard, langid, licenses, lines, tokens, vectors
 from tintshelf.llm.common import table
 from tintshelf.llm.oracles import ORACLES  # noqa: F401
+from tintshelf.session import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -19,6 +20,13 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where this machine holds the vocabulary file of a public tokenizer."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 @query
 def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's text without later repeats of a run of lines."""
@@ -31,6 +39,20 @@ def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, folder, "documents"))
 
 
+#: Ids of the rank file and, one past them, the end of a document.
+RANKS, END = 50_256, 50_256
+
+
+@query
+def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every document, counted in token files written from the table."""
+    where = new_folder(spark)
+    encoder = tokens.ordinary_encoder(vocabulary_path("byte_bpe_50k.tiktoken"), bpe.PATTERN)
+    written = tokens.write_tokens(table(spark, folder, "documents"), where, encoder, END, RANKS + 1)
+    counted = tokens.count_tokens(spark, where, END, RANKS + 1)
+    return written.join(counted, ["file", "ordinal"], "left").select("doc_id", "n_tokens", "closed")
+
+
 @query
 def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every document, learned from the documents that are not held out."""
@@ -46,13 +68,6 @@ def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.find_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
-def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
-    """Where this machine holds the vocabulary file of a public tokenizer."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 @query
 def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Token count and digests of ids and decoded text of every document."""
