@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tintshelf.llm import bpe, chat, decontaminate, jaccard, langid, licenses, lines, tokens, vectors
+from tintshelf.llm import bpe, chat, decontaminate, extract, jaccard, langid, licenses, lines, tokens, vectors
 from tintshelf.llm.common import table
 from tintshelf.llm.oracles import ORACLES  # noqa: F401
 from tintshelf.session import new_folder
@@ -39,6 +39,13 @@ def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, folder, "documents"))
 
 
+@query
+def op3_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, folder, "pages")
+    return extract.extract_text(pages.select("page_id", "url", "html"), extract.learn(pages)).drop("html")
+
+
 #: Ids of the rank file and, one past them, the end of a document.
 RANKS, END = 50_256, 50_256
 
