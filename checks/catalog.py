@@ -45,12 +45,27 @@ def _(d):
     return L.count_products(d.catalog(), tags=["2004", "category:SMALL"], exclude_owner=True)
 
 
-@query("products_by_codes", """SELECT style_code, note FROM products WHERE style_code IN (SELECT printf('GZ%02d-%04d', 10 + p_size % 20, l_partkey)
+@query("filter_by_code_wildcards", r"""SELECT style_code FROM (SELECT style_code || CASE WHEN p_size % 3 = 0 THEN '\x' WHEN p_size % 3 = 1 THEN '%_\' ELSE '' END AS style_code FROM parts)
+    WHERE style_code ILIKE '%-0%\_%' OR style_code ILIKE '%5%\%'""")
+def _(d):
+    """Search texts and codes that hold a backslash, ``%`` and ``_``."""
+    end = F.when(F.col("p_size") % 3 == 0, "\\x").when(F.col("p_size") % 3 == 1, "%_\\").otherwise("")
+    p = d.parts().select(F.concat("style_code", end).alias("style_code"))
+    return L.filter_by_code(p, "-0%\\_").union(L.filter_by_code(p, "5%\\")).distinct()
+
+
+@query("products_by_codes", """SELECT style_code, note, (SELECT count(*) FROM product_images i WHERE i.style_code = p.style_code) AS image_count,
+      (SELECT coalesce(string_agg(image_name, '|' ORDER BY sort_order, image_name), '') FROM product_images i WHERE i.style_code = p.style_code) AS images,
+      (SELECT coalesce(string_agg(tag, '|' ORDER BY lower(tag), tag), '') FROM product_tags t WHERE t.style_code = p.style_code) AS raw_tags
+    FROM products p WHERE style_code IN (SELECT printf('GZ%02d-%04d', 10 + p_size % 20, l_partkey)
     FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag = 'R')""")
 def _(d):
     parts = d.parts().select("p_partkey", F.concat(F.lit(" "), "style_code", F.lit(" ")).alias("style_code"))
     back = d.table("lineitem").filter("l_returnflag = 'R'").join(parts, F.col("l_partkey") == F.col("p_partkey"))
-    return L.products_by_codes(d.catalog(), back.select("style_code")).select("style_code", "note")
+    return L.products_by_codes(d.catalog(), back.select("style_code")).select(
+        "style_code", "note", "image_count", F.array_join(F.transform("images", lambda i: i["image_name"]), "|").alias("images"),
+        F.array_join("raw_tags", "|").alias("raw_tags"),
+    )
 
 
 @query("image_counts", "SELECT style_code, count(*) AS image_count FROM product_images GROUP BY style_code")
@@ -62,7 +77,7 @@ def _(d):
     g AS (SELECT style_code, string_agg(tag, '|' ORDER BY lower(tag), tag) AS raw_tags, string_agg(CASE WHEN tag NOT LIKE 'owner:%' THEN name END, '|' ORDER BY lower(tag), tag) AS tags,
       coalesce(string_agg(CASE WHEN tag LIKE '20%' THEN name END, '|'), '') AS year FROM t GROUP BY style_code),
     i AS (SELECT style_code, count(*) AS image_count, string_agg(image_name, '|' ORDER BY sort_order, image_name) AS images FROM product_images GROUP BY style_code)
-    SELECT p.style_code, coalesce(image_count, 0) AS image_count, coalesce(images, '') AS images, raw_tags, tags, year, 0 AS part
+    SELECT p.style_code, coalesce(image_count, 0) AS image_count, coalesce(images, '') AS images, raw_tags, tags, year
     FROM products p LEFT JOIN g USING (style_code) LEFT JOIN i USING (style_code)""")
 def _(d):
     c = d.catalog()
@@ -70,7 +85,7 @@ def _(d):
     return p.select(
         "style_code", "image_count", F.array_join(F.transform("images", lambda i: i["image_name"]), "|").alias("images"),
         F.array_join("raw_tags", "|").alias("raw_tags"), F.array_join("tags", "|").alias("tags"),
-        F.array_join("tag_groups.year", "|").alias("year"), "part",
+        F.array_join("tag_groups.year", "|").alias("year"),
     )
 
 
@@ -101,6 +116,11 @@ def _(d):
     return M.pick_covers(d.catalog().images)
 
 
+def _now():
+    """Time of the changes below; products have no times before."""
+    return F.lit("2024-05-06 07:08:09").cast("timestamp")
+
+
 # The files seen by a sync: one per order line of a return, in the catalog under its old name, plus uploads.
 def _files(d: Data):
     images = d.catalog().images
@@ -119,9 +139,10 @@ SYNC = r"""files AS (SELECT regexp_replace(image_name, '^GZ1', 'HZ1') AS image_n
     everyone AS (SELECT style_code, cover_image, note FROM products UNION ALL SELECT DISTINCT style_code, NULL, '' FROM seen WHERE style_code NOT IN (SELECT style_code FROM products))"""
 
 
-@query("sync_catalog", f"WITH {SYNC} SELECT style_code, coalesce(c, cover_image) AS cover_image, note FROM everyone LEFT JOIN covers USING (style_code)")
+@query("sync_catalog", f"""WITH {SYNC} SELECT style_code, coalesce(c, cover_image) AS cover_image, note, style_code NOT IN (SELECT style_code FROM products) AS created,
+    style_code IN (SELECT style_code FROM seen) AS updated FROM everyone LEFT JOIN covers USING (style_code)""")
 def _(d):
-    return M.sync_catalog(_files(d), d.catalog())[0].products
+    return _times(M.sync_catalog(_files(d), d.catalog(), _now())[0].products)
 
 
 @query("sync_catalog_images", f"WITH {SYNC} SELECT style_code, image_name, sort_order FROM merged")
@@ -135,6 +156,10 @@ def _(d):
     return M.sync_catalog(_files(d), d.catalog())[1]
 
 
+def _times(products):
+    return products.select("style_code", "cover_image", "note", *[F.coalesce(F.col(f"{c}_at") == _now(), F.lit(False)).alias(c) for c in ("created", "updated")])
+
+
 def _product_requests(d: Data):
     """Every third size group is sent again with two images: a new one, and the first one of its part."""
     covers = M.pick_covers(d.catalog().images)
@@ -151,9 +176,9 @@ UPSERT = """covers AS (SELECT style_code, arg_min(image_name, (sort_order, image
 
 
 @query("upsert_products", f"""WITH {UPSERT} SELECT p.style_code, CASE WHEN s.style_code IS NULL THEN p.cover_image ELSE coalesce(c, p.style_code || '_new.jpg') END AS cover_image,
-    CASE WHEN s.style_code IS NULL THEN note ELSE 'again ' || p_name END AS note FROM products p LEFT JOIN sent s USING (style_code) LEFT JOIN covers USING (style_code)""")
+    CASE WHEN s.style_code IS NULL THEN note ELSE 'again ' || p_name END AS note, false AS created, s.style_code IS NOT NULL AS updated FROM products p LEFT JOIN sent s USING (style_code) LEFT JOIN covers USING (style_code)""")
 def _(d):
-    return M.upsert_products(_product_requests(d), d.catalog()).products
+    return _times(M.upsert_products(_product_requests(d), d.catalog(), _now()).products)
 
 
 @query("upsert_products_images", f"WITH {UPSERT} SELECT style_code, image_name, sort_order FROM imgs")
@@ -166,6 +191,12 @@ def _(d):
     return M.replace_tags(d.tag_requests(), d.catalog()).product_tags
 
 
+@query("replace_tags_times", "SELECT style_code, style_code IN (SELECT style_code FROM tag_requests WHERE tag LIKE 'year:201%') AS updated FROM products")
+def _(d):
+    asked = d.tag_requests().filter(F.exists("tags", lambda t: t.like("year:201%")))
+    return _times(M.replace_tags(asked, d.catalog(), _now()).products).select("style_code", "updated")
+
+
 @query("add_tags", "SELECT style_code, tag FROM product_tags UNION SELECT style_code, tag FROM tag_requests")
 def _(d):
     return M.add_tags(d.tag_requests(), d.catalog()).product_tags

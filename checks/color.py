@@ -149,6 +149,7 @@ def _sheet(d: Data):
     return p.select(
         "library_id", F.col("p_partkey").alias("seq"), F.concat(F.lit(" "), "p_name").alias("name"), F.col("p_type").alias("note"),
         F.lit("D50").alias("illuminant"), F.lit(2.0).alias("angle"), *LAB, F.lit("").alias("hex"),
+        F.array(*[F.struct(F.lit(w).alias("wavelength"), (F.col("p_partkey") % w).cast("double").alias("value")) for w in (400, 410)]).alias("spectral"),
     )
 
 
@@ -160,13 +161,13 @@ _EVEN = "sort_order % 2 = 0"
     last AS (SELECT library_id, p_name AS name, arg_max(card_key, card_key) AS card_key FROM loaded GROUP BY ALL),
     fresh AS (SELECT t.library_id, t.name, c.card_key, c.l, c.a, c.b FROM last t JOIN cards c USING (card_key)),
     {lab_hex('fresh', 'card_key')}
-    SELECT library_id, name, hex FROM fresh JOIN hexed USING (card_key)
-    UNION ALL SELECT c.library_id, c.name, c.hex FROM cards c JOIN libraries l ON l.id = c.library_id WHERE NOT ({_EVEN})""")
+    SELECT library_id, name, hex, printf('400:%d|410:%d', card_key % 400, card_key % 410) AS spectral FROM fresh JOIN hexed USING (card_key)
+    UNION ALL SELECT c.library_id, c.name, c.hex, '' FROM cards c JOIN libraries l ON l.id = c.library_id WHERE NOT ({_EVEN})""")
 def _(d):
     s = d.store()
     libs = s.libraries.filter(_EVEN)
     rows = _sheet(d).join(libs.select(F.col("id").alias("library_id")), "library_id", "left_semi")
-    return K.replace_libraries(s, libs, rows).cards.select("library_id", "name", "hex")
+    return K.replace_libraries(s, libs, rows).cards.select("library_id", "name", "hex", _points())
 
 
 @query("replace_libraries_favorites", f"""SELECT user_tag, library_id, f.name FROM favorites f JOIN libraries l ON l.id = f.library_id WHERE NOT ({_EVEN})""")
@@ -177,11 +178,16 @@ def _(d):
     return K.replace_libraries(s, libs, rows).favorites.select("user_tag", "library_id", "name")
 
 
+def _points():
+    point = lambda p: F.concat(p["wavelength"].cast("string"), F.lit(":"), p["value"].cast("int").cast("string"))
+    return F.array_join(F.transform("spectral", point), "|").alias("spectral")
+
+
 def _upserts(d: Data):
     """Each part goes to the library of its type: new libraries, names repeat, the last one counts."""
     return _sheet(d).select(
         "seq", F.col("note").alias("library_id"), F.concat(F.lit("Type "), "note").alias("library_name"), "name", "note",
-        "illuminant", "angle", *LAB,
+        "illuminant", "angle", *LAB, "spectral",
     )
 
 
@@ -189,10 +195,10 @@ def _upserts(d: Data):
     last AS (SELECT lower(p_type) AS library_id, p_name AS name, max(card_key) AS card_key FROM up GROUP BY ALL),
     fresh AS (SELECT t.library_id, t.name, c.card_key, c.l, c.a, c.b FROM last t JOIN cards c USING (card_key)),
     {lab_hex('fresh', 'card_key')}
-    SELECT library_id, name, hex, 'D50' AS illuminant FROM fresh JOIN hexed USING (card_key)
-    UNION ALL SELECT library_id, name, hex, illuminant FROM cards""")
+    SELECT library_id, name, hex, 'D50' AS illuminant, printf('400:%d|410:%d', card_key % 400, card_key % 410) AS spectral FROM fresh JOIN hexed USING (card_key)
+    UNION ALL SELECT library_id, name, hex, illuminant, '' FROM cards""")
 def _(d):
-    return K.upsert_cards(d.store(), _upserts(d)).cards.select("library_id", "name", "hex", "illuminant")
+    return K.upsert_cards(d.store(), _upserts(d)).cards.select("library_id", "name", "hex", "illuminant", _points())
 
 
 @query("upsert_libraries", """SELECT id, name, sort_order FROM libraries UNION ALL

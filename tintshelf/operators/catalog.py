@@ -9,19 +9,27 @@ from pyspark.sql import functions as F
 
 from tintshelf.functions import text as T
 
-IMAGES_PER_PART = 10_000
-
 
 @dataclass(frozen=True)
 class Catalog:
-    """products(style_code, cover_image, note), images(style_code, image_name, sort_order), tags(name),
-    product_tags(style_code, tag)."""
+    """products(style_code, cover_image, note, created_at, updated_at), images(style_code, image_name, sort_order),
+    tags(name), product_tags(style_code, tag). Products without times get null times."""
 
     products: DataFrame
     images: DataFrame
     tags: DataFrame
     product_tags: DataFrame
 
+    def __post_init__(self):
+        missing = {c: F.lit(None).cast("timestamp") for c in ("created_at", "updated_at") if c not in self.products.columns}
+        if missing:
+            object.__setattr__(self, "products", self.products.withColumns(missing))
+
+
+def contains_like(text: str) -> str:
+    """LIKE pattern for a substring: ``%`` and ``_`` stay wildcards, a backslash stands for itself."""
+    return "%" + text.replace("\\", "\\\\") + "%"
+
 
 def filter_by_code(products: DataFrame, query: str) -> DataFrame:
     """Case-insensitive substring of the code; ``%`` and ``_`` in the query are wildcards.
@@ -29,7 +37,7 @@ def filter_by_code(products: DataFrame, query: str) -> DataFrame:
     A match after the first dash is always a match of the whole code, so one test covers both.
     """
     q = query.strip()
-    return products.filter(F.col("style_code").ilike(f"%{q}%")) if q else products
+    return products.filter(F.col("style_code").ilike(contains_like(q))) if q else products
 
 
 def exclude_owned(products: DataFrame, product_tags: DataFrame) -> DataFrame:
@@ -77,9 +85,10 @@ def count_products(catalog: Catalog, query: str = "", tags: list[str] = (), excl
 
 
 def products_by_codes(catalog: Catalog, codes: DataFrame) -> DataFrame:
-    """Product rows for the trimmed, non-blank codes of ``codes(style_code)``, ascending."""
+    """Product documents for the trimmed, non-blank codes of ``codes(style_code)``, ascending."""
     wanted = codes.select(T.strip(F.col("style_code")).alias("style_code")).filter("style_code <> ''")
-    return catalog.products.join(wanted, "style_code", "left_semi").orderBy("style_code")
+    found = catalog.products.join(wanted, "style_code", "left_semi")
+    return assemble_products(found, catalog.images, catalog.product_tags).orderBy("style_code")
 
 
 def image_counts(images: DataFrame) -> DataFrame:
@@ -93,13 +102,12 @@ def _distinct_names(tags: Column, kinds: tuple[str, ...]) -> Column:
 
 
 def assemble_products(
-    products: DataFrame, images: DataFrame, product_tags: DataFrame, include_images: bool = True,
-    images_per_part: int = IMAGES_PER_PART,
+    products: DataFrame, images: DataFrame, product_tags: DataFrame, include_images: bool = True
 ) -> DataFrame:
-    """Nested product documents: ordered images, raw_tags, tags, and year/category/subcategory groups.
+    """Nested product documents, one row each: ordered images, raw_tags, tags, and year/category/subcategory groups.
 
-    A product with more than ``images_per_part`` images comes as several rows ``part`` 0, 1, .., each with
-    its own ordered slice, so no row and no task has to hold an unbounded list. Ordinary products have part 0 only.
+    The list of a product's images is one value of its row. Where that is too much, ask for no images and take
+    the flat rows of ``list_image_names``.
     """
     keys = products.select("style_code")
     counts = image_counts(images.join(keys, "style_code", "left_semi"))
@@ -120,13 +128,11 @@ def assemble_products(
     out = out.select(*columns)
     if not include_images:
         return out
-    parts = counts.select("style_code", F.ceil(F.col("image_count") / images_per_part).cast("int").alias("parts"))
-    pieces = images.join(parts, "style_code").groupBy(
-        "style_code", F.pmod(F.xxhash64("image_name"), F.col("parts")).cast("int").alias("part")
-    ).agg(F.array_sort(F.collect_list(F.struct("sort_order", "image_name"))).alias("images"))
-    return out.join(pieces, "style_code", "left").withColumn("part", F.coalesce("part", F.lit(0))).withColumn(
-        "images", F.coalesce("images", F.array().cast(pieces.schema["images"].dataType))
+    listed = images.join(keys, "style_code", "left_semi").groupBy("style_code").agg(
+        F.array_sort(F.collect_list(F.struct("sort_order", "image_name"))).alias("images")
     )
+    none = F.array().cast(listed.schema["images"].dataType)
+    return out.join(listed, "style_code", "left").withColumn("images", F.coalesce("images", none))
 
 
 def list_tags(tags: DataFrame) -> DataFrame:

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from tintshelf.functions import color as C
 from tintshelf.functions import text as T
+from tintshelf.operators.catalog import contains_like
 from tintshelf.operators.numbering import number_within
 from tintshelf.session import spread
 
-CARD_COLUMNS = ("library_id", "name", "note", "illuminant", "angle", "l", "a", "b", "hex")
+CARD_COLUMNS = ("library_id", "name", "note", "illuminant", "angle", "l", "a", "b", "hex", "spectral")
+SPECTRAL = "array<struct<wavelength:int,value:double>>"
 # Edge lengths of the Lab grid; values past the gamut fall into the outermost cells, so the grid has at most
 # 12 * 18 * 18 cells however many cards there are.
 GRID_L, GRID_AB = 10.0, 16.0
@@ -22,13 +24,23 @@ GRID_L, GRID_AB = 10.0, 16.0
 
 @dataclass(frozen=True)
 class CardStore:
-    """libraries(id, name, source_file, sort_order), cards(library_id, name, note, illuminant, angle, l, a, b, hex),
-    favorites(user_tag, library_id, name, created_at). A card is identified by (library_id, name)."""
+    """libraries(id, name, source_file, sort_order), cards(library_id, name, note, illuminant, angle, l, a, b, hex,
+    spectral), favorites(user_tag, library_id, name, created_at). A card is identified by (library_id, name).
+    Cards without spectra get empty ones."""
 
     libraries: DataFrame
     cards: DataFrame
     favorites: DataFrame
 
+    def __post_init__(self):
+        object.__setattr__(self, "cards", _with_spectral(self.cards))
+
+
+def _with_spectral(rows: DataFrame) -> DataFrame:
+    """Rows with a ``spectral`` list; missing or null is empty."""
+    given = F.col("spectral") if "spectral" in rows.columns else F.lit(None)
+    return rows.withColumn("spectral", F.coalesce(given.cast(SPECTRAL), F.array().cast(SPECTRAL)))
+
 
 def list_libraries(store: CardStore) -> DataFrame:
     counts = store.cards.groupBy(F.col("library_id").alias("id")).agg(F.count("*").alias("n"))
@@ -45,7 +57,7 @@ def _named(store: CardStore) -> DataFrame:
 
 
 def _keyword(keyword: str) -> Column:
-    like = f"%{keyword.strip()}%"
+    like = contains_like(keyword.strip())
     return F.col("name").ilike(like) | F.coalesce(F.col("note"), F.lit("")).ilike(like) | F.col("library_name").ilike(like)
 
 
@@ -205,16 +217,17 @@ def _hex() -> Column:
 
 
 def replace_libraries(store: CardStore, libraries: DataFrame, rows: DataFrame) -> CardStore:
-    """Load whole libraries: libraries(id, name, source_file, sort_order), rows(library_id, seq, name, note, ..).
+    """Load whole libraries: libraries(id, name, source_file, sort_order), rows(library_id, seq, name, note, ..,
+    spectral).
 
     Old cards of these libraries go, and with them favourites whose card is not among the new ones. Blank
     names are dropped, the last of equal names wins, a missing hex is computed.
     """
-    new = rows.withColumn("name", _text("name")).filter("name <> ''")
-    new = _last(new.select("library_id", "name", "seq", "note", "illuminant", "angle", "l", "a", "b", "hex"), ["library_id", "name"])
+    new = _with_spectral(rows).withColumn("name", _text("name")).filter("name <> ''")
+    new = _last(new.select("library_id", "name", "seq", "note", "illuminant", "angle", "l", "a", "b", "hex", "spectral"), ["library_id", "name"])
     new = new.select(
         "library_id", "name", _text("note").alias("note"), _text("illuminant").alias("illuminant"), "angle",
-        *[F.col(c).cast("double").alias(c) for c in "lab"], F.upper(F.coalesce(F.nullif(F.col("hex"), F.lit("")), _hex())).alias("hex"),
+        *[F.col(c).cast("double").alias(c) for c in "lab"], F.upper(F.coalesce(F.nullif(F.col("hex"), F.lit("")), _hex())).alias("hex"), "spectral",
     )
     loaded = libraries.select(F.col("id").alias("library_id"))
     cards = store.cards.join(loaded, "library_id", "left_anti").select(*CARD_COLUMNS).unionByName(new)
@@ -245,16 +258,16 @@ def upsert_libraries(store: CardStore, requests: DataFrame) -> CardStore:
 
 
 def upsert_cards(store: CardStore, requests: DataFrame) -> CardStore:
-    """requests(seq, library_id, library_name, name, note, illuminant, angle, l, a, b): insert or overwrite by
-    (library, name), creating libraries as needed; the hex is always recomputed."""
+    """requests(seq, library_id, library_name, name, note, illuminant, angle, l, a, b, spectral): insert or overwrite
+    by (library, name), creating libraries as needed; the hex is always recomputed, a request without spectrum empties it."""
     lib = F.coalesce(F.nullif(T.library_id(F.col("library_id")), F.lit("")), T.library_id(F.col("library_name")))
-    r = requests.withColumn("library_id", lib).withColumn("name", _text("name")).filter("library_id <> '' AND name <> ''")
+    r = _with_spectral(requests).withColumn("library_id", lib).withColumn("name", _text("name")).filter("library_id <> '' AND name <> ''")
     lib_name = F.coalesce(F.nullif(_text("library_name"), F.lit("")), F.col("library_id"))
     store = upsert_libraries(store, r.select("seq", F.col("library_id").alias("id"), lib_name.alias("name")))
-    new = _last(r.select("library_id", "name", "seq", "note", "illuminant", "angle", "l", "a", "b"), ["library_id", "name"])
+    new = _last(r.select("library_id", "name", "seq", "note", "illuminant", "angle", "l", "a", "b", "spectral"), ["library_id", "name"])
     new = new.select(
         "library_id", "name", _text("note").alias("note"), _text("illuminant").alias("illuminant"), "angle",
-        *[F.col(c).cast("double").alias(c) for c in "lab"], _hex().alias("hex"),
+        *[F.col(c).cast("double").alias(c) for c in "lab"], _hex().alias("hex"), "spectral",
     )
     old = store.cards.join(new, ["library_id", "name"], "left_anti").select(*CARD_COLUMNS)
     return replace(store, cards=old.unionByName(new))

@@ -18,22 +18,25 @@ def pick_covers(images: DataFrame) -> DataFrame:
     )
 
 
-def _with_covers(products: DataFrame, images: DataFrame, touched: DataFrame) -> DataFrame:
-    """Recompute the cover of the touched codes; the others keep theirs."""
+def _with_covers(products: DataFrame, images: DataFrame, touched: DataFrame, now: Column) -> DataFrame:
+    """Recompute the cover of the touched codes, and their time of change; the others keep theirs."""
     covers = pick_covers(images.join(touched, "style_code", "left_semi")).withColumnRenamed("cover_image", "_cover")
-    return products.join(covers, "style_code", "left").select(
-        *[F.coalesce("_cover", "cover_image").alias(c) if c == "cover_image" else F.col(c) for c in products.columns]
-    )
+    new = {"cover_image": F.coalesce("_cover", "cover_image"), "updated_at": F.when(F.col("_cover").isNotNull(), now).otherwise(F.col("updated_at"))}
+    return products.join(covers, "style_code", "left").select(*[new.get(c, F.col(c)).alias(c) for c in products.columns])
+
+
+def _time(now: Column | None) -> Column:
+    return (F.current_timestamp() if now is None else now).cast("timestamp")
 
 
 def _tags_seen(catalog: Catalog, product_tags: DataFrame) -> DataFrame:
     return catalog.tags.select("name").unionByName(product_tags.select(F.col("tag").alias("name"))).distinct()
 
 
-def sync_catalog(files: DataFrame, catalog: Catalog) -> tuple[Catalog, DataFrame]:
+def sync_catalog(files: DataFrame, catalog: Catalog, now: Column | None = None) -> tuple[Catalog, DataFrame]:
     """Take in image files(image_name): new products, images by name, covers of the touched products; plus counts.
 
-    Names starting ``MY-`` are user uploads and are left alone.
+    ``now`` is the time of creation and change that touched products get (the current time if none is given). Names starting ``MY-`` are user uploads and are left alone.
     """
     seen = files.filter(~F.startswith("image_name", F.lit("MY-"))).select(
         T.strip(T.style_code_catalog(F.col("image_name"))).alias("style_code"), "image_name",
@@ -42,7 +45,9 @@ def sync_catalog(files: DataFrame, catalog: Catalog) -> tuple[Catalog, DataFrame
     touched = seen.select("style_code").distinct()
     fresh = touched.join(catalog.products, "style_code", "left_anti")
     images = catalog.images.join(seen, "image_name", "left_anti").select("style_code", "image_name", "sort_order").unionByName(seen)
-    products = catalog.products.unionByName(fresh.withColumn("note", F.lit("")), allowMissingColumns=True)
+    now = _time(now)
+    new = fresh.select("style_code", F.lit("").alias("note"), now.alias("created_at"), now.alias("updated_at"))
+    products = catalog.products.unionByName(new, allowMissingColumns=True)
     stats = touched.withColumn("kind", F.lit("total")).unionByName(
         fresh.withColumn("kind", F.lit("added"))
     ).unionByName(seen.select("style_code", F.lit("image").alias("kind"))).agg(
@@ -50,11 +55,11 @@ def sync_catalog(files: DataFrame, catalog: Catalog) -> tuple[Catalog, DataFrame
         F.count_if(F.col("kind") == "added").alias("products_added"),
         F.count_if(F.col("kind") == "image").alias("images_added_or_updated"),
     )
-    return replace(catalog, products=_with_covers(products, images, touched), images=images), stats
+    return replace(catalog, products=_with_covers(products, images, touched, now), images=images), stats
 
 
-def upsert_products(requests: DataFrame, catalog: Catalog) -> Catalog:
-    """requests(style_code, note, image_names array, tags array), one row per code.
+def upsert_products(requests: DataFrame, catalog: Catalog, now: Column | None = None) -> Catalog:
+    """requests(style_code, note, image_names array, tags array), one row per code; ``now`` as in ``sync_catalog``.
 
     The note is overwritten; new images are numbered after the code's highest sort order in list order; an image
     known elsewhere only changes its code; tags are added.
@@ -75,11 +80,17 @@ def upsert_products(requests: DataFrame, catalog: Catalog) -> Catalog:
     )
     images = catalog.images.join(wanted, "image_name", "left_anti").select("style_code", "image_name", "sort_order").unionByName(changed)
     new = r.select("style_code", F.coalesce("note", F.lit("")).alias("_note"))
-    products = catalog.products.join(new, "style_code", "full").select(
-        *[F.coalesce("_note", "note").alias(c) if c == "note" else F.col(c) for c in catalog.products.columns]
+    now = _time(now)
+    given = {
+        "note": F.coalesce("_note", "note"),
+        "created_at": F.when(F.col("_old").isNull(), now).otherwise(F.col("created_at")),
+        "updated_at": F.when(F.col("_note").isNotNull(), now).otherwise(F.col("updated_at")),
+    }
+    products = catalog.products.withColumn("_old", F.lit(True)).join(new, "style_code", "full").select(
+        *[given.get(c, F.col(c)).alias(c) for c in catalog.products.columns]
     )
     with_tags = add_tags(r.select("style_code", "tags"), replace(catalog, products=products))
-    return replace(with_tags, products=_with_covers(products, images, r.select("style_code")), images=images)
+    return replace(with_tags, products=_with_covers(products, images, r.select("style_code"), now), images=images)
 
 
 def _clean_requests(requests: DataFrame, catalog: Catalog) -> DataFrame:
@@ -94,12 +105,17 @@ def unknown_codes(requests: DataFrame, catalog: Catalog) -> DataFrame:
     return requests.select(T.strip(F.col("style_code")).alias("style_code")).join(catalog.products, "style_code", "left_anti")
 
 
-def replace_tags(requests: DataFrame, catalog: Catalog) -> Catalog:
-    """requests(style_code, tags array): the product's tags become exactly these."""
+def replace_tags(requests: DataFrame, catalog: Catalog, now: Column | None = None) -> Catalog:
+    """requests(style_code, tags array): the product's tags become exactly these, its time of change ``now``."""
     r = _clean_requests(requests, catalog)
     kept = catalog.product_tags.join(r, "style_code", "left_anti").select("style_code", "tag")
     new = kept.unionByName(r.select("style_code", F.explode("tags").alias("tag")).distinct())
-    return replace(catalog, product_tags=new, tags=_tags_seen(catalog, new))
+    asked = r.select("style_code", F.lit(True).alias("_asked")).distinct()
+    changed = F.when(F.col("_asked"), _time(now)).otherwise(F.col("updated_at"))
+    products = catalog.products.join(asked, "style_code", "left").select(
+        *[changed.alias(c) if c == "updated_at" else F.col(c) for c in catalog.products.columns]
+    )
+    return replace(catalog, products=products, product_tags=new, tags=_tags_seen(catalog, new))
 
 
 def add_tags(requests: DataFrame, catalog: Catalog) -> Catalog:
@@ -156,14 +172,14 @@ def delete_products(codes: DataFrame, catalog: Catalog) -> Catalog:
     )
 
 
-def delete_images(gone: DataFrame, catalog: Catalog) -> Catalog:
+def delete_images(gone: DataFrame, catalog: Catalog, now: Column | None = None) -> Catalog:
     """gone(style_code, image_name): a product that loses its last image goes too, others get a new cover."""
     hit = catalog.images.join(gone, ["style_code", "image_name"], "left_semi")
     touched = hit.select("style_code").distinct()
     images = catalog.images.join(gone, ["style_code", "image_name"], "left_anti")
     empty = touched.join(images, "style_code", "left_anti")
     left = delete_products(empty, replace(catalog, images=images))
-    return replace(left, products=_with_covers(left.products, left.images, touched))
+    return replace(left, products=_with_covers(left.products, left.images, touched, _time(now)))
 
 
 def backfill_year_tags(catalog: Catalog, max_year: int, overwrite: bool = False) -> tuple[Catalog, DataFrame]:
