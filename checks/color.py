@@ -130,12 +130,15 @@ def _(d):
     return K.nearest_colors(d.readings(), d.cards(), 3)
 
 
-AVERAGES = """nth AS (SELECT *, (row_number() OVER (PARTITION BY device_id ORDER BY ts) - 1) // 3 AS group_no FROM readings),
+AVERAGES = """nth AS (SELECT *, (row_number() OVER (PARTITION BY device_id ORDER BY ts, reading_id) - 1) // 3 AS group_no FROM readings),
     means AS (SELECT device_id, group_no, max(ts) AS ts, avg(l) AS l, avg(a) AS a, avg(b) AS b FROM nth GROUP BY ALL HAVING count(*) = 3)"""
 
 
-@query("match_readings", f"WITH {AVERAGES}, " + _NEAR.format(
-    points="points AS (SELECT device_id || '/' || group_no AS reading_id, l, a, b FROM means)").replace("{{", "{").replace("}}", "}"))
+MATCHED = f"WITH {AVERAGES}, " + _NEAR.format(
+    points="points AS (SELECT device_id || '/' || group_no AS reading_id, l, a, b FROM means)").replace("{{", "{").replace("}}", "}")
+
+
+@query("match_readings", MATCHED)
 def _(d):
     return match_readings(d.readings(), d.cards(), 3)
 

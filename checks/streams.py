@@ -1,9 +1,12 @@
 """Streams over the driver tables as file sources, drained once, next to their batch twins."""
 
+from dataclasses import fields
+
 from pyspark.sql import functions as F
 
 from checks.base import Data, query
-from checks.color import AVERAGES
+from checks.color import AVERAGES, MATCHED
+from tintshelf.operators.catalog import Catalog
 from tintshelf.streaming import manifest as M
 from tintshelf.streaming import readings as S
 from tintshelf.session import new_folder as work_folder
@@ -29,7 +32,7 @@ def _drain(stream, folder: str):
 def _live_readings(d: Data):
     e = F.col("event_id")
     return _source(d, "events").select(
-        F.col("user_id").alias("device_id"), "ts", (F.col("value") % 60 + 20).alias("l"),
+        e.alias("reading_id"), F.col("user_id").alias("device_id"), "ts", (F.col("value") % 60 + 20).alias("l"),
         (e % 161 - 80).cast("double").alias("a"), (e * 7 % 161 - 80).cast("double").alias("b"),
     )
 
@@ -74,21 +77,36 @@ def _(d):
 def _(d):
     folder = work_folder(d.spark)
     code = F.concat(F.lit("ST"), "lang", F.lit("-"), F.col("doc_id") % 100)
-    rows = _source(d, "documents").select(
-        F.concat("lang", F.lit("/"), "doc_id").alias("source_rel_path"), F.concat(code, F.lit("_"), "doc_id", F.lit(".jpg")).alias("image_name"),
-        code.alias("style_code"), F.array(F.concat(F.lit("category:"), "source")).alias("tags"),
-    )
+
+    def rows_of(docs):
+        return docs.select(
+            F.concat("lang", F.lit("/"), "doc_id").alias("source_rel_path"), F.concat(code, F.lit("_"), "doc_id", F.lit(".jpg")).alias("image_name"),
+            code.alias("style_code"), F.array(F.concat(F.lit("category:"), "source")).alias("tags"),
+        )
+
+    # three files and more, one for each micro-batch; every batch starts from the version before it
+    schema = rows_of(d.table("documents")).schema
+    rows_of(d.table("documents")).repartition(3).write.parquet(f"{folder}/in")
+    rows = d.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    tables, versions = [f.name for f in fields(Catalog)], []
+
+    def load():
+        if not versions:
+            return d.catalog()
+        return Catalog(**{t: d.spark.read.parquet(f"{folder}/v{versions[-1]}/{t}") for t in tables})
 
     def store(catalog, batch_id):
-        catalog.product_tags.write.mode("overwrite").parquet(f"{folder}/tags/{batch_id}")
+        for t in tables:
+            getattr(catalog, t).write.mode("overwrite").parquet(f"{folder}/v{batch_id}/{t}")
+        versions.append(batch_id)
 
-    _finish(M.stream_manifest(rows, d.catalog, store, f"{folder}/state", availableNow=True))
-    return d.spark.read.parquet(f"{folder}/tags/0")
+    _finish(M.stream_manifest(rows, load, store, f"{folder}/state", availableNow=True))
+    return d.spark.read.parquet(f"{folder}/v{versions[-1]}/product_tags")
 
 
-@query("match_stream", """WITH """ + AVERAGES + """ SELECT device_id || '/' || group_no AS reading_id, n::INT AS rank FROM means, generate_series(1, 3) g(n)""")
+@query("match_stream", MATCHED)
 def _(d):
-    # The rows and ranks; the distances themselves are those of match_readings.
+    """The same rows as of the batch twin."""
     folder = work_folder(d.spark)
     _finish(S.match_stream(_live_readings(d), d.cards().drop("card_key"), f"{folder}/out", f"{folder}/state", k=3, availableNow=True))
-    return d.spark.read.parquet(f"{folder}/out").select("reading_id", "rank")
+    return d.spark.read.parquet(f"{folder}/out").drop("batch")

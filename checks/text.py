@@ -185,11 +185,11 @@ def _(d):
 
 @query("text_tokens", r"""WITH t AS (SELECT 'd' || doc_id AS image_name, unnest(list_transform(regexp_extract_all(upper(replace(text, 'ß', 'ss')), '[A-Z0-9]{4,}'),
       lambda t: regexp_replace(t, '^[0-9]+|[0-9]+$', '', 'g'))) AS token FROM documents)
-    SELECT image_name, count(DISTINCT token) AS n, min(token) AS low, max(token) AS high FROM t
+    SELECT image_name, string_agg(DISTINCT token, '|' ORDER BY token) AS tokens FROM t
     WHERE length(token) >= 4 AND regexp_matches(token, '[A-Z]') GROUP BY image_name""")
 def _(d):
     t = d.docs().select("image_name", T.text_tokens(F.col("text")).alias("t")).filter(F.size("t") > 0)
-    return t.select("image_name", F.size("t").cast("bigint").alias("n"), F.array_min("t").alias("low"), F.array_max("t").alias("high"))
+    return t.select("image_name", F.array_join(F.array_sort("t"), "|").alias("tokens"))
 
 
 _URL = "(url || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'Q=5&max_edge=10')"

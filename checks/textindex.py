@@ -64,11 +64,11 @@ def _(d):
 def _ranked(d: Data):
     """A first list: the documents that hold the most tokens of a passage."""
     hits = _query_tokens(d).join(_postings(d), F.col("query_token") == F.col("token")).groupBy("query_id", "image_name").agg(F.count("*").alias("n"))
-    return hits.filter("n >= 8").select("query_id", "image_name", (F.col("n") / 40.0).alias("score"))
+    return hits.select("query_id", "image_name", (F.col("n") / 40.0).alias("score"))
 
 
 _EXACT = f"""{_TOKENS}, hits AS (SELECT query_id, image_name, count(*) AS n FROM query_tokens JOIN postings ON token = query_token GROUP BY ALL),
-    ranked AS (SELECT query_id, image_name, n / 40.0::DOUBLE AS score FROM hits WHERE n >= 8),
+    ranked AS (SELECT query_id, image_name, n / 40.0::DOUBLE AS score FROM hits),
     top64 AS (SELECT token, image_name FROM postings QUALIFY row_number() OVER (PARTITION BY token ORDER BY image_name) <= 64),
     raw AS (SELECT query_id, image_name, sum(idf) AS raw, count(*) AS hits FROM query_tokens JOIN token_idf ON token = query_token JOIN top64 USING (token) GROUP BY ALL),
     seeds AS (SELECT query_id, image_name, least(1.2::DOUBLE, 0.88::DOUBLE + 0.18::DOUBLE * raw / (max(raw) OVER (PARTITION BY query_id) + 1e-6::DOUBLE) + least(0.08::DOUBLE, 0.02::DOUBLE * (hits - 1))) AS seed FROM raw),

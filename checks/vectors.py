@@ -73,15 +73,19 @@ def _(d):
 
 
 def _view_scores(d: Data):
-    """Best images of every single view, as one score list per view."""
-    v = d.view_queries().select(F.concat_ws("/", "query_id", "view").alias("query_id"), "embedding")
-    top = V.topk_vectors(v, d.images(), 20)
-    return top.select(F.substring_index("query_id", "/", 1).cast("bigint").alias("query_id"), "image_name", "score")
+    """The score in every view of each image that some view ranks among its best 20."""
+    v = d.view_queries()
+    keyed = v.select(F.concat_ws("/", "query_id", "view").alias("query_id"), "embedding")
+    top = V.topk_vectors(keyed, d.images(), 20)
+    seen = top.select(F.substring_index("query_id", "/", 1).cast("bigint").alias("query_id"), "image_name").distinct()
+    pairs = seen.join(d.images().select("image_name", F.col("embedding").alias("e")), "image_name").join(v, "query_id")
+    dot = F.aggregate(F.zip_with("embedding", "e", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+    return pairs.select("query_id", "image_name", dot.alias("score"))
 
 
 @query("fuse_views", """WITH per_view AS (SELECT q.query_id, q.view, c.image_name, round(list_dot_product(q.embedding, c.embedding), 12) AS score FROM view_queries q, vectors c),
-    top AS (SELECT * FROM per_view QUALIFY row_number() OVER (PARTITION BY query_id, view ORDER BY score DESC, image_name) <= 20)
-    SELECT query_id, image_name, round(0.55::DOUBLE * max(score) + 0.45::DOUBLE * avg(score), 6) AS score FROM top GROUP BY ALL""")
+    top AS (SELECT DISTINCT query_id, image_name FROM (SELECT * FROM per_view QUALIFY row_number() OVER (PARTITION BY query_id, view ORDER BY score DESC, image_name) <= 20))
+    SELECT query_id, image_name, round(0.55::DOUBLE * max(score) + 0.45::DOUBLE * avg(score), 6) AS score FROM per_view JOIN top USING (query_id, image_name) GROUP BY ALL""")
 def _(d):
     return _rounded(V.fuse_views(_view_scores(d), 0.45), "score")
 
@@ -325,21 +329,21 @@ def _(d):
     ).select("query_id", "style_code", "rank_score")
 
 
-def _shape_sims(d: Data):
-    """Shape similarity of the best images of each query by shape alone."""
+def _shape_sims(d: Data, rows):
+    """Shape similarity of every row (query_id, image_name)."""
     m = d.modal()
-    q = m.select(F.col("vec_id").alias("query_id"), F.col("shape").alias("embedding"))
-    return V.topk_vectors(q, m.select("image_name", F.col("shape").alias("embedding")), 50).withColumnRenamed("score", "sim")
-
-
-_SHAPE = """shape_sims AS (SELECT query_id, image_name, sim FROM (SELECT q.vec_id AS query_id, c.image_name, round(list_dot_product(q.shape, c.shape), 12) AS sim FROM modal q, modal c)
-    QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, image_name) <= 50)"""
+    q = m.select(F.col("vec_id").alias("query_id"), F.col("shape").alias("q"))
+    pairs = rows.select("query_id", "image_name").join(q, "query_id").join(m.select("image_name", F.col("shape").alias("c")), "image_name")
+    dot = F.aggregate(F.zip_with("q", "c", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+    return pairs.select("query_id", "image_name", dot.alias("sim"))
 
 
-@query("consistency_boost", f"""WITH {_SHAPE}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, image_name) AS rank FROM recalled)
-    SELECT query_id, image_name, round(score + CASE WHEN rank <= 40 THEN 0.08::DOUBLE * coalesce(sim, 0) ELSE 0 END, 6) AS score FROM r LEFT JOIN shape_sims USING (query_id, image_name)""")
+@query("consistency_boost", """WITH r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, image_name) AS rank FROM recalled)
+    SELECT query_id, r.image_name, round(score + CASE WHEN rank <= 40 THEN 0.08::DOUBLE * list_dot_product(q.shape, c.shape) ELSE 0 END, 6) AS score
+    FROM r JOIN modal q ON q.vec_id = query_id JOIN modal c ON c.image_name = r.image_name""")
 def _(d):
-    return _rounded(R.consistency_boost(_recall(d), _shape_sims(d), 0.08, 40), "score")
+    rows = _recall(d)
+    return _rounded(R.consistency_boost(rows, _shape_sims(d, rows), 0.08, 40), "score")
 
 
 _HASHES = """hashes AS (SELECT vec_id, image_name, bit_or(CASE WHEN v > mean THEN (1::UBIGINT << i::UBIGINT) ELSE 0::UBIGINT END) AS hash FROM (SELECT vec_id, image_name, i, embedding[i + 1] AS v,
@@ -356,12 +360,17 @@ def _(d):
     return _rounded(R.hash_boost(_recall(d), of_query, hashes, 0.06, 40), "score")
 
 
+# The best 50 images of each query by shape alone are a list of its own here, as a region search returns one.
+_SHAPE = """shape_sims AS (SELECT query_id, image_name, sim FROM (SELECT q.vec_id AS query_id, c.image_name, round(list_dot_product(q.shape, c.shape), 12) AS sim FROM modal q, modal c)
+    QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, image_name) <= 50)"""
 _REGION = f"""{_SHAPE}, region AS (SELECT query_id, image_name, sim AS score, regexp_replace(image_name, '_[^_]*$', '') AS style_code FROM shape_sims),
     strong AS (SELECT query_id, style_code, max(score) AS score FROM region WHERE score >= 0.1::DOUBLE GROUP BY query_id, style_code QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY max(score) DESC, style_code) <= 8)"""
 
 
 def _region(d: Data):
-    return _shape_sims(d).withColumnRenamed("sim", "score")
+    m = d.modal()
+    q = m.select(F.col("vec_id").alias("query_id"), F.col("shape").alias("embedding"))
+    return V.topk_vectors(q, m.select("image_name", F.col("shape").alias("embedding")), 50)
 
 
 @query("region_code_prior", f"WITH {_REGION} SELECT query_id, style_code AS code, round(0.08::DOUBLE * 0.45, 6) AS boost FROM strong")
@@ -425,9 +434,12 @@ def _flat(df, column, extra=()):
     )
 
 
-@query("crop_ratio", f"WITH {_BOXES} SELECT {_KEYS}, {_ROUND4} FROM boxes")
+@query("crop_ratio", f"""WITH {_BOXES}, judged AS (SELECT *, bw >= 20 AND bh >= 20 AND x1 - x0 >= 20 AND y1 - y0 >= 20 AS ok FROM edges)
+    SELECT {_KEYS}, CASE WHEN ok THEN round(greatest(0, least(1, (x0 - ox) / dw)), 9) END AS x, CASE WHEN ok THEN round(greatest(0, least(1, (y0 - oy) / dh)), 9) END AS y,
+      CASE WHEN ok THEN round(greatest(0, least(1, (x1 - x0) / dw)), 9) END AS w, CASE WHEN ok THEN round(greatest(0, least(1, (y1 - y0) / dh)), 9) END AS h FROM judged""")
 def _(d):
-    return _flat(_boxes(d), "r")
+    """Too small boxes are null."""
+    return _boxes(d).select(*_KEYS.split(", "), *[F.round(F.col(f"r.{c}"), 9).alias(c) for c in _FOUR])
 
 
 _GROWN = """grown AS (SELECT *, greatest(0.01::DOUBLE, least(1, w * 2)) AS gw, greatest(0.01::DOUBLE, least(1, h * 2.4::DOUBLE)) AS gh FROM boxes)"""

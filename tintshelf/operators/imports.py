@@ -9,6 +9,7 @@ from tintshelf.functions import text as T
 from tintshelf.operators import maintenance as M
 from tintshelf.operators.catalog import Catalog
 from tintshelf.operators.numbering import number_within, running_sums
+from tintshelf.session import spread
 
 # ---- fixed values: statuses and messages ---------------------------------------------------------------
 OK, INVALID, FAILED = "ok", "invalid_style_code", "ocr_failed"
@@ -22,11 +23,12 @@ def _proposal(mode: str) -> Column:
     text = F.coalesce(F.col("text"), F.lit(""))
 
     def option(code: Column, source: str) -> Column:
-        return F.when(code != "", F.struct(code.alias("code"), F.lit(source).alias("source")))
+        # the code is worked out once, however often it is used
+        return T.let(code, lambda c: F.when(c != "", F.struct(c.alias("code"), F.lit(source).alias("source"))))
 
-    marked = F.coalesce(T.extract_hash_code(text), F.lit(""))
+    marked = T.let(F.coalesce(T.extract_hash_code(text), F.lit("")), lambda c: F.when(T.is_effective_code(c, "first"), c).otherwise(F.lit("")))
     from_text = [
-        option(F.when(T.is_effective_code(marked, "first"), marked).otherwise(F.lit("")), "normal"),
+        option(marked, "normal"),
         option(T.extract_style_code(text, hash_suffix=False), "prefixed_fallback"),
         option(T.code_before_hash(text, "first"), "hash_prefix"),
     ]
@@ -35,12 +37,18 @@ def _proposal(mode: str) -> Column:
     return F.coalesce(*order, F.struct(F.lit("").alias("code"), F.lit("").alias("source")))
 
 
+def _cores(df: DataFrame) -> int:
+    return min(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def propose_codes(files: DataFrame, mode: str = "text_first") -> DataFrame:
     """files(root, path, text) to one row per file with proposed code, status, error and tags.
 
     ``text`` is the recognised text of the image, an input here. ``path`` includes ``root``.
     """
-    f = files.withColumn("source_name", F.regexp_replace("path", "^.*/", ""))
+    # Few large row groups make few tasks: the patterns are worth a shuffle of the rows then.
+    f = spread(files, "path") if files.rdd.getNumPartitions() < _cores(files) else files
+    f = f.withColumn("source_name", F.regexp_replace("path", "^.*/", ""))
     f = f.withColumn("found", _proposal(mode))
     code = T.clean_code(F.col("found.code"), "first")
     valid = code.rlike("^[A-Z0-9][A-Z0-9_-]{2,}$")
@@ -65,15 +73,16 @@ def propose_codes(files: DataFrame, mode: str = "text_first") -> DataFrame:
 def allocate_names(files: DataFrame, existing: DataFrame) -> DataFrame:
     """Add ``proposed_filename`` = prefix_NNN.ext, numbered in path order behind the highest number in use.
 
-    files(source_rel_path, prefix, suffix, ..), existing(image_name). Prefixes that differ only in case share
+    files(source_rel_path, prefix, suffix, ..), existing(image_name), of which image files count. Prefixes that differ only in case share
     a counter, so no name collides without regard to case. A prefix of any share of the files is numbered
     across partitions.
     """
     pattern = r"(?s)^(.*)_(\d+)\.[^.]+$"
-    used = existing.select(
+    images = existing.filter(T.suffix_of(F.col("image_name")).isin(*T.IMAGE_SUFFIXES))
+    used = images.select(
         F.lower(F.regexp_extract("image_name", pattern, 1)).alias("_fold"),
         (F.regexp_extract("image_name", pattern, 2).try_cast("bigint") + 1).alias("start"),
-    ).filter("start IS NOT NULL").groupBy("_fold").agg(F.max("start").alias("start"))
+    ).filter(F.col("start").isNotNull()).groupBy("_fold").agg(F.max("start").alias("start"))
     f = number_within(files.withColumn("_fold", F.lower("prefix")), ["_fold"], ["source_rel_path"], "_nth")
     f = f.join(used, "_fold", "left")
     n = (F.coalesce("start", F.lit(0)) + F.col("_nth")).cast("string")
@@ -116,10 +125,7 @@ def import_summary(prepared: DataFrame, manifest: DataFrame) -> DataFrame:
 def apply_manifest(catalog: Catalog, manifest: DataFrame) -> tuple[Catalog, DataFrame]:
     """Nightly follow-up: sync the catalog with the imported images, then add the manifest's tags to their products."""
     synced, stats = M.sync_catalog(manifest.select("image_name"), catalog)
-    tags = manifest.select("style_code", F.explode("tags").alias("tag")).groupBy("style_code").agg(
-        F.collect_set("tag").alias("tags")  # distinct folder tags of one product
-    )
-    return M.add_tags(tags, synced), stats
+    return M.add_tag_rows(manifest.select("style_code", F.explode("tags").alias("tag")), synced), stats
 
 
 def scan_progress(files: DataFrame, every: int = 50) -> DataFrame:

@@ -124,6 +124,14 @@ def add_tags(requests: DataFrame, catalog: Catalog) -> Catalog:
     return replace(catalog, product_tags=new, tags=_tags_seen(catalog, new))
 
 
+def add_tag_rows(rows: DataFrame, catalog: Catalog) -> Catalog:
+    """rows(style_code, tag): as ``add_tags``, one row for each tag; no product's tags are gathered."""
+    r = rows.select(T.strip(F.col("style_code")).alias("style_code"), T.strip(F.col("tag")).alias("tag")).filter("tag <> ''")
+    r = r.distinct().join(catalog.products, "style_code", "left_semi")
+    new = catalog.product_tags.select("style_code", "tag").unionByName(r).distinct()
+    return replace(catalog, product_tags=new, tags=_tags_seen(catalog, new))
+
+
 def replace_tags_by_type(requests: DataFrame, catalog: Catalog, types: list[str]) -> Catalog:
     """Replace only the tags of the given types; other requested tags are ignored, other old ones stay."""
     kinds = [t.strip() for t in types if t.strip()]

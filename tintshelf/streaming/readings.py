@@ -15,7 +15,7 @@ from tintshelf.operators.numbering import number_within
 
 SAMPLES = 3
 AVERAGE_SCHEMA = "device_id bigint, group_no bigint, ts timestamp, l double, a double, b double, sample_count int"
-STATE_SCHEMA = "group_no bigint, ts array<timestamp>, l array<double>, a array<double>, b array<double>"
+STATE_SCHEMA = "group_no bigint, ts array<timestamp>, reading_id array<bigint>, l array<double>, a array<double>, b array<double>"
 
 
 def valid_readings(readings: DataFrame) -> DataFrame:
@@ -28,11 +28,11 @@ def valid_readings(readings: DataFrame) -> DataFrame:
 
 
 def average_readings(readings: DataFrame, n: int = SAMPLES) -> DataFrame:
-    """readings(device_id, ts, l, a, b): every n consecutive valid readings of a device become one mean.
+    """readings(reading_id, device_id, ts, l, a, b): every n consecutive valid readings of a device become one mean.
 
-    An incomplete last group emits nothing. Numbering crosses partitions, so a device may hold any share of the rows.
+    Readings of one time come in the order of their ids. An incomplete last group emits nothing. Numbering crosses partitions, so a device may hold any share of the rows.
     """
-    numbered = number_within(valid_readings(readings), ["device_id"], ["ts"])
+    numbered = number_within(valid_readings(readings), ["device_id"], ["ts", "reading_id"])
     groups = numbered.groupBy("device_id", F.floor(F.col("nth") / n).alias("group_no")).agg(
         F.max("ts").alias("ts"), *[F.avg(c).alias(c) for c in "lab"], F.count("*").cast("int").alias("sample_count")
     )
@@ -42,7 +42,7 @@ def average_readings(readings: DataFrame, n: int = SAMPLES) -> DataFrame:
 def stream_average_readings(readings: DataFrame, n: int = SAMPLES, idle: str = "1 day") -> DataFrame:
     """Streaming twin of ``average_readings``. State per device is at most n - 1 readings; a device silent for
     ``idle`` of event time forgets its unfinished group, and readings later than that are dropped. Rows of one
-    micro-batch are put in time order; order across micro-batches is arrival order.
+    micro-batch are put in order of time and id; order across micro-batches is arrival order.
 
     The timeout follows event time: one in processing time would keep a drained stream alive for ever.
     """
@@ -51,9 +51,10 @@ def stream_average_readings(readings: DataFrame, n: int = SAMPLES, idle: str = "
         if state.hasTimedOut:
             state.remove()
             return
-        done, ts, l, a, b = state.get if state.exists else (0, [], [], [], [])
-        pending = pd.DataFrame({"ts": list(ts), "l": list(l), "a": list(a), "b": list(b)})
-        fresh = pd.concat([p[["ts", "l", "a", "b"]] for p in batches]).sort_values("ts")
+        columns = ["ts", "reading_id", "l", "a", "b"]
+        done, *old = state.get if state.exists else (0, [], [], [], [], [])
+        pending = pd.DataFrame({c: list(v) for c, v in zip(columns, old, strict=True)})
+        fresh = pd.concat([p[columns] for p in batches]).sort_values(["ts", "reading_id"])
         rows = pd.concat([pending, fresh], ignore_index=True) if len(pending) else fresh.reset_index(drop=True)
         full = len(rows) // n
         if full:
@@ -64,13 +65,13 @@ def stream_average_readings(readings: DataFrame, n: int = SAMPLES, idle: str = "
             means["sample_count"] = n
             yield means
         rest = rows.iloc[full * n :]
-        state.update((done + full, *[list(rest[c]) for c in ("ts", "l", "a", "b")]))
+        state.update((done + full, *[list(rest[c]) for c in columns]))
         last = int(fresh["ts"].iloc[-1].timestamp() * 1000)
         state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + idle_ms)
 
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
     live = valid_readings(readings).select(
-        "device_id", F.col("ts").cast("timestamp").alias("ts"), "l", "a", "b"
+        "reading_id", "device_id", F.col("ts").cast("timestamp").alias("ts"), "l", "a", "b"
     ).withWatermark("ts", idle)
     return live.groupBy("device_id").applyInPandasWithState(
         fold, AVERAGE_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout
