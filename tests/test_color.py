@@ -1,9 +1,11 @@
 """Published CIEDE2000 pairs, colour conversions and the exact nearest-colour search."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tintshelf.functions import color as C
+from tintshelf.operators.colorboxes import Shelf
 from tintshelf.operators.colorcards import nearest_colors
 
 # fixed values: pairs 1-8, 17, 25 of the published CIEDE2000 test data
@@ -42,7 +44,11 @@ def test_nearest_colors_equals_brute_force(spark):
         F.col("id").alias("reading_id"), (F.col("id") * 13 % 100).cast("double").alias("l"),
         (F.col("id") * 29 % 260 - 130.0).alias("a"), (F.col("id") * 41 % 260 - 130.0).alias("b"),
     )
-    got = {(r["reading_id"], r["rank"]): (r["name"], r["delta_e_00"]) for r in nearest_colors(readings, cards, 7).collect()}
+    got, by_join = (
+        {(r["reading_id"], r["rank"]): (r["name"], r["delta_e_00"]) for r in nearest_colors(readings, cards, 7, max_broadcast_cards=most).collect()}
+        for most in (1000, 10)
+    )
+    assert got == by_join
     pairs = readings.crossJoin(cards.select("name", *[F.col(c).alias(f"c{c}") for c in "lab"]))
     rows = C.with_delta_e(pairs, ("l", "a", "b"), ("cl", "ca", "cb")).select("reading_id", "name", F.round("delta_e_00", 6).alias("d")).collect()
     want = {}
@@ -60,3 +66,16 @@ def test_hex_and_hsv(spark):
     ).first()
     assert (r["white"], r["black"], r["h"], r["bad"]) == ("FFFFFF", "000000", "A0B1C2", None)
     assert tuple(round(v, 9) for v in r["green"]) == (0.0, 1.0, 0.0)
+
+
+def test_pairs_per_reading_stay_level():
+    """Ten times the cards cost each reading about as many comparisons."""
+    r = np.random.default_rng(3)
+    asked = np.c_[r.uniform(0, 100, 2000), r.uniform(-80, 80, (2000, 2))]
+    pairs = []
+    for n in (2000, 20_000):
+        shelf = Shelf(np.c_[r.uniform(0, 100, n), r.uniform(-80, 80, (n, 2))])
+        for part in shelf.chunks(asked):
+            shelf.closest(asked[part], 3)
+        pairs.append(shelf.scored / len(asked))
+    assert pairs[1] < 1.6 * pairs[0] and pairs[1] < 0.03 * 20_000

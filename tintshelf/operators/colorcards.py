@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tintshelf.functions import color as C
 from tintshelf.functions import text as T
 from tintshelf.operators.catalog import contains_like
+from tintshelf.operators.colorboxes import Boxes, Shelf
 from tintshelf.operators.numbering import number_within
 from tintshelf.session import spread
 
@@ -20,6 +21,8 @@ SPECTRAL = "array<struct<wavelength:int,value:double>>"
 # Edge lengths of the Lab grid; values past the gamut fall into the outermost cells, so the grid has at most
 # 12 * 18 * 18 cells however many cards there are.
 GRID_L, GRID_AB = 10.0, 16.0
+#: Cards that every task may hold (about 100 bytes each).
+MAX_BROADCAST_CARDS = 500_000
 
 
 @dataclass(frozen=True)
@@ -92,40 +95,7 @@ def _cell(l: Column, a: Column, b: Column) -> Column:
     return (step(l, -10, GRID_L, 12) * 18 + step(a, -144, GRID_AB, 18)) * 18 + step(b, -144, GRID_AB, 18)
 
 
-class _Cells:
-    """Bounding boxes of the occupied grid cells, with a lower bound of dE00 from a colour to anything inside.
-
-    dE00^2 >= (dL/S_L)^2 + (1 - |R_T|/2) * (dC'^2 + dH'^2) / max(S_C, S_H)^2, where dC'^2 + dH'^2 >= da^2 + db^2,
-    S_H <= S_C = 1 + 0.045*C', and |R_T|/2 <= sin(60 deg) * sqrt(C'^7 / (C'^7 + 25^7)). C' is at most (1+G)*C for
-    the mean chroma C of the pair, which grows with C, so the cell's largest chroma gives a valid bound.
-    """
-
-    def __init__(self, rows):
-        self.ids = np.array([r["cell"] for r in rows], dtype=np.int32)
-        self.n = np.array([r["n"] for r in rows], dtype=np.float64)
-        self.low = np.array([[r[f"{c}0"] for c in "lab"] for r in rows], dtype=np.float64).reshape(-1, 3)
-        self.high = np.array([[r[f"{c}1"] for c in "lab"] for r in rows], dtype=np.float64).reshape(-1, 3)
-        far = np.maximum(np.abs(self.low[:, 1:]), np.abs(self.high[:, 1:]))
-        self.chroma = np.hypot(far[:, 0], far[:, 1])
-        self.off = np.maximum(np.abs(self.low[:, 0] - 50), np.abs(self.high[:, 0] - 50))
-
-    def lower_bound(self, lab: np.ndarray) -> np.ndarray:
-        gap = np.maximum(np.maximum(self.low[None] - lab[:, None], lab[:, None] - self.high[None]), 0.0)
-        off = np.maximum(np.abs(lab[:, :1] - 50), self.off[None])
-        s_l = 1 + 0.015 * off**2 / np.sqrt(20 + off**2)
-        c = (np.hypot(lab[:, 1], lab[:, 2])[:, None] + self.chroma[None]) / 2
-
-        def weight(x):
-            cube = x * x * x
-            seventh = cube * cube * x
-            return np.sqrt(seventh / (seventh + 25.0**7))
-
-        c = c * (1.5 - 0.5 * weight(c))
-        ab2 = (gap[..., 1] ** 2 + gap[..., 2] ** 2) * (1 - np.sin(np.radians(60)) * weight(c)) / (1 + 0.045 * c) ** 2
-        return np.sqrt((gap[..., 0] / s_l) ** 2 + ab2)
-
-
-def _route(points: DataFrame, cells: _Cells, k: int, first: bool) -> DataFrame:
+def _route(points: DataFrame, cells: Boxes, k: int, first: bool) -> DataFrame:
     """(l, a, b, reach, cell). ``first``: the closest cells that together hold k cards; else all others within reach."""
 
     def route(batches):
@@ -159,13 +129,52 @@ def _nearest(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def nearest_colors(readings: DataFrame, cards: DataFrame, k: int = 12, libraries: list[str] | None = None) -> DataFrame:
+def _nearest_by_join(points: DataFrame, shelf: DataFrame, k: int) -> DataFrame:
+    """The k closest cards of every distinct colour, by joins over a Lab grid: for more cards than a task can hold."""
+    lab = ["l", "a", "b"]
+    shelf = shelf.select("library_id", "name", *[F.col(c).alias(f"c{c}") for c in lab], _cell(*[F.col(c) for c in lab]).alias("cell"))
+    summary = shelf.groupBy("cell").agg(
+        F.count("*").alias("n"),
+        *[F.min(f"c{c}").alias(f"{c}0") for c in lab], *[F.max(f"c{c}").alias(f"{c}1") for c in lab],
+    ).collect()  # at most one row per grid cell
+    cells = Boxes([[r[f"{c}0"] for c in lab] for r in summary], [[r[f"{c}1"] for c in lab] for r in summary], [r["n"] for r in summary])
+    cells.ids = np.array([r["cell"] for r in summary], dtype=np.int32)
+    near = _score(_route(points, cells, k, True), shelf, k)
+    reach = near.groupBy(*lab).agg(F.max("delta_e_00").alias("far"), F.count("*").alias("got"))
+    held = points.drop("reach").join(reach, lab, "left").withColumn(
+        "reach", F.when(F.col("got") >= k, F.col("far")).otherwise(F.lit(float("inf")))
+    ).drop("far", "got")
+    rest = _score(_route(held, cells, k, False), shelf, k)
+    return _nearest(near.drop("rank").unionByName(rest.drop("rank")), k)
+
+
+def _nearest_in_tasks(points: DataFrame, shelf: DataFrame, k: int) -> DataFrame:
+    """The same, with all cards in every task: their number has been checked."""
+    rows = shelf.orderBy("library_id", "name").select("library_id", "name", "l", "a", "b").toPandas()
+    sent = points.sparkSession.sparkContext.broadcast((rows["library_id"].to_numpy(object), rows["name"].to_numpy(object), rows[["l", "a", "b"]].to_numpy(np.float64)))
+
+    def match(batches):
+        library, name, lab = sent.value
+        cards = Shelf(lab)
+        for pdf in batches:
+            asked = pdf[["l", "a", "b"]].to_numpy(np.float64)
+            for part in cards.chunks(asked):
+                row, card, distance, rank = cards.closest(asked[part], k)
+                where = part[row]
+                yield pd.DataFrame({"l": asked[where, 0], "a": asked[where, 1], "b": asked[where, 2], "library_id": library[card], "name": name[card], "delta_e_00": distance, "rank": rank})
+
+    return points.select("l", "a", "b").mapInPandas(match, "l double, a double, b double, library_id string, name string, delta_e_00 double, rank int")
+
+
+def nearest_colors(
+    readings: DataFrame, cards: DataFrame, k: int = 12, libraries: list[str] | None = None, max_broadcast_cards: int = MAX_BROADCAST_CARDS
+) -> DataFrame:
     """readings(reading_id, l, a, b) to their k closest cards: (reading_id, rank, library_id, name, delta_e_00).
 
     Exact, without pairing every reading with every card. Equal readings are matched once, and of equally
-    coloured cards only the first k by name can appear. Cards lie in a bounded Lab grid; a reading is first
-    compared with its closest cells, which bounds its k-th distance, then with every other cell whose lower
-    bound does not exceed that. Ties go to (library_id, name). Distances are rounded to 6 places.
+    coloured cards only the first k by name can appear. Up to ``max_broadcast_cards`` cards go to all tasks, which
+    hold them in boxes of a few cards and look only into boxes that a proven bound cannot exclude; more cards lie
+    in a Lab grid that is joined with the readings. Ties go to (library_id, name). Distances are rounded to 6 places.
     """
     k = max(1, min(int(k), 100))
     if libraries:
@@ -173,29 +182,13 @@ def nearest_colors(readings: DataFrame, cards: DataFrame, k: int = 12, libraries
     first = Window.partitionBy("l", "a", "b").orderBy("library_id", "name")
     shelf = cards.select("library_id", "name", *[F.col(c).cast("double").alias(c) for c in "lab"]).withColumn(
         "_rn", F.row_number().over(first)
-    ).filter(F.col("_rn") <= k)
-    shelf = shelf.select(
-        "library_id", "name", F.col("l").alias("cl"), F.col("a").alias("ca"), F.col("b").alias("cb"),
-        _cell(F.col("l"), F.col("a"), F.col("b")).alias("cell"),
-    )
-    summary = shelf.groupBy("cell").agg(
-        F.count("*").alias("n"),
-        *[F.min(f"c{c}").alias(f"{c}0") for c in "lab"], *[F.max(f"c{c}").alias(f"{c}1") for c in "lab"],
-    )
-    cells = _Cells(summary.collect())  # at most one row per grid cell
+    ).filter(F.col("_rn") <= k).drop("_rn")
     asked = readings.select("reading_id", *[F.col(c).cast("double").alias(c) for c in "lab"])
     lab = ["l", "a", "b"]
     points = spread(asked.select(*lab), *lab).distinct().withColumn("reach", F.lit(float("inf")))
-    near = _score(_route(points, cells, k, True), shelf, k)
-    reach = near.groupBy(*lab).agg(F.max("delta_e_00").alias("far"), F.count("*").alias("got"))
-    held = points.drop("reach").join(reach, lab, "left").withColumn(
-        "reach", F.when(F.col("got") >= k, F.col("far")).otherwise(F.lit(float("inf")))
-    ).drop("far", "got")
-    rest = _score(_route(held, cells, k, False), shelf, k)
-    best = _nearest(near.drop("rank").unionByName(rest.drop("rank")), k)
-    return asked.join(best, lab).select(
-        "reading_id", "rank", "library_id", "name", "delta_e_00"
-    )
+    few = shelf.limit(max_broadcast_cards + 1).count() <= max_broadcast_cards
+    best = (_nearest_in_tasks if few else _nearest_by_join)(points, shelf, k)
+    return asked.join(best, lab).select("reading_id", "rank", "library_id", "name", "delta_e_00")
 
 
 # ---- maintenance ------------------------------------------------------------------------------------------------
