@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from checks.base import Data, query
+from tintshelf.operators.learn import PairModel
+from tintshelf.operators.vectors import recall_size
 from tintshelf.operators import textindex as H
 from tintshelf.session import new_folder as work_folder
 from tintshelf.sources import files as W
@@ -88,3 +90,64 @@ def _(d):
     before = now.join(touched, "doc_id", "left").withColumn("modified", F.col("modified") - F.expr("make_interval(0, 0, 0, 0, 0, 0, coalesce(t, 0))"))
     old = before.select(W.signature(F.col("image_name"), F.col("size"), F.col("modified")).alias("signature"))
     return W.changed_files(now, old).select("image_name")
+
+
+def _image_files(d: Data) -> str:
+    """Folder with one small image file per vector, every seventh named like an upload."""
+    folder = work_folder(d.spark) + "/images"
+    upload = F.concat(F.lit("MY-"), F.col("image_id").cast("string"), F.lit(".PNG"))
+    name = F.when(F.col("image_id") % 7 == 0, upload).otherwise(F.concat(F.col("image_id").cast("string"), F.lit(".png")))
+    W.write_images(d.pixels().withColumn("image_name", name), folder)
+    return folder
+
+
+@query("scan_images", "SELECT CASE WHEN vec_id % 7 = 0 THEN 'MY-' || vec_id || '.PNG' ELSE vec_id || '.png' END AS image_name, vec_id % 7 <> 0 AS in_catalog FROM embeddings")
+def _(d):
+    folder = _image_files(d)
+    listed = W.scan_images(d.spark, folder).select("image_name")
+    catalog = W.scan_images(d.spark, folder, variant="catalog").select("image_name", F.lit(True).alias("c"))
+    return listed.join(catalog, "image_name", "left").select("image_name", F.coalesce("c", F.lit(False)).alias("in_catalog"))
+
+
+@query("to_pixels", "SELECT image_id, y, x, r, g, b FROM pixels")
+def _(d):
+    pixels = W.to_pixels(W.read_images(d.spark, _image_files(d)))
+    return pixels.withColumn("image_id", F.regexp_extract("image_id", r"(\d+)", 1).cast("bigint"))
+
+
+@query("removed_files", """SELECT c_name || '.jpg' AS image_name, 'removed' AS kind FROM customer WHERE c_custkey % 5 = 0
+    UNION ALL SELECT c_name || '.jpg', 'new' FROM customer WHERE c_custkey % 5 = 1""")
+def _(d):
+    """A fifth of the files is gone, another fifth was seen with other settings."""
+    c = d.table("customer").select("c_custkey", F.concat("c_name", F.lit(".jpg")).alias("image_name"), F.lit(7).alias("size"), F.timestamp_seconds("c_custkey").alias("modified"))
+    seen = c.select(W.signature(F.col("image_name"), F.col("size"), F.col("modified")).alias("signature"), F.when(F.col("c_custkey") % 5 == 1, "old").otherwise("now").alias("settings_key"))
+    here = c.filter("c_custkey % 5 <> 0").drop("c_custkey")
+    gone = W.removed_files(here, seen).withColumn("kind", F.lit("removed"))
+    return gone.unionByName(W.changed_files(here, seen, "now").select("image_name", F.lit("new").alias("kind")))
+
+
+@query("model_round_trip", "SELECT (i - 1)::INT AS i, round(avg(embedding[i]::DOUBLE), 6) AS weight FROM embeddings, generate_series(1, 10) g(i) GROUP BY i")
+def _(d):
+    """A model whose weights are means over the vectors, stored and loaded again."""
+    folder = work_folder(d.spark) + "/model"
+    means = d.vectors().agg(*[F.avg(F.get("embedding", F.lit(i))).alias(f"w{i}") for i in range(10)]).first()
+    R.save_model(d.spark, PairModel(tuple(means), 0.0, (0.0,) * 10, (1.0,) * 10), folder)
+    weights = R.load_model(d.spark, folder).weights
+    return d.spark.createDataFrame([(i, w) for i, w in enumerate(weights)], "i int, weight double").withColumn("weight", F.round("weight", 6))
+
+
+@query("report_round_trip", "SELECT count(*) AS samples, round(avg(toxic), 9) AS pos_rate, round(avg((quality = toxic)::INT), 9) AS train_acc FROM labels")
+def _(d):
+    folder = work_folder(d.spark) + "/report"
+    acc = F.avg((F.col("quality") == F.col("toxic")).cast("int"))
+    R.write_training_report(d.table("labels").agg(F.count("*").alias("samples"), F.avg("toxic").alias("pos_rate"), acc.alias("train_acc")), folder, {"table": "labels"})
+    return R.read_training_report(d.spark, folder).select("metrics.*").withColumns({c: F.round(c, 9) for c in ("pos_rate", "train_acc")})
+
+
+@query("recall_size", """SELECT k::INT AS k, cap::INT AS cap, least(least(n, k * 30), CASE WHEN cap > 0 THEN cap ELSE n END)::BIGINT AS size
+    FROM (SELECT count(*) AS n FROM embeddings), (SELECT DISTINCT p_size AS k FROM part), (SELECT unnest([0, 512]) AS cap)""")
+def _(d):
+    """How many images to recall for as many codes as a part size says (at most some dozens of sizes)."""
+    n = d.table("embeddings").count()
+    sizes = [r[0] for r in d.table("part").select("p_size").distinct().collect()]
+    return d.spark.createDataFrame([(k, cap, recall_size(k, 30, cap, n)) for k in sizes for cap in (0, 512)], "k int, cap int, size bigint")

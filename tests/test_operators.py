@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tintshelf.operators import blocks
+from tintshelf.operators.catalog import assemble_products
 from tintshelf.operators.imports import allocate_names
 from tintshelf.operators.layout import assign_slots
 from tintshelf.operators.numbering import number_within
@@ -89,6 +90,20 @@ def test_assign_slots_fills_round(spark):
 
 
 def test_average_readings_skips_broken_and_incomplete(spark):
-    rows = [(1, datetime(2024, 1, 1, 0, 0, i), float(i), 0.0, float("nan") if i == 1 else 1.0) for i in range(6)]
-    got = average_readings(spark.createDataFrame(rows, "device_id long, ts timestamp, l double, a double, b double")).collect()
+    rows = [(i, 1, datetime(2024, 1, 1, 0, 0, i), float(i), 0.0, float("nan") if i == 1 else 1.0) for i in range(6)]
+    schema = "reading_id long, device_id long, ts timestamp, l double, a double, b double"
+    got = average_readings(spark.createDataFrame(rows, schema)).collect()
+    tied = [(9 - i, 1, datetime(2024, 1, 1), float(i), 0.0, 1.0) for i in range(6)]
+    means = {r["group_no"]: r["l"] for r in average_readings(spark.createDataFrame(tied, schema)).collect()}
+    assert means == {0: 4.0, 1: 1.0}  # readings of one time by their ids
     assert [(r["group_no"], round(r["l"], 6)) for r in got] == [(0, round((0 + 2 + 3) / 3, 6))]
+
+
+def test_product_with_many_images_is_one_row(spark):
+    n = 12_000
+    products = spark.createDataFrame([("A-1", "", "x"), ("B-2", "", "y")], "style_code string, cover_image string, note string")
+    images = spark.range(n).select(F.lit("A-1").alias("style_code"), F.concat(F.lit("A-1_"), "id").alias("image_name"), (n - F.col("id")).cast("int").alias("sort_order"))
+    tags = spark.createDataFrame([("A-1", "t")], "style_code string, tag string")
+    rows = {r["style_code"]: r for r in assemble_products(products, images, tags).collect()}
+    assert len(rows) == 2 and rows["B-2"]["images"] == [] and rows["A-1"]["image_count"] == n
+    assert [i["sort_order"] for i in rows["A-1"]["images"]] == list(range(1, n + 1))

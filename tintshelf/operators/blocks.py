@@ -2,10 +2,11 @@
 
 Both sides are arrays of doubles; one query may have several views. Two physical ways, same rows:
 
-* the query side is small (checked): it is broadcast once and the catalog is scanned one Arrow batch at a
-  time, each partition returning only its own best rows;
+* the query side is small (checked): it is broadcast once and the catalog is scanned in tiles, each partition
+  returning only its own best rows. Every pair is scored, by matrix products of bounded size;
 * otherwise both sides are spread over Voronoi cells of bounded number. A cell can be skipped for a query
-  when ``q.p + |q| * radius`` (Cauchy-Schwarz) stays under the score the query already holds. Cells are
+  when ``q.p + |q| * radius`` (Cauchy-Schwarz) stays under the score the query already holds; vectors that
+  form no clusters leave little to skip, and then every pair is scored here as well. Cells are
   cut into hash chunks of bounded size on both sides, so a cell with a third of all rows is many tasks.
 
 Scores are rounded to 12 places, so the block layout cannot change them; ties go to the smaller key.
@@ -21,10 +22,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tintshelf.operators.numbering import checkpointed
+
 PAIR_SCHEMA = "query_id string, key string, score double"
 MAX_BROADCAST_VALUES = 8_000_000  # 64 MB of doubles
 MAX_PIVOTS = 1024
 CHUNK_ROWS = 4096
+TILE_VALUES = 4_000_000  # scores of one product of tiles: 32 MB
 PLACES = 12
 
 
@@ -54,6 +58,18 @@ class _Queries:
         self.starts = np.concatenate([[0], np.cumsum(self.counts)[:-1]]).astype(int)
         self.stack = np.vstack(views) if views else np.zeros((0, 1))
 
+    def tiles(self, rows: int):
+        """Parts of at most ``rows`` stacked rows (one query at least)."""
+        first = 0
+        while first < len(self.ids):
+            upto = max(first + 1, int(np.searchsorted(np.cumsum(self.counts[first:]), rows, side="right")) + first)
+            part = object.__new__(_Queries)
+            part.ids, part.codes, part.counts = self.ids[first:upto], self.codes[first:upto], self.counts[first:upto]
+            start = self.starts[first]
+            part.starts, part.stack = self.starts[first:upto] - start, self.stack[start : start + part.counts.sum()]
+            yield part
+            first = upto
+
     def fuse(self, per_view: np.ndarray, consensus: float) -> np.ndarray:
         top = np.maximum.reduceat(per_view, self.starts, axis=0)
         if consensus <= 1e-6:
@@ -101,23 +117,27 @@ def best_of(pairs: DataFrame, keep: Keep) -> DataFrame:
 
 
 def _scan(queries: DataFrame, catalog: DataFrame, keep: Keep) -> DataFrame:
-    shared = queries.sparkSession.sparkContext.broadcast(queries.toPandas())
+    """Tiles of queries against tiles of catalog rows; a task holds one product of tiles and the best rows so far."""
+    shared = queries.sparkSession.sparkContext.broadcast(_Queries(queries.toPandas()))
 
     def best(batches):
-        block = _Queries(shared.value)
-        held, limit = [], 4 * len(block.ids) * (keep.k or 64)
+        tiles = list(shared.value.tiles(TILE_VALUES // CHUNK_ROWS))
+        held: list[list[pd.DataFrame]] = [[] for _ in tiles]
         for pdf in batches:
-            if not len(pdf) or not len(block.ids):
-                continue
-            held.append(
-                _best_pairs(block, pdf["key"].to_numpy(object), pdf["code"].to_numpy(object), _matrix(pdf["vec"]), keep)
-            )
-            if sum(map(len, held)) > limit:
-                held = [_merge(pd.concat(held), keep)]
-                if keep.floor is not None:  # every row counts here, so hand them on instead of holding them
-                    yield held.pop()
-        if held:
-            yield _merge(pd.concat(held), keep)
+            for start in range(0, len(pdf), CHUNK_ROWS):
+                part = pdf.iloc[start : start + CHUNK_ROWS]
+                keys, codes, vectors = part["key"].to_numpy(object), part["code"].to_numpy(object), _matrix(part["vec"])
+                for tile, rows in zip(tiles, held, strict=True):
+                    found = _best_pairs(tile, keys, codes, vectors, keep)
+                    if keep.floor is not None:  # every row counts here, so hand them on instead of holding them
+                        yield found
+                        continue
+                    rows.append(found)
+                    if sum(map(len, rows)) > 3 * len(tile.ids) * keep.k:
+                        rows[:] = [_merge(pd.concat(rows), keep)]
+        for rows in held:
+            if rows:
+                yield _merge(pd.concat(rows), keep)
 
     return catalog.mapInPandas(best, PAIR_SCHEMA)
 
@@ -268,7 +288,9 @@ def similarity_join(
     of that code are left out.
     """
     q, c = prepare_sides(queries, catalog)
-    pairs = _scan(q, c, keep) if _fits(q, max_broadcast_rows) else _by_cells(q, c, keep, n_pivots)
+    # Views are gathered once; the way by cells reads either side several times.
+    q = checkpointed(q)
+    pairs = _scan(q, c, keep) if _fits(q, max_broadcast_rows) else _by_cells(q, checkpointed(c), keep, n_pivots)
     return best_of(pairs, keep).withColumn("query_id", F.col("query_id").cast(queries.schema["query_id"].dataType))
 
 

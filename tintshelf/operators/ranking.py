@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tintshelf.functions import text as T
 from tintshelf.functions.vector import dot
 from tintshelf.operators.blocks import Keep, best_of, chunk_counts, cell_join, prepare_sides
+from tintshelf.operators.numbering import checkpointed
 
 # ---- fixed values: hybrid weights (clip, shape, color, stripe) per query mode --------------------------
 MODE_WEIGHTS = {
@@ -42,6 +43,7 @@ def adaptive_second_pass(
     top1_below: float = 0.72, margin_below: float = 0.02,
 ) -> DataFrame:
     """INFERRED. Queries with a weak or tight first result are searched again; their new rows replace the old."""
+    first = checkpointed(first)  # a whole search, used three times
     weak = _margins(first).filter((F.col("top1") < top1_below) | (F.col("margin") < margin_below)).select("query_id")
     second = search_again(queries.join(weak, "query_id", "left_semi"))
     return first.join(weak, "query_id", "left_anti").unionByName(second)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,12 +49,24 @@ def signature(name: Column, size: Column, modified: Column) -> Column:
     return F.concat_ws("|", name, size.cast("string"), modified.cast("bigint").cast("string"))
 
 
-def changed_files(current: DataFrame, previous: DataFrame) -> DataFrame:
-    """Files of ``current`` whose signature is not in ``previous(signature)``."""
+def changed_files(current: DataFrame, previous: DataFrame, settings_key: str | None = None) -> DataFrame:
+    """Files of ``current`` whose signature is not in ``previous(signature)``.
+
+    With a ``settings_key``, only rows of ``previous`` of the same ``settings_key`` count: other settings make every
+    file new.
+    """
+    if settings_key is not None:
+        previous = previous.filter(F.col("settings_key") == settings_key)
     marked = current.withColumn("signature", signature(F.col("image_name"), F.col("size"), F.col("modified")))
     return marked.join(previous.select("signature"), "signature", "left_anti")
 
 
+def removed_files(current: DataFrame, previous: DataFrame) -> DataFrame:
+    """(image_name) of ``previous(signature)`` rows whose file is gone."""
+    name = F.regexp_replace("signature", r"\|[^|]*\|[^|]*$", "")
+    return previous.select(name.alias("image_name")).distinct().join(current.select("image_name"), "image_name", "left_anti")
+
+
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """(image_id, image struct) decoded by Spark's image source; unreadable files are dropped."""
     images = spark.read.format("image").option("dropInvalid", True).load(path)
@@ -59,16 +75,43 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
 
 def to_pixels(images: DataFrame) -> DataFrame:
     """(image_id, y, x, r, g, b): one row per pixel. The source stores rows of BGR(A) or gray bytes."""
-    p = images.select("image_id", "image.*").select(
-        "image_id", "width", "nChannels", "data",
-        F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)).alias("i"),
-    )
+    p = images.select("image_id", "image.*").select("image_id", "width", "height", "nChannels", "data")
+    size = F.col("width") * F.col("nChannels")
+    rows = p.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("height") - 1)))
+    rows = rows.select("image_id", "width", "nChannels", "y", F.substr("data", F.col("y") * size + 1, size).alias("row"))
+    cells = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("width") - 1)))
 
     def byte(channel: int) -> Column:
-        at = F.col("i") * F.col("nChannels") + F.least(F.lit(channel), F.col("nChannels") - 1) + 1
-        return F.conv(F.hex(F.substr("data", at, F.lit(1))), 16, 10).cast("int")
+        at = F.col("x") * F.col("nChannels") + F.least(F.lit(channel), F.col("nChannels") - 1) + 1
+        return F.ascii(F.decode(F.substr("row", at, F.lit(1)), "ISO-8859-1"))  # code point of the one byte
+
+    return cells.select("image_id", "y", "x", byte(2).alias("r"), byte(1).alias("g"), byte(0).alias("b"))
+
+
+def png_bytes(image: pd.DataFrame) -> bytes:
+    """PNG file of the pixels (y, x, r, g, b) of one image."""
+
+    def chunk(kind: bytes, body: bytes) -> bytes:
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    image = image.sort_values(["y", "x"])
+    width, height = int(image["x"].max()) + 1, int(image["y"].max()) + 1
+    rows = image[["r", "g", "b"]].to_numpy("uint8").reshape(height, width * 3)
+    head = struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)
+    body = zlib.compress(b"".join(b"\0" + r.tobytes() for r in rows))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", body) + chunk(b"IEND", b"")
+
+
+def write_images(pixels: DataFrame, folder: str) -> int:
+    """Write (image_name, y, x, r, g, b) as one PNG file per image; returns their number. ``folder`` is shared."""
+
+    def write(image: pd.DataFrame) -> pd.DataFrame:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        with store.open_output_stream(f"{root}/{image['image_name'].iloc[0]}") as out:
+            out.write(png_bytes(image))
+        return pd.DataFrame({"n": [1]})
 
-    return p.select(
-        "image_id", F.floor(F.col("i") / F.col("width")).cast("int").alias("y"), (F.col("i") % F.col("width")).alias("x"),
-        byte(2).alias("r"), byte(1).alias("g"), byte(0).alias("b"),
-    )
+    return pixels.groupBy("image_name").applyInPandas(write, "n int").agg(F.sum("n")).first()[0] or 0
