@@ -34,6 +34,7 @@ def clean(c, mode="trailing"):
     return safe(rep(rep(upper(strip(c)), tail), "[*+]+", "-"))
 
 
+# fixed values: what counts as a code; the patterns in the SQL below say the same as the engine's, written for RE2
 EFFECTIVE = r"^([A-Z][A-Z0-9_-]{2,}|[0-9]{3,4}(-[0-9]{1,2})?)$"
 
 

@@ -117,6 +117,7 @@ def extract_hash_code(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("#")), found)
 
 
+# ---- fixed values: the forms of a code, step by step (what counts as a code) ------------------------------
 # The cascade of extract_style_code: (pattern that finds, pattern the normalised find must match entirely).
 # Texts are searched whole and without their white space, so runs get long. Every repeated group is possessive:
 # it neither backtracks nor recurses. A find is a row of words joined by single dashes or blanks; a word that
@@ -144,6 +145,7 @@ _LATER_STEPS = (
 )
 _NUMBER_FULL = r"^\d{3,4}(?:-\d{1,2})?$"
 _WORD_FIND = r"\b[A-Z]{3,6}\b"
+# ---- end of fixed values ------------------------------------------------------------------------------------
 
 
 def _dashed(c: Column) -> Column:
