@@ -9,7 +9,7 @@ from tintshelf.functions import text as T
 from tintshelf.operators import maintenance as M
 from tintshelf.operators.catalog import Catalog
 from tintshelf.operators.numbering import number_within, running_sums
-from tintshelf.session import spread
+from tintshelf.session import spread_scan
 
 # ---- fixed values: statuses and messages ---------------------------------------------------------------
 OK, INVALID, FAILED = "ok", "invalid_style_code", "ocr_failed"
@@ -37,18 +37,12 @@ def _proposal(mode: str) -> Column:
     return F.coalesce(*order, F.struct(F.lit("").alias("code"), F.lit("").alias("source")))
 
 
-def _cores(df: DataFrame) -> int:
-    return min(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
 def propose_codes(files: DataFrame, mode: str = "text_first") -> DataFrame:
     """files(root, path, text) to one row per file with proposed code, status, error and tags.
 
     ``text`` is the recognised text of the image, an input here. ``path`` includes ``root``.
     """
-    # Few large row groups make few tasks: the patterns are worth a shuffle of the rows then.
-    f = spread(files, "path") if files.rdd.getNumPartitions() < _cores(files) else files
-    f = f.withColumn("source_name", F.regexp_replace("path", "^.*/", ""))
+    f = spread_scan(files, "path").withColumn("source_name", F.regexp_replace("path", "^.*/", ""))
     f = f.withColumn("found", _proposal(mode))
     code = T.clean_code(F.col("found.code"), "first")
     valid = code.rlike("^[A-Z0-9][A-Z0-9_-]{2,}$")

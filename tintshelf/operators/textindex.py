@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tintshelf.functions import text as T
-from tintshelf.session import spread
+from tintshelf.operators.numbering import checkpointed
+from tintshelf.session import spread, spread_scan
 
 MAX_LENGTH_GAP = 3
 
 
 def build_postings(docs: DataFrame, min_len: int = 4) -> DataFrame:
     """docs(image_name, text) to (token, image_name), each pair once."""
-    return docs.select(F.explode(T.text_tokens(F.col("text"), min_len)).alias("token"), "image_name").distinct()
+    return spread_scan(docs, "image_name").select(F.explode(T.text_tokens(F.col("text"), min_len)).alias("token"), "image_name").distinct()
 
 
 def token_idf(postings: DataFrame, total_images: int | DataFrame) -> DataFrame:
@@ -85,7 +86,9 @@ def match_tokens(
     come from an equi join on pieces and none is missed. The edit distance is no larger than the number of
     unmatched characters, so it thins them out in the JVM; only the rest reach the Python ratio.
     """
-    q = spread(query_tokens.select("query_token"), "query_token").distinct()
+    # Either side is read for the exact and for the fuzzy matches; the texts behind it only once.
+    q = checkpointed(spread(query_tokens.select("query_token"), "query_token").distinct())
+    vocab = checkpointed(vocab.select("token", "idf"))
     exact = q.join(vocab, q.query_token == vocab.token).select("query_token", "token", F.lit(1.0).alias("ratio"), "idf")
     rest = q.join(vocab, q.query_token == vocab.token, "left_anti")
     a, b = F.col("query_token"), F.col("token")

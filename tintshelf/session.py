@@ -43,6 +43,15 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(n, *keys)
 
 
+def spread_scan(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread rows that come in fewer partitions than there are cores, before costly work on each of them.
+
+    A file of one large row group is one task; where a scan has partitions enough, nothing is shuffled.
+    """
+    cores = min(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return spread(df, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def new_folder(spark: SparkSession) -> str:
     """Path of a new folder under ``spark.checkpoint.dir`` of the session (a shared folder on a cluster).
 
