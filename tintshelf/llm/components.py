@@ -30,17 +30,21 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def tile_links(ids: np.ndarray, hit: np.ndarray, weight: np.ndarray) -> pd.DataFrame:
-    """What a tile of pairs tells of its members (rep, links, near): weight of the links, smallest id joined with it here.
+def tile_links(ids: np.ndarray, i: np.ndarray, j: np.ndarray, weight: np.ndarray) -> pd.DataFrame:
+    """What a tile's links (positions i, j) tell of its members (rep, links, near): weight of the links, smallest id joined here.
 
-    ``ids`` are sorted and ``hit`` is symmetric with an empty diagonal. One row for each member with a link, never one for a pair.
+    ``ids`` are sorted. One row for each member with a link, never one for a pair.
     """
-    links, label = hit @ weight, np.arange(len(ids))
+    n = len(ids)
+    links = np.bincount(i, weight[j], n) + np.bincount(j, weight[i], n)
+    label = np.arange(n)
     while True:
-        low = np.minimum(label, np.where(hit, label[None, :], len(ids)).min(axis=1, initial=len(ids)))
+        low = label.copy()
+        np.minimum.at(low, i, label[j])
+        np.minimum.at(low, j, label[i])
         low = low[low]  # and the label of that label
         if (low == label).all():
             break
         label = low
     keep = links > 0
-    return pd.DataFrame({"rep": ids[keep], "links": links[keep], "near": ids[label[keep]]})
+    return pd.DataFrame({"rep": ids[keep], "links": links[keep].astype(np.int64), "near": ids[label[keep]]})

@@ -30,10 +30,10 @@ from tintshelf.llm.components import components, tile_links
 
 THRESHOLD, SAMPLE = 0.98, 10_000
 #: Axes that make the cells, members of a block, dimensions of the steps (each later step is as long as all before it).
-GRID, BLOCK, STEP = 2, 1024, 8
-#: Of rounding in sums of products: far above it, far below any step of the threshold.
-SLACK = 1e-9
-PAIRS = 50_000
+GRID, BLOCK, STEP = 1, 512, 8
+#: Far above the rounding of sums in single precision. Pairs that are looked at together, and the share of a tile's pairs
+#: below which pairs are followed one by one.
+SLACK, PAIRS, SPARSE = 1e-4, 50_000, 0.05
 
 
 def principal_axes(sample: list[np.ndarray]) -> dict[int, np.ndarray]:
@@ -46,39 +46,44 @@ def principal_axes(sample: list[np.ndarray]) -> dict[int, np.ndarray]:
     return out
 
 
-def candidate_pairs(y: np.ndarray, threshold: float) -> np.ndarray:
-    """Symmetric mask of the pairs of rows whose inner product can reach the threshold, by leading dimensions."""
-    m, size = y.shape
-    tail = np.sqrt(np.maximum(0, np.cumsum((y * y)[:, ::-1], axis=1)[:, ::-1]))
-    tail = np.c_[tail, np.zeros(m)]
-    rows, columns, at = np.arange(m), np.arange(m), 0
-    total, alive = np.zeros((m, m)), np.ones((m, m), dtype=bool)
-    while at < size and len(rows):
-        upto = min(size, max(2 * at, STEP))
-        total = total + y[rows, at:upto] @ y[columns, at:upto].T
-        alive &= total + np.outer(tail[rows, upto], tail[columns, upto]) >= threshold - SLACK
-        at = upto
-        left, right = alive.any(axis=1), alive.any(axis=0)
-        if left.sum() + right.sum() < 1.5 * (len(rows) + len(columns)) / 2:  # whole vectors have dropped out
-            total, alive, rows, columns = total[np.ix_(left, right)], alive[np.ix_(left, right)], rows[left], columns[right]
-    mask = np.zeros((m, m), dtype=bool)
-    mask[np.ix_(rows, columns)] = alive
-    return mask | mask.T
+def _tails(y: np.ndarray) -> np.ndarray:
+    """Norm of what is left of each row from every dimension on."""
+    left = np.sqrt(np.maximum(0, np.cumsum((y * y)[:, ::-1], axis=1)[:, ::-1]))
+    return np.c_[left, np.zeros(len(y))]
+
 
+def candidate_pairs(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (in a, in b) of the pairs whose inner product can reach the threshold, by leading dimensions.
 
-def links_of(x: np.ndarray, mask: np.ndarray, threshold: float) -> np.ndarray:
-    """Which of the masked pairs have a cosine of at least the threshold, in double precision."""
+    The bounds are single precision; ``SLACK`` is far above its rounding, so no pair is dropped for it.
+    """
+    size, at = a.shape[1], 0
+    a, b, tail_a, tail_b = (x.astype(np.float32) for x in (a, b, _tails(a), _tails(b)))
+    total, low = np.zeros((len(a), len(b)), dtype=np.float32), np.float32(threshold - SLACK)
+    while True:
+        upto = min(size, max(2 * at, STEP))
+        total += a[:, at:upto] @ b[:, at:upto].T
+        i, j = np.nonzero(total >= low - np.multiply.outer(tail_a[:, upto], tail_b[:, upto]))
+        at = upto
+        if at >= size or len(i) < SPARSE * total.size:
+            break
+    sums = total[i, j]
+    while at < size and len(i):  # few are left: each by itself
+        upto = min(size, 2 * at)
+        sums = sums + np.concatenate([np.einsum("kd,kd->k", a[i[k : k + PAIRS], at:upto], b[j[k : k + PAIRS], at:upto]) for k in range(0, len(i), PAIRS)])
+        alive = sums >= low - tail_a[i, upto] * tail_b[j, upto]
+        i, j, sums, at = i[alive], j[alive], sums[alive], upto
+    return i, j
+
+
+def linked(x: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of the pairs of rows have a cosine of at least the threshold, in double precision."""
     norm = np.sqrt((x * x).sum(axis=1))
-    if mask.mean() > 0.1:
-        hit = mask & (x @ x.T / np.outer(norm, norm) >= threshold)
-    else:
-        hit, (a, b) = np.zeros_like(mask), np.nonzero(np.triu(mask, 1))
-        for k in range(0, len(a), PAIRS):
-            i, j = a[k : k + PAIRS], b[k : k + PAIRS]
-            good = (x[i] * x[j]).sum(axis=1) / (norm[i] * norm[j]) >= threshold
-            hit[i[good], j[good]] = True
-    hit = np.triu(hit, 1)
-    return hit | hit.T
+    good = np.zeros(len(i), dtype=bool)
+    for k in range(0, len(i), PAIRS):
+        p, q = i[k : k + PAIRS], j[k : k + PAIRS]
+        good[k : k + PAIRS] = np.einsum("kd,kd->k", x[p], x[q]) / (norm[p] * norm[q]) >= threshold
+    return good
 
 
 def _cells(axes: dict[int, np.ndarray], width: float):
@@ -106,12 +111,16 @@ def _tile(axes: dict[int, np.ndarray], threshold: float):
         unit = x / np.linalg.norm(x, axis=1, keepdims=True)
         y = unit @ axes[x.shape[1]] if x.shape[1] in axes else unit
         own, cell = np.array(frame["own"].tolist()), np.array(frame["cell"].iloc[0])
-        here = (np.minimum(own[:, None, :], own[None, :, :]) == cell).all(axis=2)
-        block = frame["block"].to_numpy()
-        if frame["bi"].iloc[0] != frame["bj"].iloc[0]:  # pairs inside one block belong to that block's own tile
-            here &= block[:, None] != block[None, :]
-        hit = links_of(x, candidate_pairs(y, threshold) & here, threshold)
-        return tile_links(frame["cls"].to_numpy(), hit, frame["copies"].to_numpy())
+        block, bi, bj = frame["block"].to_numpy(), frame["bi"].iloc[0], frame["bj"].iloc[0]
+        p, q = np.flatnonzero(block == bi), np.flatnonzero(block == bj)
+        i, j = candidate_pairs(y[p], y[q], threshold)
+        i, j = p[i], q[j]
+        if bi == bj:
+            i, j = i[i < j], j[i < j]
+        here = (np.minimum(own[i], own[j]) == cell).all(axis=1)
+        i, j = i[here], j[here]
+        good = linked(x, i, j, threshold)
+        return tile_links(frame["cls"].to_numpy(), i[good], j[good], frame["copies"].to_numpy())
 
     return run
 
