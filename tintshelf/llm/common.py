@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tintshelf.session import new_folder
+from tintshelf.operators.numbering import checkpointed
 
 #: Everything in ASCII that is neither a digit nor a lower-case letter; a word is a run of anything else.
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -30,11 +30,7 @@ def stored(df: DataFrame) -> DataFrame:
     Lost executors do not cost the work before it, and the plan after it starts from a plain scan: a join on these
     rows has an exchange of its own on either side, which adaptive execution can split where one key is hot.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(new_folder(df.sparkSession))
-    # the identity projection drops the partitioning that the plan would carry over
-    return df.select([F.when(F.lit(True), F.col(f"`{c}`")).otherwise(F.lit(None)).alias(c) for c in df.columns]).checkpoint()
+    return checkpointed(df)
 
 
 def text_hash(text: Column) -> Column:

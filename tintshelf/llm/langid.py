@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 UNKNOWN = "und"
 BUCKETS, SMOOTH = 1 << 16, 0.5
 #: Bounds of what is learned: texts of each language (on average, by hash) and languages (the most frequent).
-SAMPLE, MAX_LANGUAGES = 1000, 500
+SAMPLE, MAX_LANGUAGES = 1000, 100
 ROUNDS, STOP, PENALTY = 40, 1e-4, 3.0
 
 
