@@ -6,12 +6,12 @@ group with a third of all rows spans many tasks; only the totals per range are c
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tintshelf.session import new_folder
 
-MAX_RANGES = 256
+MAX_RANGES = 4096  # of the split points, which go to every task; otherwise as many ranges as shuffle partitions
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -37,10 +37,22 @@ def _ranged(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     splits = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.get("ks", F.least(F.floor(i * step).cast("int"), F.size("ks") - 1)))
     one = ranked.select(F.array_distinct(splits).alias("_splits"), F.lit(1).alias("_one"))
     with_splits = base.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one")
-    pid = F.size(F.filter("_splits", lambda b: b <= key))
+    pid = _rank_in("_splits", key, n)
     return with_splits.withColumn("_pid", pid).drop("_splits", "_one")
 
 
+def _rank_in(splits: str, key: Column, most: int) -> Column:
+    """How many of the sorted ``splits`` (at most ``most``) are not above ``key``, by halving."""
+
+    def step(at: Column, _: Column) -> Column:
+        middle = F.floor((at["low"] + at["high"]) / 2).cast("int")
+        open_, up = at["low"] < at["high"], F.get(splits, middle) <= key
+        return F.struct(F.when(open_ & up, middle + 1).otherwise(at["low"]).alias("low"), F.when(open_ & ~up, middle).otherwise(at["high"]).alias("high"))
+
+    start = F.struct(F.lit(0).alias("low"), F.size(splits).alias("high"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(most.bit_length())), start, step)["low"]
+
+
 def running_sums(df: DataFrame, group: list[str], order: list[str], sums: dict[str, str]) -> DataFrame:
     """Add running totals: ``sums`` maps a new column to the numeric column it adds up. ``order`` is unique per group."""
     r = _ranged(df, group, order)
