@@ -78,11 +78,23 @@ def _(d):
     return _r(P.stripe_spectrum(d.pixels(), top_rows=2, min_pixels=40))
 
 
-@query("classic_feature")
+@query("classic_feature", f"""WITH {BIN}, {_LIT},
+    h AS (SELECT image_id, bin AS at, 0.8::DOUBLE * count(*) / (64 + 1e-8::DOUBLE) AS value FROM binned GROUP BY ALL),
+    codes AS (SELECT p.image_id, (({_CODE}) * 16 // 256)::INT AS bin FROM lit p {_JOINS}),
+    lb AS (SELECT image_id, 192 + bin AS at, count(*) / (36 + 1e-8::DOUBLE) AS value FROM codes GROUP BY ALL),
+    slope AS (SELECT p.image_id, n3.c - n7.c AS gx, n5.c - n1.c AS gy FROM lit p {_JOINS}),
+    edges AS (SELECT image_id, least(floor((atan2(gy, gx) + pi()) / (2 * pi()) * 18), 17)::INT AS bin, sum(sqrt(gx * gx + gy * gy)) AS n FROM slope GROUP BY ALL),
+    ed AS (SELECT image_id, 208 + bin AS at, n / (sum(n) OVER (PARTITION BY image_id) + 1e-8::DOUBLE) AS value FROM edges),
+    cells AS (SELECT image_id, ((y // 2) * 4 + x // 2)::INT AS cell, avg(floor({GRAY})) AS mean FROM pixels GROUP BY ALL),
+    gr AS (SELECT image_id, 226 + cell AS at, 0.5::DOUBLE * (mean - avg(mean) OVER w) / (stddev_pop(mean) OVER w + 1e-6::DOUBLE) AS value FROM cells WINDOW w AS (PARTITION BY image_id)),
+    pieces AS (SELECT * FROM h UNION ALL SELECT * FROM lb UNION ALL SELECT * FROM ed UNION ALL SELECT * FROM gr),
+    lengths AS (SELECT image_id, sqrt(sum(value * value)) + 1e-8::DOUBLE AS length FROM pieces GROUP BY image_id)
+    SELECT l.image_id, i::INT AS at, round(coalesce(value, 0) / length, 6) AS value FROM lengths l CROSS JOIN generate_series(0, 241) s(i)
+      LEFT JOIN pieces p ON p.image_id = l.image_id AND p.at = i""")
 def _(d):
+    """Every number of every image's vector."""
     f = P.classic_feature(d.pixels(), 4)
-    length = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)
-    return f.select("image_id", F.size("embedding").alias("size"), F.round(length, 5).alias("length"))
+    return _r(f.select("image_id", F.posexplode("embedding").alias("at", "value")))
 
 
 def _sizes(d: Data):
