@@ -262,6 +262,20 @@ def _(d):
     return N.mine_hard_negatives(d.modal(), max_broadcast_rows=0)
 
 
+@query("labelled_pairs", """WITH asked AS (SELECT 'q' || vec_id AS image_name, clip, CASE WHEN vec_id % 11 = 0 THEN '' WHEN vec_id % 11 = 1 THEN 'ZZ-1' ELSE style_code END AS style_code FROM modal),
+    known AS (SELECT * FROM asked WHERE style_code IN (SELECT style_code FROM modal)),
+    others AS (SELECT q.image_name, c.image_name AS partner, round(list_dot_product(q.clip, c.clip), 12) AS s FROM known q JOIN modal c ON q.style_code <> c.style_code)
+    SELECT image_name, partner, false AS positive FROM others QUALIFY row_number() OVER (PARTITION BY image_name ORDER BY s DESC, partner) <= 24
+    UNION ALL SELECT q.image_name, c.image_name, true FROM known q JOIN modal c USING (style_code)""")
+def _(d):
+    """Every vector is a labelled query; some labels are blank, some name no code."""
+    m, n = d.modal(), F.col("vec_id") % 11
+    code = F.when(n == 0, " ").when(n == 1, "ZZ-1").otherwise(F.concat(F.lit(" "), "style_code"))
+    labels = m.select(F.concat(F.lit("q"), F.col("vec_id").cast("string")).alias("image_name"), code.alias("style_code"), "clip")
+    positives, negatives = N.labelled_pairs(labels, m)
+    return positives.withColumn("positive", F.lit(True)).unionByName(negatives.withColumn("positive", F.lit(False)))
+
+
 def _training(d: Data):
     m = d.modal()
     views = m.withColumn("view", F.lit(0))

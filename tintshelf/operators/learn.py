@@ -9,8 +9,10 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tintshelf.functions import text as T
 from tintshelf.functions.vector import dot
 from tintshelf.operators.blocks import Keep, similarity_join, within_code_join
+from tintshelf.operators.numbering import checkpointed
 from tintshelf.operators.vectors import cap_unique_codes, logistic
 
 MODALITIES = ("clip", "shape", "color", "stripe")
@@ -75,6 +77,25 @@ def mine_hard_negatives(items: DataFrame, k: int = 16, **options) -> DataFrame:
     )
 
 
+def labelled_pairs(labels: DataFrame, items: DataFrame, k: int = 24, **options) -> tuple[DataFrame, DataFrame]:
+    """Positives and hard negatives (image_name, partner) of labelled queries(image_name, style_code, clip).
+
+    Positives are all images of the labelled code, negatives the ``k`` images of other codes most similar by clip.
+    A query counts only if its code has images and another code has some too.
+    """
+    asked = labels.withColumn("style_code", T.strip(F.coalesce("style_code", F.lit("")))).filter("style_code <> ''")
+    q = asked.join(items.select("style_code").distinct(), "style_code", "left_semi")
+    near = similarity_join(
+        q.select(F.col("image_name").alias("query_id"), F.col("style_code").alias("query_code"), F.col("clip").alias("embedding")),
+        items.select(F.col("image_name").alias("key"), F.col("style_code").alias("code"), F.col("clip").alias("embedding")),
+        Keep(k=k), **options,
+    )
+    negatives = checkpointed(near.select(F.col("query_id").alias("image_name"), F.col("key").alias("partner")))
+    positives = q.select("image_name", "style_code").join(items.select("style_code", F.col("image_name").alias("partner")), "style_code")
+    positives = positives.join(negatives.select("image_name"), "image_name", "left_semi").select("image_name", "partner")
+    return positives, negatives
+
+
 def training_pairs(views: DataFrame, items: DataFrame, positives: DataFrame, negatives: DataFrame, negative_views: int = 3) -> DataFrame:
     """(label, features): positives with every view of the image, negatives with its first views.
 
