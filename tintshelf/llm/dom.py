@@ -78,10 +78,7 @@ class _Builder(HTMLParser):
             self.at = node
 
     def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag in VOID:
-            return
-        self.at = self.at.parent if tag in ("svg", "path", "circle", "rect", "use", "g") else self.at
+        self.handle_starttag(tag, attrs)  # as in HTML, the slash closes nothing
 
     def handle_endtag(self, tag):
         n = self.at

@@ -31,9 +31,11 @@ from tintshelf.llm import dom
 from tintshelf.llm.layouts import Layout
 
 #: Bound of the pages that lend their texts, layouts made of each, shape of the trees.
-SAMPLE, LAYOUTS, TREES, DEPTH = 150, 4, 15, 5
+SAMPLE, LAYOUTS, TREES, DEPTH = 200, 8, 25, 6
 #: What a mixed element costs against keeping or dropping it whole, in nats.
 MIXED = 2.0
+#: A page of which nothing is kept is decoded once more with the odds of main text raised so many times.
+DOUBT = 5.0
 
 
 class Trees:
@@ -113,14 +115,23 @@ def learn(pages: DataFrame, sample: int = SAMPLE) -> Trees | None:
 
 
 def decode(order: list[dom.Node], p: np.ndarray) -> set[int]:
-    """Ids of the kept elements: the best choice of keep, drop and mixed that holds down the tree."""
+    """Ids of the kept elements: the best choice of keep, drop and mixed that holds down the tree.
+
+    Choices are made for blocks; an inline element's text belongs to its block and shares its fate.
+    """
     index = {id(n): i for i, n in enumerate(order)}
     m = len(order)
-    size = np.array([sum(len(c.strip()) for c in n.children if isinstance(c, str)) for n in order])
+    parent = [index[id(n.parent)] if n.parent is not None else -1 for n in order]
+    inline = [i > 0 and n.tag not in dom.BLOCK for i, n in enumerate(order)]
+    size = [sum(len(c.strip()) for c in n.children if isinstance(c, str)) for n in order]
+    for i in range(m - 1, 0, -1):  # children come after their parents
+        if inline[i]:
+            size[parent[i]] += size[i]
+            size[i] = 0
+    size = np.array(size)
     weight = np.where(size > 0, 1 + np.log1p(size), 0.0)
     own_keep, own_drop = weight * np.log(p), weight * np.log(1 - p)
     keep, drop, mixed = own_keep.copy(), own_drop.copy(), np.maximum(own_keep, own_drop) - MIXED
-    parent = [index[id(n.parent)] if n.parent is not None else -1 for n in order]
     for i in range(m - 1, 0, -1):
         q = parent[i]
         keep[q] += keep[i]
@@ -131,6 +142,8 @@ def decode(order: list[dom.Node], p: np.ndarray) -> set[int]:
         above = state[parent[i]] if i else "mixed"
         if above != "mixed":
             state[i] = above
+        elif inline[i]:
+            state[i] = "keep" if id(order[parent[i]]) in chosen else "drop"
         else:
             state[i] = "drop" if drop[i] >= max(keep[i], mixed[i]) else "keep" if keep[i] >= mixed[i] else "mixed"
         if state[i] == "keep" or (state[i] == "mixed" and own_keep[i] > own_drop[i]):
@@ -149,8 +162,12 @@ def main_texts(pages: list[str | None], trees: Trees | None) -> list[str]:
             out.append("")
             continue
         order, x = one
-        out.append("\n".join(dom.block_texts(order[0], decode(order, p[at : at + len(x)]))))
+        odds = p[at : at + len(x)]
         at += len(x)
+        text = dom.block_texts(order[0], decode(order, odds))
+        if not text:  # rather a doubtful article than none
+            text = dom.block_texts(order[0], decode(order, odds * DOUBT / (odds * DOUBT + 1 - odds)))
+        out.append("\n".join(text))
     return out
 
 
