@@ -72,9 +72,12 @@ class Items:
         """(item index, shingles, shared) of the items that a text with these word hashes contains."""
         out = []
         for m, (codes, owners) in self.keys.items():
-            here = np.unique(grams(found, m))
-            if not len(here):
+            here = grams(found, m)
+            at = np.searchsorted(codes, here)
+            at = at[codes[np.minimum(at, len(codes) - 1)] == here]
+            if not len(at):  # most documents meet no item
                 continue
+            here = np.unique(here)
             at = np.searchsorted(here, codes)
             met = here[np.minimum(at, len(here) - 1)] == codes
             for k in np.unique(owners[met]):

@@ -7,14 +7,17 @@ import sys
 
 import numpy as np
 
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_LOWER = {i: i + 32 for i in range(65, 91)}
+_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 _MIX1, _MIX2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
-def words(text: str | None) -> list[str]:
-    """Runs of anything but ASCII other than digits and letters; A-Z lower-cased; null counts as empty."""
-    return _WORD.findall(text.translate(_LOWER)) if text else []
+def words(text: str | None) -> list[bytes]:
+    """Runs of anything but ASCII other than digits and letters, as UTF-8; A-Z lower-cased; null counts as empty.
+
+    All bytes of characters beyond ASCII are above 0x7F, so the runs of bytes are the runs of characters.
+    """
+    return _WORD.findall(text.encode("utf-8", "surrogatepass").translate(_LOWER)) if text else []
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -28,10 +31,10 @@ class WordHash:
     """64-bit hashes of words, the same in every process; remembers a bounded number of words."""
 
     def __init__(self, most: int = 300_000):
-        self.known: dict[str, int] = {}
+        self.known: dict[bytes, int] = {}
         self.most = most
 
-    def __call__(self, found: list[str]) -> np.ndarray:
+    def __call__(self, found: list[bytes]) -> np.ndarray:
         import xxhash
 
         known = self.known
@@ -39,7 +42,7 @@ class WordHash:
             known.clear()
         for w in set(found):
             if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+                known[w] = xxhash.xxh3_64_intdigest(w)
         return np.fromiter(map(known.__getitem__, found), dtype=np.uint64, count=len(found))
 
 
