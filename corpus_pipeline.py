@@ -27,8 +27,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeats of runs of lines go; documents with nothing left of what they had go as well."""
-    out = lines.dedup_lines(docs).filter((F.col("n_removed") == 0) | (F.btrim("text", F.lit(" \t\r\n")) != ""))
+    """Later repeats of runs of lines and of passages go; documents with nothing left of what they had go as well."""
+    out = lines.dedup_lines(docs, passages=True).filter((F.col("n_removed") == 0) | (F.btrim("text", F.lit(" \t\r\n")) != ""))
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
