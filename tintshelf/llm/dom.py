@@ -25,6 +25,9 @@ CLOSES = {t: _P for t in BLOCK - {"html", "body", "td", "th", "tr", "tbody", "th
     "td": (frozenset({"td", "th", "p"}), frozenset({"tr", "table"})),
     "th": (frozenset({"td", "th", "p"}), frozenset({"tr", "table"})),
 }
+#: Elements whose content follows the rules of XML, and those inside them whose content is HTML again.
+FOREIGN = {"svg", "math"}
+HTML_AGAIN = {"foreignobject", "desc", "title", "annotation-xml", "mi", "mo", "mn", "ms", "mtext"}
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 #: Words in class, id and role that hint at what a node is for.
@@ -49,10 +52,11 @@ FEATURES = [
 
 
 class Node:
-    __slots__ = ("attrs", "children", "hints", "parent", "tag")
+    __slots__ = ("attrs", "children", "foreign", "hints", "parent", "tag")
 
     def __init__(self, tag: str, attrs: dict, parent: Node | None):
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
+        self.foreign = tag in FOREIGN or (parent is not None and parent.foreign and tag not in HTML_AGAIN)
         words = {w.lower() for k in ("class", "id", "role") if attrs.get(k) for w in _WORDS.findall(attrs[k])} if attrs else ()
         self.hints = [bool(words) and not v.isdisjoint(words) for v in HINTS.values()] if words else None
 
@@ -78,7 +82,21 @@ class _Builder(HTMLParser):
             self.at = node
 
     def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)  # as in HTML, the slash closes nothing
+        closed = tag in FOREIGN or self.at.foreign
+        self.handle_starttag(tag, attrs)
+        if closed and tag not in VOID:  # as in HTML, the slash closes nothing else
+            self.at = self.at.parent
+
+    def parse_html_declaration(self, i):
+        low = self.rawdata[i : i + 9].lower()
+        if low.startswith("<!--") or low == "<!doctype":
+            return super().parse_html_declaration(i)
+        if low == "<![cdata[" and self.at.foreign:
+            start, stop = i + 9, self.rawdata.find("]]>", i + 9)
+            if stop >= 0:
+                self.handle_data(self.rawdata[start:stop])
+                return stop + 3
+        return self.parse_bogus_comment(i)  # marked sections are none in HTML
 
     def handle_endtag(self, tag):
         n = self.at
@@ -96,11 +114,8 @@ class _Builder(HTMLParser):
 def parse(html: str | None) -> Node:
     """The tree of a page; null or empty text is a root without children, unclosed elements end where they must."""
     b = _Builder()
-    try:
-        b.feed(html or "")
-        b.close()
-    except AssertionError:  # the parser gives up on some broken declarations: what it has read counts
-        pass
+    b.feed(html or "")
+    b.close()
     return b.root
 
 
