@@ -6,7 +6,8 @@ set, largest proportion first, while the log-likelihood gains more than a penalt
 of 3-grams (Bayesian information, for 3-grams that overlap). The prediction is the language with the largest proportion.
 
 The model is fitted on at most about ``SAMPLE`` texts of each language, drawn by a hash; every document is judged on its
-whole text. Counts are summed in Spark; the model (languages x buckets) is what goes to the tasks.
+whole text. Every label is learned, however many there are: counts are summed in Spark, and what goes to the tasks is the
+counts of the buckets that each language has (a language without a bucket has the smoothed rest there).
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0 and no languages, as is every text if nothing
 could be learned; ties take the first language in alphabetical order; rows come back as often as given, whatever their
@@ -27,8 +28,10 @@ from pyspark.sql import types as T
 
 UNKNOWN = "und"
 BUCKETS, SMOOTH = 1 << 16, 0.5
-#: Bounds of what is learned: texts of each language (on average, by hash) and languages (the most frequent).
-SAMPLE, MAX_LANGUAGES = 1000, 100
+#: Bound of what is learned: texts of each language (on average, by hash).
+SAMPLE = 1000
+#: Languages that a task counts side by side before it hands their counts on.
+HELD = 64
 ROUNDS, STOP, PENALTY = 40, 1e-4, 3.0
 
 
@@ -54,10 +57,23 @@ def gram_buckets(text: str | None) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, languages: list[str], counts: np.ndarray):
+    """Languages and their counts by bucket: entries ``start[b]`` to ``start[b + 1]`` are those of bucket b."""
+
+    def __init__(self, languages: list[str], language: np.ndarray, bucket: np.ndarray, counts: np.ndarray):
         self.languages = languages
-        total = counts.sum(axis=1, keepdims=True) + SMOOTH * BUCKETS
-        self.p = ((counts + SMOOTH) / total).T.copy()  # buckets x languages
+        self.total = np.bincount(language, weights=counts, minlength=len(languages)) + SMOOTH * BUCKETS
+        order = np.argsort(bucket, kind="stable")
+        self.language, self.counts = language[order].astype(np.int32), counts[order].astype(np.float64)
+        self.start = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
+
+    def likelihood(self, bucket: np.ndarray) -> np.ndarray:
+        """Probability of each of the (distinct) buckets in every language: buckets x languages."""
+        counts = np.full((len(bucket), len(self.languages)), SMOOTH)
+        size = self.start[bucket + 1] - self.start[bucket]
+        row = np.repeat(np.arange(len(bucket)), size)
+        at = np.arange(size.sum()) + np.repeat(self.start[bucket] - (np.cumsum(size) - size), size)
+        counts[row, self.language[at]] += self.counts[at]
+        return counts / self.total
 
     @staticmethod
     def _mix(p: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, float]:
@@ -78,7 +94,7 @@ class Model:
         if not len(found) or not self.languages:
             return [], 0.0
         bucket, times = np.unique(found, return_counts=True)
-        p, times = self.p[bucket], times.astype(np.float64)
+        p, times = self.likelihood(bucket), times.astype(np.float64)
         alone = times @ np.log(p)
         best = int(alone.argmax())
         chosen, share, like = [best], np.ones(1), float(alone[best])
@@ -101,28 +117,32 @@ class Model:
 def learn(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """Model of (doc_id, text, lang): rows with null lang or text teach nothing."""
     given = labelled.select("doc_id", "text", "lang").filter("lang IS NOT NULL AND text IS NOT NULL")
-    known = given.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
-    if not known:
-        return Model([], np.zeros((0, BUCKETS)))
-    share = F.create_map(*[x for r in known for x in (F.lit(r["lang"]), F.lit(min(1.0, sample / r["n"])))])
-    drawn = given.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < F.coalesce(F.element_at(share, F.col("lang")), F.lit(0.0)) * 1_000_000)
+    known = given.groupBy("lang").agg(F.least(F.lit(1.0), sample / F.count("*")).alias("share"))
+    drawn = given.join(F.broadcast(known), "lang").filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < F.col("share") * 1_000_000)
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[str, np.ndarray] = {}
+
+        def handed() -> Iterator[pd.DataFrame]:
+            for lang, counts in seen.items():
+                at = np.flatnonzero(counts)
+                yield pd.DataFrame({"lang": lang, "bucket": at, "n": counts[at]})
+            seen.clear()
+
         for frame in frames:
             for text, lang in zip(frame["text"], frame["lang"], strict=True):
-                seen.setdefault(lang, np.zeros(BUCKETS, dtype=np.int64))
+                if lang not in seen:
+                    if len(seen) >= HELD:
+                        yield from handed()
+                    seen[lang] = np.zeros(BUCKETS, dtype=np.int64)
                 seen[lang] += np.bincount(gram_buckets(text), minlength=BUCKETS)
-        for lang, counts in seen.items():
-            at = np.flatnonzero(counts)
-            yield pd.DataFrame({"lang": lang, "bucket": at, "n": counts[at]})
+        yield from handed()
 
     summed = drawn.select("text", "lang").mapInPandas(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    got = summed.toPandas()  # at most languages x buckets numbers
+    got = summed.toPandas()  # one row for each bucket that a language has
     languages = sorted(got["lang"].unique())
-    counts = np.zeros((len(languages), BUCKETS))
-    counts[got["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy(dtype=int), got["bucket"].to_numpy(dtype=int)] = got["n"]
-    return Model(languages, counts)
+    language = got["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy(dtype=np.int64)
+    return Model(languages, language, got["bucket"].to_numpy(dtype=np.int64), got["n"].to_numpy(dtype=np.int64))
 
 
 _SHARE = T.StructType().add("lang", "string").add("share", "double")
