@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tintshelf.llm import decontaminate, jaccard, licenses, lines, vectors
+from tintshelf.llm import decontaminate, jaccard, licenses, lines, repair, variants, vectors
 
 _SEP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _WORDS = (
@@ -111,3 +111,69 @@ c AS (SELECT a, min(vec_id) AS component_id FROM reach JOIN d ON d.r = b GROUP B
 k AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
 SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM d JOIN c ON c.a = r LEFT JOIN k ON k.a = r
 """
+
+#: CRC-32 of a string's UTF-8 bytes, by the table of its bytes (``crc.t``).
+_CRC_TABLE = """(SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM (SELECT unnest(range(256))::BIGINT AS i))"""
+
+
+def _crc32(text: str) -> str:
+    digit = lambda at: f"(instr('0123456789ABCDEF', substr(hex({text}), {at}, 1)) - 1)"
+    octets = f"list_transform(range(1, strlen({text}) + 1), lambda k: ({digit('2 * k - 1')} * 16 + {digit('2 * k')})::BIGINT)"
+    return f"xor(list_reduce([4294967295::BIGINT] || {octets}, lambda c, b: xor(c >> 8, crc.t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+ORACLES["op12_spelling_variants"] = f"""
+WITH RECURSIVE crc AS {_CRC_TABLE},
+g AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+c AS (SELECT doc_id, w, coalesce(doc_id::VARCHAR, '') || ':' || w AS name, count(*) AS n FROM g WHERE length(w) >= {variants.SHORTEST} GROUP BY doc_id, w),
+h AS (SELECT c.*, {_crc32("c.name")} AS h FROM c, crc),
+k AS (SELECT CASE WHEN h % {variants.DAMAGE} = 0 THEN substr(w, 1, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word, n FROM h),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM k WHERE length(word) >= {variants.SHORTEST} GROUP BY word HAVING sum(n) >= {variants.FEWEST}),
+y AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS cut FROM v),
+x AS (SELECT word, n, cut, substr(word, 1, cut - 1) || substr(word, cut + 1) AS s FROM y),
+p AS (SELECT a.word AS a, a.n AS na, b.word AS b, b.n AS nb FROM x a JOIN x b USING (cut, s) WHERE a.word <> b.word
+      UNION SELECT x.word, x.n, v.word, v.n FROM x JOIN v ON v.word = x.s UNION SELECT v.word, v.n, x.word, x.n FROM x JOIN v ON v.word = x.s),
+q AS (SELECT a, b, na, nb, count(*) OVER (PARTITION BY a) AS n_near, row_number() OVER (PARTITION BY a ORDER BY nb DESC, b) AS r FROM p),
+j AS (SELECT a AS word, n_near, CASE WHEN nb >= {variants.RATIO} * na THEN b END AS form, CASE WHEN nb >= {variants.RATIO} * na THEN nb END AS form_n FROM q WHERE r = 1),
+o(word, root, depth) AS (SELECT word, word, 0 FROM v UNION ALL SELECT o.word, j.form, depth + 1 FROM o JOIN j ON j.word = o.root WHERE j.form IS NOT NULL),
+e AS (SELECT word, arg_max(root, depth) AS root FROM o GROUP BY word)
+SELECT word, n, coalesce(n_near, 0) AS n_near, form, form_n, root FROM v LEFT JOIN j USING (word) JOIN e USING (word)
+"""
+
+_ROLE = "CASE x.s WHEN 2 THEN 'assistant' ELSE 'user' END"
+_STEP = "CASE x.s WHEN 2 THEN 4 ELSE 3 END"
+ORACLES["op13_conversation_repair"] = f"""
+WITH RECURSIVE crc AS {_CRC_TABLE},
+r AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+h AS (SELECT r.*, {_crc32("r.name")} % 20 AS h FROM r, crc),
+d AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN h = 1 THEN '' WHEN h = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN h = 3 THEN [1, 2] ELSE [1] END) AS copy FROM h WHERE h <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS again,
+    rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM d),
+f AS (SELECT *, CASE WHEN body = '' THEN 'b' WHEN again > 1 THEN 'd' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS wrong FROM n),
+g AS (SELECT *, row_number() OVER w AS i, lag(left(role, 1)) OVER w || left(role, 1) AS pair FROM f WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, wrong = 'd')),
+z AS (SELECT conv_id, count(*) AS rows_, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (wrong = 'b') AS blank, count(*) FILTER (wrong = 'd') AS duplicate,
+    count(*) FILTER (wrong = 't') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM g GROUP BY conv_id),
+-- s: 1 nothing yet, 2 after user, 3 after assistant, 4 after system; all ways to say an edit or insertion, cheapest first in a state
+w(conv_id, i, s, cost, audit, said, step) AS (
+  SELECT conv_id, 0, 1, 0, '', '', 0 FROM z
+  UNION ALL
+  SELECT conv_id, i, s, cost, audit, said, step FROM (
+    SELECT *, row_number() OVER (PARTITION BY conv_id, i, s, step % 3 = 0 ORDER BY cost, audit) AS best FROM (
+      SELECT x.conv_id, x.i, x.s, x.cost, x.audit, x.said, x.step + 1 AS step FROM w x WHERE x.step % 3 < 2
+      UNION ALL
+      SELECT x.conv_id, x.i, CASE x.s WHEN 2 THEN 3 ELSE 2 END, x.cost + {repair.INSERT}, x.audit || 'I', x.said || chr(10) || {_ROLE} || ':', x.step + 1 FROM w x WHERE x.step % 3 < 2
+      UNION ALL
+      SELECT x.conv_id, x.i + 1, e.s, x.cost + e.cost, x.audit || e.letter, x.said || e.said, x.step + 1 FROM w x JOIN g ON g.conv_id IS NOT DISTINCT FROM x.conv_id AND g.i = x.i + 1, LATERAL (
+        SELECT x.s AS s, {repair.DELETE} AS cost, 'D' AS letter, '' AS said
+        UNION ALL SELECT CASE x.s WHEN 2 THEN 3 ELSE 2 END, {repair.REROLE} + CASE g.wrong WHEN 't' THEN {repair.TRUNCATED} ELSE 0 END, 'R', chr(10) || {_ROLE} || ':' || g.text WHERE g.wrong NOT IN ('b', 'd')
+        UNION ALL SELECT CASE left(g.role, 1) WHEN 'u' THEN 2 WHEN 'a' THEN 3 ELSE 4 END, CASE g.wrong WHEN 't' THEN {repair.TRUNCATED} ELSE 0 END, 'K', chr(10) || g.role || ':' || g.text
+          WHERE g.wrong NOT IN ('b', 'd') AND ((left(g.role, 1) = 'u' AND x.s <> 2) OR (left(g.role, 1) = 'a' AND x.s = 2) OR (left(g.role, 1) = 's' AND x.s = 1))) e
+      WHERE x.step % 3 = 2)) WHERE best = 1),
+y AS (SELECT w.*, row_number() OVER (PARTITION BY w.conv_id ORDER BY w.cost, audit) AS best FROM w JOIN z ON z.conv_id IS NOT DISTINCT FROM w.conv_id AND w.i = z.rows_ WHERE s IN (1, 3) AND w.step % 3 = 2),
+a AS (SELECT conv_id, cost, audit, said FROM y WHERE best = 1)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(substr(said, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN a ON a.conv_id IS NOT DISTINCT FROM c.conv_id
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tintshelf.llm import bpe, chat, decontaminate, extract, jaccard, langid, licenses, lines, tokens, vectors
+from tintshelf.llm import bpe, chat, decontaminate, extract, jaccard, langid, licenses, lines, pieces, repair, tokens, variants, vectors
 from tintshelf.llm.common import table
 from tintshelf.llm.oracles import ORACLES  # noqa: F401
 from tintshelf.session import new_folder
@@ -119,3 +119,22 @@ def op9_chat_format(spark: SparkSession, folder: str) -> DataFrame:
 def op10_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Links and component of every vector."""
     return vectors.near_vectors(table(spark, folder, "embeddings"))
+
+
+@query
+def op11_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """Token count and digests of SentencePiece ids and decoded text of every document."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return pieces.encode_documents(docs, vocabulary_path("piece_bpe_32k.model")).drop("text")
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Form, root and near words of every repeated word of the documents."""
+    return variants.group_variants(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults of every damaged conversation and its cheapest repair."""
+    return repair.repair(repair.damage(table(spark, folder, "conversations")))
