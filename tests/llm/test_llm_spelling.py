@@ -137,7 +137,7 @@ def _rows(df):
 
 def test_variants_against_plain(docs):
     r = random.Random(4)
-    stems = ["".join(r.choice("abcé") for _ in range(r.randrange(7, 10))) for _ in range(40)] + ["aaaaaaa", "abababab", "éééééééé", "straßenbahn", "x" * 40]
+    stems = ["".join(r.choice("abcé") for _ in range(r.randrange(7, 10))) for _ in range(40)] + ["aaaaaaa", "abababab", "éééééééé", "straßenbahn", "x" * 40, *["".join(r.choice("abcé") for _ in range(n)) for n in (62, 63, 64, 65, 66, 67, 130)], "ab" * 32, "z" * 65, "z" * 200]
     pool = []
     for s in stems:
         pool += [s] * r.choice([1, 3, 30, 300])

@@ -8,7 +8,9 @@ neighbourhoods are joined with the reduced vocabulary, and what meets is verifie
 An edit leaves one half of a word as it is. Each generated string is therefore joined together with the original letters of
 the half that its edit does not touch (the shorter word's front or back half). That keeps candidates close to the pairs
 sought however many words share a reduced form, and no group of words is ever gathered or compared all with all; a
-frequent half is one key of two stored tables, which adaptive execution splits on either side.
+frequent half is one key of two stored tables, which adaptive execution splits on either side. Words of more than ``LONG``
+letters meet by an exact half (33 letters or more) and their length alone: their neighbourhood would take as many
+characters as the square of their length. All links are found in either way.
 
 A word's form is its most frequent near word, if that occurs ``RATIO`` times as often; roots follow forms by pointer
 doubling, whose rounds are the logarithm of a depth that is itself at most the logarithm of the largest count.
@@ -30,6 +32,8 @@ SHORTEST, FEWEST, RATIO, DAMAGE = 7, 2, 10, 31
 RUN = rf"[A-Za-zÀ-ÿ]{{{SHORTEST},}}"
 #: Symbols of the reduced alphabet.
 SYMBOLS = "0123"
+#: Longest word whose neighbourhood is generated.
+LONG = 64
 
 
 def count_words(documents: DataFrame, damage: int = DAMAGE) -> DataFrame:
@@ -60,39 +64,47 @@ def _key(front: Column, variant: Column, half: Column) -> Column:
     return F.shiftleft(F.xxhash64(variant, half), 1) + front.cast("long")
 
 
+def _halves(length: Column, front: Column, back: Column) -> Column:
+    """Keys of a word of that length and with these halves: its reduced form, or its length where it is long."""
+    what = F.when(length > LONG, length.cast("string")).otherwise(F.col("r"))
+    return F.array(_key(F.lit(True), what, front), _key(F.lit(False), what, back))
+
+
 def _shelves() -> Column:
-    """Where a word (w, r, l) stands for others to find: its reduced form with its front half, and with its back half."""
+    """Where a word (w, r, l) stands for others to find: under its front half, and under its back half."""
     h = F.expr("cast(l div 2 as int)")
-    return F.array(_key(F.lit(True), F.col("r"), F.substr("w", F.lit(1), h)), _key(F.lit(False), F.col("r"), F.substr("w", h + 1)))
+    return _halves(F.col("l"), F.substr("w", F.lit(1), h), F.substr("w", h + 1))
 
 
 def _edited() -> Column:
     """Keys of the strings that an edit at place p makes of a word, with the half of the found word that it leaves alone.
 
-    Within a run of one symbol every deletion gives the same string: the first one of each half stands for all.
+    Within a run of one symbol every deletion gives the same string: the first one of each half stands for all. At place 0
+    stand the word itself and, where a word without one of its letters is still long, both halves of that.
     """
     p, h, g = F.col("p"), F.expr("cast(l div 2 as int)"), F.expr("cast((l - 1) div 2 as int)")
     before, here, behind = F.substr("r", F.lit(1), p - 1), F.substr("r", p, F.lit(1)), F.substr("r", p + 1)
     half = F.when(p > h, F.substr("w", F.lit(1), h)).otherwise(F.substr("w", h + 1))
-    replaced = [F.when(here < s, _key(p > h, F.concat(before, F.lit(s), behind), half)) for s in SYMBOLS[1:]]
-    half = F.when(p > g, F.substr("w", F.lit(1), g)).otherwise(F.substr("w", g + 2))
+    replaced = [F.when((F.col("l") <= LONG) & (here < s), _key(p > h, F.concat(before, F.lit(s), behind), half)) for s in SYMBOLS[1:]]
+    front, back = F.substr("w", F.lit(1), g), F.substr("w", g + 2)
     first = (p == 1) | (p == g + 1) | (here != F.substr("r", p - 1, F.lit(1)))
-    return F.array(*replaced, F.when(first, _key(p > g, F.concat(before, behind), half)))
+    edits = F.array(*replaced, F.when(first, _key(p > g, F.concat(before, behind), F.when(p > g, front).otherwise(back))))
+    shorter = F.when(F.col("l") > LONG + 1, _halves(F.col("l") - 1, front, back)).otherwise(F.array().cast("array<bigint>"))
+    return F.when(p == 0, F.concat(_shelves(), shorter)).otherwise(edits)
 
 
 def near_words(vocabulary: DataFrame) -> DataFrame:
     """(a, na, b, nb): every pair of words within one edit, both ways, of a vocabulary (word, n)."""
     words = vocabulary.select(F.col("word").alias("w"), "n", F.char_length("word").alias("l"), reduced(F.col("word")).alias("r"))
-    places = words.select("*", F.explode(F.sequence(F.lit(0), "l")).alias("p"))
-    keys = F.when(F.col("p") == 0, _shelves()).otherwise(_edited())
+    places = words.select("*", F.explode(F.sequence(F.lit(0), F.when(F.col("l") <= LONG + 1, F.col("l")).otherwise(0))).alias("p"))
     have = words.select(F.col("w").alias("b"), F.col("n").alias("nb"), F.explode(_shelves()).alias("key"))
-    seek = places.select(F.col("w").alias("a"), F.col("n").alias("na"), F.explode(keys).alias("key")).filter("key IS NOT NULL")
+    seek = places.select(F.col("w").alias("a"), F.col("n").alias("na"), F.explode(_edited()).alias("key")).filter("key IS NOT NULL")
     met = seek.join(have, "key").filter("a <> b")
     la, lb = F.char_length("a"), F.char_length("b")
     h = F.floor(lb / 2).cast("int")
     front = F.substr("a", F.lit(1), h) == F.substr("b", F.lit(1), h)
-    # a pair whose edit may be told in either half counts in front only; reduced forms alike, the smaller word finds the other
-    once = ((F.col("key") % 2 != 0) == front) & (la >= lb) & ((la > lb) | (reduced(F.col("a")) != reduced(F.col("b"))) | (F.col("a") < F.col("b")))
+    # a pair whose edit may be told in either half counts in front only; where both words find each other, the smaller one does
+    once = ((F.col("key") % 2 != 0) == front) & (la >= lb) & ((la > lb) | ((la <= LONG) & (reduced(F.col("a")) != reduced(F.col("b")))) | (F.col("a") < F.col("b")))
     pairs = met.filter(once & (F.levenshtein("a", "b", 1) == 1))
     both = F.array(F.struct("a", "na", "b", "nb"), F.struct(F.col("b").alias("a"), F.col("nb").alias("na"), F.col("a").alias("b"), F.col("na").alias("nb")))
     return pairs.select(F.inline(both))
