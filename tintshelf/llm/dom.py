@@ -8,8 +8,8 @@ from html.parser import HTMLParser
 import numpy as np
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-#: Never text of a page.
-SILENT = {"script", "style", "head", "title", "noscript", "template", "svg", "iframe", "object", "canvas", "select", "textarea", "button", "math"}
+#: Never text of a page: code, drawings, controls, what a formula's source says besides its signs.
+SILENT = {"script", "style", "head", "title", "template", "svg", "iframe", "select", "textarea", "button", "annotation", "annotation-xml"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure",
     "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section",

@@ -34,6 +34,7 @@ from tintshelf.llm.layouts import Layout
 SAMPLE, LAYOUTS, TREES, DEPTH = 200, 8, 25, 6
 #: What a mixed element costs against keeping or dropping it whole, in nats.
 MIXED = 2.0
+_ADVERT = list(dom.HINTS).index("advert")
 #: A page of which nothing is kept is decoded once more with the odds of main text raised so many times.
 DOUBT = 5.0
 
@@ -80,15 +81,28 @@ class Trees:
         return np.clip(1 / (1 + np.exp(-2 * margin)), 0.01, 0.99)
 
 
-def _examples(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+#: Words from which on a block without ``<p>`` counts as running text.
+RUNNING = 8
+
+
+def _texts(page: str) -> list[str]:
+    """Running texts of a page: of its paragraphs, else of its blocks of some length, else of all its blocks."""
+    root = dom.parse(page)
+    order = dom.nodes(root)
+    marked = [" ".join(" ".join(c for c in n.children if isinstance(c, str)).split()) for n in order if n.tag == "p"]
+    blocks = dom.block_texts(root, {id(n) for n in order})
+    return [t for t in marked if t] or [t for t in blocks if t.count(" ") + 1 >= RUNNING] or blocks
+
+
+def _examples(frames: Iterator[pd.DataFrame], layouts: int) -> Iterator[pd.DataFrame]:
     for frame in frames:
         xs, ys = [], []
         for page in frame["html"]:
-            texts = [t for n in dom.nodes(dom.parse(page)) if n.tag == "p" for t in [" ".join(" ".join(c for c in n.children if isinstance(c, str)).split())] if t]
+            texts = _texts(page)
             if not texts:
                 continue
-            for k in range(LAYOUTS):
-                root = dom.parse(Layout(texts, zlib.crc32(page.encode("utf-8", "replace")) * LAYOUTS + k).page())
+            for k in range(layouts):
+                root = dom.parse(Layout(texts, zlib.crc32(page.encode("utf-8", "replace")) * layouts + k).page())
                 order, x = dom.features(root)
                 keep: dict[int, float] = {}
                 for n in order:
@@ -96,7 +110,8 @@ def _examples(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     keep[id(n)] = float(mark) if mark else keep.get(id(n.parent), 0.0)
                 xs += x.tolist()
                 ys += [keep[id(n)] for n in order]
-        yield pd.DataFrame({"x": xs, "label": ys})
+        if xs:
+            yield pd.DataFrame({"x": pd.Series(xs, dtype=object), "label": pd.Series(ys, dtype=np.float64)})
 
 
 def learn(pages: DataFrame, sample: int = SAMPLE) -> Trees | None:
@@ -104,7 +119,8 @@ def learn(pages: DataFrame, sample: int = SAMPLE) -> Trees | None:
     given = pages.select("html").filter("html IS NOT NULL")
     n = given.count()
     drawn = given.filter(F.pmod(F.xxhash64("html"), F.lit(1_000_000)) < min(1.0, sample / max(n, 1)) * 1_000_000)
-    rows = drawn.mapInPandas(_examples, "x array<double>, label double").select(array_to_vector("x").alias("features"), "label").coalesce(8).cache()
+    layouts = LAYOUTS * -(-min(sample, SAMPLE) // max(min(n, sample), 1))  # of a small table about as many as of a large one
+    rows = drawn.mapInPandas(lambda frames: _examples(frames, layouts), "x array<double>, label double").select(array_to_vector("x").alias("features"), "label").coalesce(8).cache()
     try:
         kinds = rows.select("label").distinct().count()
         if kinds < 2:
@@ -117,21 +133,28 @@ def learn(pages: DataFrame, sample: int = SAMPLE) -> Trees | None:
 def decode(order: list[dom.Node], p: np.ndarray) -> set[int]:
     """Ids of the kept elements: the best choice of keep, drop and mixed that holds down the tree.
 
-    Choices are made for blocks; an inline element's text belongs to its block and shares its fate.
+    Choices are made for blocks, for any other element that holds one, and for inline adverts; the text of other inline
+    elements belongs to their block and shares its fate.
     """
     index = {id(n): i for i, n in enumerate(order)}
     m = len(order)
     parent = [index[id(n.parent)] if n.parent is not None else -1 for n in order]
-    inline = [i > 0 and n.tag not in dom.BLOCK for i, n in enumerate(order)]
-    size = [sum(len(c.strip()) for c in n.children if isinstance(c, str)) for n in order]
+    inline = [n.tag not in dom.BLOCK and not (n.hints and n.hints[_ADVERT]) for n in order]
+    inline[0] = False
     for i in range(m - 1, 0, -1):  # children come after their parents
+        if not inline[i]:
+            inline[parent[i]] = False
+    size = [sum(len(c.strip()) for c in n.children if isinstance(c, str)) for n in order]
+    for i in range(m - 1, 0, -1):
         if inline[i]:
             size[parent[i]] += size[i]
             size[i] = 0
     size = np.array(size)
     weight = np.where(size > 0, 1 + np.log1p(size), 0.0)
     own_keep, own_drop = weight * np.log(p), weight * np.log(1 - p)
-    keep, drop, mixed = own_keep.copy(), own_drop.copy(), np.maximum(own_keep, own_drop) - MIXED
+    # an element that only wraps another one has nothing to be mixed of
+    parts = np.bincount(np.array(parent[1:], dtype=int), minlength=m) + (size > 0)
+    keep, drop, mixed = own_keep.copy(), own_drop.copy(), np.maximum(own_keep, own_drop) - np.where(parts > 1, MIXED, 0.0)
     for i in range(m - 1, 0, -1):
         q = parent[i]
         keep[q] += keep[i]
