@@ -5,7 +5,11 @@ from pyspark.sql import functions as F
 from checks import sqltext as S
 from checks.base import Data, query
 from tintshelf.operators import imports as I
+from tintshelf.operators.catalog import Catalog
+from tintshelf.operators.numbering import checkpointed
 from tintshelf.plans.flows import folder_import
+from tintshelf.session import new_folder as work_folder
+from tintshelf.sources.featurestore import FeatureStore
 
 _MARK = "coalesce(hashed, '')"
 _NAMED = "(doc_id || '')"
@@ -109,3 +113,42 @@ def _(d):
         F.col("lang").alias("job_id"), F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("source_rel_path"), outcome.alias("outcome")
     )
     return I.scan_progress(files)
+
+
+#: Buckets of the feature store; small tables then leave some untouched.
+FEATURE_BUCKETS = 1024
+
+
+@query("nightly_features", f"""WITH was AS (SELECT image_name, 1000 + vec_id AS size, embedding[1] AS first FROM vectors),
+    now AS (SELECT image_name, size + (vec_id % 50 = 2)::INT AS size, first FROM was JOIN vectors USING (image_name) WHERE vec_id % 50 <> 1
+      UNION ALL SELECT 'NEW-' || image_name, 1000 + vec_id, embedding[1] FROM vectors WHERE vec_id % 50 = 3),
+    f AS (SELECT image_name, now.size, now.first, CASE WHEN now.size IS NULL THEN 'removed' WHEN was.size IS NULL THEN 'added' WHEN was.size <> now.size THEN 'changed' ELSE 'kept' END AS action,
+        ('0x' || substr(md5(image_name), 1, 7))::BIGINT % {FEATURE_BUCKETS} AS bucket FROM was FULL JOIN now USING (image_name))
+    SELECT image_name, action, round(first + size, 6) AS feature, CASE WHEN action = 'removed' THEN NULL ELSE bucket NOT IN (SELECT bucket FROM f WHERE action <> 'kept') END AS same_file,
+      (SELECT count(DISTINCT image_name) FROM now) AS images_in_catalog FROM f""")
+def _(d):
+    """Two nights over all images: the second adds, changes and removes some; files of untouched buckets stay the same."""
+    at = F.timestamp_seconds(F.lit(1_700_000_000))
+    v = checkpointed(d.vectors().select("vec_id", "style_code", "image_name", F.col("embedding")[0].alias("first")))
+    n, listed = F.col("vec_id") % 50, ["image_name", "style_code", "first", "size", "modified"]
+    was = v.withColumns({"size": 1000 + F.col("vec_id"), "modified": at})
+    new = was.filter(n == 3).withColumn("image_name", F.concat(F.lit("NEW-"), "image_name"))
+    now = checkpointed(was.filter(n != 1).withColumn("size", F.col("size") + (n == 2).cast("int")).select(*listed).unionByName(new.select(*listed)))
+
+    def compute(todo):
+        made = now.unionByName(was.filter(n == 1).select(*listed))
+        size = F.split("signature", r"\|")[1].cast("double")
+        return made.drop("size").join(todo, "image_name").withColumn("embedding", F.array(F.col("first") + size))
+
+    store = FeatureStore(d.spark, work_folder(d.spark), {"backend": "clip"}, buckets=FEATURE_BUCKETS)
+    store.refresh(was.select(*listed), compute, "night 1")
+    manifest = now.select("image_name", "style_code", F.array(F.lit("year:2024")).alias("tags"))
+    empty = d.catalog()
+    catalog, _, found = I.nightly_follow_up(Catalog(*[getattr(empty, t).limit(0) for t in ("products", "images", "tags", "product_tags")]), manifest, store, now, compute, "night 2")
+    store.refresh(now, compute, "night 2")  # a repeated night changes nothing
+    before = store.rows.read("features", version=1).select("image_name", F.col("_file").alias("_before"))
+    after = store.rows.read("features").select("image_name", "_file", F.round(F.col("embedding")[0], 6).alias("feature"))
+    rows = found.select("image_name", "action").join(before, "image_name", "left").join(after, "image_name", "left")
+    same = F.when(F.col("action") != "removed", F.coalesce(F.col("_before") == F.col("_file"), F.lit(False)))
+    count = catalog.images.agg(F.count_distinct("image_name").alias("images_in_catalog"), F.lit(1).alias("one"))
+    return rows.select("image_name", "action", "feature", same.alias("same_file"), F.lit(1).alias("one")).join(F.broadcast(count), "one").drop("one")

@@ -72,9 +72,8 @@ def _(d):
     return _drain(M.stream_dedup(docs), work_folder(d.spark)).select("hash")
 
 
-@query("stream_manifest", r"""WITH rows AS (SELECT 'ST' || lang || '-' || (doc_id % 100) || '_' || doc_id || '.jpg' AS image_name, 'ST' || lang || '-' || (doc_id % 100) AS style_code, 'category:' || source AS tag FROM documents)
-    SELECT style_code, tag FROM product_tags UNION SELECT style_code, tag FROM rows""")
-def _(d):
+def _manifest_rows(d: Data):
+    """A new folder, and a stream of manifest rows in three files or more, one for each micro-batch."""
     folder = work_folder(d.spark)
     code = F.concat(F.lit("ST"), "lang", F.lit("-"), F.col("doc_id") % 100)
 
@@ -84,10 +83,19 @@ def _(d):
             code.alias("style_code"), F.array(F.concat(F.lit("category:"), "source")).alias("tags"),
         )
 
-    # three files and more, one for each micro-batch; every batch starts from the version before it
     schema = rows_of(d.table("documents")).schema
     rows_of(d.table("documents")).repartition(3).write.parquet(f"{folder}/in")
     rows = d.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    return folder, rows
+
+
+_MANIFEST_TAGS = r"""WITH rows AS (SELECT 'ST' || lang || '-' || (doc_id % 100) || '_' || doc_id || '.jpg' AS image_name, 'ST' || lang || '-' || (doc_id % 100) AS style_code, 'category:' || source AS tag FROM documents)
+    SELECT style_code, tag FROM product_tags UNION SELECT style_code, tag FROM rows"""
+
+
+@query("stream_manifest", _MANIFEST_TAGS)
+def _(d):
+    folder, rows = _manifest_rows(d)
     tables, versions = [f.name for f in fields(Catalog)], []
 
     def load():
@@ -104,6 +112,20 @@ def _(d):
     return d.spark.read.parquet(f"{folder}/v{versions[-1]}/product_tags")
 
 
+@query("stream_manifest_buckets", _MANIFEST_TAGS)
+def _(d):
+    """The same by a catalog in hash buckets; at the end every batch is handed in once more and changes nothing."""
+    folder, rows = _manifest_rows(d)
+    store = M.CatalogStore(d.spark, f"{folder}/catalog", buckets=64)
+    store.save(d.catalog())
+    _finish(M.stream_manifest_buckets(rows, store, f"{folder}/state", availableNow=True))
+    last = store.rows.current()
+    again = d.spark.read.schema(rows.schema).parquet(f"{folder}/in")
+    if last["version"] < 4 or any(store.apply(again, t) for t in last["tokens"]) or store.rows.current() != last:
+        raise ValueError("a repeated batch was not known")
+    return store.load().product_tags
+
+
 @query("match_stream", MATCHED)
 def _(d):
     """The same rows as of the batch twin."""

@@ -4,10 +4,13 @@ from pyspark.sql import functions as F
 
 from checks.base import Data, query
 from tintshelf.functions import vector as X
+from tintshelf.operators import ivf as I
 from tintshelf.operators import learn as N
 from tintshelf.operators import ranking as R
 from tintshelf.operators import vectors as V
+from tintshelf.operators.numbering import checkpointed
 from tintshelf.plans.search import SearchSettings, search_styles
+from tintshelf.session import new_folder as work_folder
 
 WEIGHTS = (0.55, 0.16, 0.04, 0.25)
 # A fixed model for the checks that need SQL; training has its own query.
@@ -279,7 +282,7 @@ def _(d):
 def _training(d: Data):
     m = d.modal()
     views = m.withColumn("view", F.lit(0))
-    return N.training_pairs(views, m, N.mine_positives(m), N.mine_hard_negatives(m))
+    return N.training_pairs(views, m, N.mine_positives(m, per_image=64), N.mine_hard_negatives(m))
 
 
 @query("train_reranker")
@@ -496,11 +499,46 @@ def _(d):
         "vec_id", F.round("q.step", 9).alias("step"), F.array_join(F.col("q.codes").cast("array<string>"), "|").alias("codes"))
 
 
+def _probed(d: Data):
+    """(index, found): the 20 best of every vector at a quarter of the cells, by an index written and read again."""
+    folder = work_folder(d.spark)
+    I.write_ivf(I.build_ivf(d.images().withColumnRenamed("image_name", "key")), folder)
+    index = I.read_ivf(d.spark, folder)
+    return index, checkpointed(I.search_ivf(d.queries(), index, 20, index.cells // 4).withColumnRenamed("key", "image_name"))
+
+
+def _exact(d: Data):
+    return V.topk_vectors(d.queries(), d.images(), 20)
+
+
 @query("ivf_topk")
 def _(d):
-    return _rounded(R.ivf_topk(d.queries(), d.images(), 20, clusters=16, nprobe=4), "score")
+    """With the share of the exact rows that each query found."""
+    found = _probed(d)[1]
+    return _rounded(found.join(I.recall(found, _exact(d)), "query_id"), "score")
+
+
+@query("ivf_recall", """SELECT count(*) AS queries, true AS recall_reached, true AS quarter_of_cells, 0 AS wrong_scores, count(*) * 20 AS found FROM vectors""")
+def _(d):
+    """A recall of 0.9 or more at a quarter of the cells, and every score the exact product."""
+    index, found = _probed(d)
+    per_query = I.recall(found, _exact(d)).agg(F.count("*").alias("queries"), (F.avg("recall") >= 0.9).alias("recall_reached"), F.lit((index.cells // 4) * 4 <= index.cells).alias("quarter_of_cells"), F.lit(1).alias("one"))
+    sides = found.join(d.queries().withColumnRenamed("embedding", "q"), "query_id").join(d.images(), "image_name")
+    wrong = F.count_if(F.abs(X.dot(F.col("q"), F.col("embedding")) - F.col("score")) > 1e-9).cast("int")
+    return per_query.join(F.broadcast(sides.agg(wrong.alias("wrong_scores"), F.count("*").alias("found"), F.lit(1).alias("one"))), "one").drop("one")
 
 
 @query("ivf_topk_full_probe", "SELECT query_id, image_name, round(score, 6) AS score FROM recalled QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, image_name) <= 20")
 def _(d):
-    return _rounded(R.ivf_topk(d.queries(), d.images(), 20, clusters=8, nprobe=8), "score")
+    """All cells, and all rows scored again: the exact rows."""
+    return _rounded(R.ivf_topk(d.queries(), d.images(), 20, clusters=8, nprobe=8, rescore=10**6), "score")
+
+
+@query("search_styles_by_index", """SELECT count(DISTINCT vec_id) AS queries, true AS agree FROM vectors""")
+def _(d):
+    """Photo search on a stored index: the first code of nine in ten queries or more is that of the exact search."""
+    index = I.build_ivf(d.images().withColumnRenamed("image_name", "key"))
+    by_index = search_styles(d.queries(), d.images(), index=index, nprobe=max(1, index.cells // 4)).filter("rank = 1")
+    exact = search_styles(d.queries(), d.images()).filter("rank = 1").select("query_id", F.col("style_code").alias("code"))
+    both = exact.join(by_index, "query_id", "left")
+    return both.agg(F.count("*").alias("queries"), (F.avg(F.coalesce((F.col("code") == F.col("style_code")).cast("double"), F.lit(0.0))) >= 0.9).alias("agree"))

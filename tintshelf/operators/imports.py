@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from tintshelf.operators import maintenance as M
 from tintshelf.operators.catalog import Catalog
 from tintshelf.operators.numbering import number_within, running_sums
 from tintshelf.session import spread_scan
+from tintshelf.sources.featurestore import FeatureStore
 
 # ---- fixed values: statuses and messages ---------------------------------------------------------------
 OK, INVALID, FAILED = "ok", "invalid_style_code", "ocr_failed"
@@ -122,6 +125,18 @@ def apply_manifest(catalog: Catalog, manifest: DataFrame) -> tuple[Catalog, Data
     return M.add_tag_rows(manifest.select("style_code", F.explode("tags").alias("tag")), synced), stats
 
 
+def nightly_follow_up(
+    catalog: Catalog, manifest: DataFrame, features: FeatureStore, files: DataFrame,
+    compute: Callable[[DataFrame], DataFrame], token: str | None = None,
+) -> tuple[Catalog, DataFrame, DataFrame]:
+    """``apply_manifest``, then the third step: features of new, changed and removed images are brought up to date.
+
+    ``files`` is the listing (image_name, size, modified) after the import, ``compute`` makes feature rows of
+    (image_name, signature); the last table returned says what became of every image (``FeatureStore.refresh``).
+    """
+    return *apply_manifest(catalog, manifest), features.refresh(files, compute, token)
+
+
 def scan_progress(files: DataFrame, every: int = 50) -> DataFrame:
     """Progress lines of a scan: files(job_id, source_rel_path, outcome) with outcome success/failed/renamed.
 

@@ -48,15 +48,16 @@ class PairModel:
         return logistic(z)
 
 
-def mine_positives(items: DataFrame, per_image: int = 64) -> DataFrame:
-    """(image_name, partner): images of the same code, closest by clip first; an image alone pairs with itself.
+def mine_positives(items: DataFrame, per_image: int | None = None) -> DataFrame:
+    """(image_name, partner): images of the same code; an image alone pairs with itself.
 
-    items(image_name, style_code, clip). Up to ``per_image`` closest partners, so the output stays linear
-    when one code holds a large share of all images; smaller codes keep every pair.
+    items(image_name, style_code, clip). All partners by default, as many as the square of a code's images; with
+    ``per_image`` the so many closest by clip, for fits on codes that hold a large share of all images.
     """
     q = items.select(F.col("image_name").alias("query_id"), F.col("style_code").alias("query_code"), F.col("clip").alias("embedding"))
     c = items.select(F.col("image_name").alias("key"), F.col("style_code").alias("code"), F.col("clip").alias("embedding"))
-    near = within_code_join(q, c, Keep(k=per_image, skip_self=True)).select(
+    keep = Keep(floor=-1e300, skip_self=True) if per_image is None else Keep(k=per_image, skip_self=True)
+    near = within_code_join(q, c, keep).select(
         F.col("query_id").alias("image_name"), F.col("key").alias("partner")
     )
     alone = items.groupBy("style_code").agg(F.count("*").alias("n"), F.first("image_name").alias("image_name"))

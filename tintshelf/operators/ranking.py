@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tintshelf.functions import text as T
 from tintshelf.functions.vector import dot
-from tintshelf.operators.blocks import Keep, best_of, chunk_counts, cell_join, prepare_sides
+from tintshelf.operators import ivf
 from tintshelf.operators.numbering import checkpointed
 
 # ---- fixed values: hybrid weights (clip, shape, color, stripe) per query mode --------------------------
@@ -214,29 +213,14 @@ def pca_reduce(vectors: DataFrame, size: int = 128) -> DataFrame:
     return PCA(k=size, inputCol="v", outputCol="p").fit(v).transform(v).select("key", vector_to_array("p").alias("embedding"))
 
 
-def ivf_topk(queries: DataFrame, catalog: DataFrame, k: int, clusters: int = 64, nprobe: int = 8, seed: int = 42) -> DataFrame:
-    """Planned only. Approximate top-k: KMeans cells, the ``nprobe`` nearest per query, exact scores inside them.
+def ivf_topk(queries: DataFrame, catalog: DataFrame, k: int, clusters: int | None = None, nprobe: int | None = None, **options) -> DataFrame:
+    """Planned only. Approximate top-k by an index built for this call: (query_id, image_name, score).
 
-    With nprobe = clusters the result equals ``topk_vectors``. (query_id, image_name, score)
+    Cells follow the rows and a quarter of them is probed unless given; ``options`` are those of ``search_ivf``. Store an
+    index that serves more than one call with ``ivf.write_ivf``.
     """
-    spark = catalog.sparkSession
-    q, c = prepare_sides(queries, catalog.withColumnRenamed("image_name", "key"))
-    model = KMeans(k=clusters, seed=seed, featuresCol="v", predictionCol="cell", maxIter=10).fit(
-        c.select(array_to_vector("vec").alias("v"))
-    )
-    cells = model.transform(c.withColumn("v", array_to_vector("vec"))).select("key", "code", "vec", "cell")
-    centers = spark.createDataFrame(
-        [(i, [float(x) for x in center]) for i, center in enumerate(model.clusterCenters())], "cell int, center array<double>"
-    )
-    listed = centers.agg(F.sort_array(F.collect_list(F.struct("cell", "center"))).alias("centers"))  # one row, ``clusters`` entries
-    near = q.withColumn("_k", F.lit(1)).join(F.broadcast(listed.withColumn("_k", F.lit(1))), "_k")
-    view = F.get("views", F.lit(0))
-    ordered = F.array_sort(F.transform("centers", lambda t: F.struct(
-        (-dot(view, t["center"])).alias("d"), t["cell"].alias("cell"))))
-    routed = near.select("query_id", "query_code", "views", F.explode(F.slice(ordered, 1, nprobe)).alias("t")).select(
-        "query_id", "query_code", "views", F.col("t.cell").alias("cell")
-    )
-    plan = F.broadcast(chunk_counts(cells, "nc").join(chunk_counts(routed, "nq"), "cell"))  # one row per cluster
-    keep = Keep(k=k)
-    pairs = best_of(cell_join(routed, cells, plan, keep), keep)
-    return pairs.withColumn("query_id", F.col("query_id").cast(queries.schema["query_id"].dataType)).withColumnRenamed("key", "image_name")
+    index = ivf.build_ivf(catalog.withColumnRenamed("image_name", "key"), cells=clusters)
+    if index is None:
+        return queries.select("query_id", F.lit("").alias("image_name"), F.lit(0.0).alias("score")).limit(0)
+    found = ivf.search_ivf(queries, index, k, nprobe or max(1, index.cells // 4), **options)
+    return found.withColumnRenamed("key", "image_name")
