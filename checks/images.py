@@ -236,9 +236,9 @@ def _(d):
 
 _R2 = _hsv_back("1.0::DOUBLE / 18", "ns", "nv")
 _SOFT = f"least(1.0::DOUBLE, pow({_ALPHA}, 0.85::DOUBLE) * (0.88::DOUBLE + 0.12::DOUBLE * 0.8::DOUBLE))"
-FABRIC = f"""{HSV}, n AS (SELECT *, {_SOFT} AS al, greatest(0, least(0.96::DOUBLE, (s * (1 - 0.89::DOUBLE) + 0.89::DOUBLE) * (1 - 0.55::DOUBLE * greatest(0, least(1, (v - 0.7::DOUBLE) / 0.3::DOUBLE))) * 1.13::DOUBLE)) AS ns,
+FABRIC = f"""{HSV}, n AS MATERIALIZED (SELECT *, {_SOFT} AS al, greatest(0, least(0.96::DOUBLE, (s * (1 - 0.89::DOUBLE) + 0.89::DOUBLE) * (1 - 0.55::DOUBLE * greatest(0, least(1, (v - 0.7::DOUBLE) / 0.3::DOUBLE))) * 1.13::DOUBLE)) AS ns,
       least(1.0::DOUBLE, v * 0.954::DOUBLE + 0.046::DOUBLE) AS nv FROM hsv),
-    fab AS (SELECT image_id, y, x, r * (1 - al) + {_R2[0]} * al AS r, g * (1 - al) + {_R2[1]} * al AS g, b * (1 - al) + {_R2[2]} * al AS b FROM n)"""
+    fab AS MATERIALIZED (SELECT image_id, y, x, r * (1 - al) + {_R2[0]} * al AS r, g * (1 - al) + {_R2[1]} * al AS g, b * (1 - al) + {_R2[2]} * al AS b FROM n)"""
 
 
 def _fabric():
@@ -250,8 +250,11 @@ def _(d):
     return d.pixels().select("image_id", "y", "x", _fabric().alias("c")).select("image_id", "y", "x", *[F.round(f"c.{c}", 5).alias(c) for c in "rgb"])
 
 
-@query("blend_background", f"""WITH {FABRIC} SELECT image_id, y, x, """ + ", ".join(
-    f"round(f.{c} * (floor({MASK} * 255) / 255) + p.{c} / 255.0::DOUBLE * (1 - floor({MASK} * 255) / 255), 5) AS {c}" for c in "rgb") + " FROM fab f JOIN pixels p USING (image_id, y, x)")
+_BLENDED = ", ".join(f"round(f.{c} * m + p.{c} / 255.0::DOUBLE * (1 - m), 5) AS {c}" for c in "rgb")
+
+
+@query("blend_background", f"""WITH {FABRIC}, p AS MATERIALIZED (SELECT image_id, y, x, r, g, b, floor({MASK} * 255) / 255 AS m FROM pixels)
+    SELECT image_id, y, x, {_BLENDED} FROM fab f JOIN p USING (image_id, y, x)""")
 def _(d):
     p = d.pixels().withColumn("e", _fabric())
     out = P.blend_background({c: F.col(c) / 255.0 for c in "rgb"}, {c: F.col(f"e.{c}") for c in "rgb"}, _mask())

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from checks.base import Data, query
 from tintshelf.operators.learn import PairModel
-from tintshelf.operators.vectors import recall_size
+from tintshelf.operators.vectors import recall_sizes
 from tintshelf.operators import textindex as H
 from tintshelf.session import new_folder as work_folder
 from tintshelf.sources import files as W
@@ -148,6 +148,6 @@ def _(d):
     FROM (SELECT count(*) AS n FROM embeddings), (SELECT DISTINCT p_size AS k FROM part), (SELECT unnest([0, 512]) AS cap)""")
 def _(d):
     """How many images to recall for as many codes as a part size says (at most some dozens of sizes)."""
-    n = d.table("embeddings").count()
-    sizes = [r[0] for r in d.table("part").select("p_size").distinct().collect()]
-    return d.spark.createDataFrame([(k, cap, recall_size(k, 30, cap, n)) for k in sizes for cap in (0, 512)], "k int, cap int, size bigint")
+    n = d.table("embeddings").agg(F.count("*").alias("n"), F.lit(1).alias("one"))
+    sizes = d.table("part").select(F.col("p_size").cast("int").alias("k"), F.explode(F.array(F.lit(0), F.lit(512))).alias("cap"), F.lit(1).alias("one")).distinct()
+    return sizes.join(F.broadcast(n), "one").select("k", "cap", recall_sizes(F.col("k"), 30, F.col("cap"), F.col("n")).alias("size"))

@@ -485,10 +485,14 @@ def _(d):
     return R.weights_for_query(q).select("event_id", "mode", F.array_join(F.col("weights").cast("array<string>"), "|").alias("weights"))
 
 
-@query("pca_reduce")
-def _(d):
-    p = R.pca_reduce(d.images().withColumnRenamed("image_name", "key"), 16)
-    return p.select("key", F.size("embedding").alias("size"))
+@query("pca_reduce", """SELECT vec_id, round(sqrt(list_dot_product(embedding, embedding)), 6) AS length,
+    round(list_dot_product(embedding, lead(embedding) OVER (ORDER BY vec_id)), 6) AS to_next FROM vectors""")
+def _(d):
+    """All components: a rotation, which keeps lengths and the products of neighbours."""
+    v = d.vectors().select(F.col("vec_id").cast("string").alias("key"), "embedding")
+    p = R.pca_reduce(v, 64).select(F.col("key").cast("bigint").alias("vec_id"), "embedding")
+    after = p.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next"))
+    return p.join(after, "vec_id", "left").select("vec_id", F.round(X.norm(F.col("embedding")), 6).alias("length"), F.round(X.dot(F.col("embedding"), F.col("next")), 6).alias("to_next"))
 
 
 @query("quantize_int8", """WITH s AS (SELECT vec_id, embedding, list_max(list_transform(embedding, lambda x: abs(x))) / 127 AS step FROM vectors)

@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), decides on all rows its predecessor kept, and returns the columns of
 ``documents``; the last one adds token counts and digests. ``run`` writes every stage's rows in the shared folder and
-reads them again for the next. Stages are resumable from what the one before has written.
+reads them again for the next, so a stage that is lost costs nothing of those before it. Every call of ``run`` takes a new
+folder: to go on after a failure, call the remaining ``STAGES`` on what the last one has written.
 """
 
 from __future__ import annotations

@@ -113,7 +113,7 @@ def build_ivf(catalog: DataFrame, cells: int | None = None, parts: int = 16, cop
     some = _sample(rows, n, sample)
     k = min(cells or cell_count(n), n)
     if k > 1:
-        model = KMeans(k=k, seed=seed, featuresCol="v", maxIter=8, initSteps=1).fit(some.select(array_to_vector("vec").alias("v")))
+        model = KMeans(k=k, seed=seed, featuresCol="v", maxIter=8, initMode="random").fit(some.select(array_to_vector("vec").alias("v")))
         centres = np.array(model.clusterCenters())
     else:
         centres = np.zeros((1, len(rows.first()["vec"])))

@@ -15,6 +15,12 @@ def recall_size(k: int, multiplier: int, cap: int, n: int) -> int:
     return min(size, cap) if cap > 0 else size
 
 
+def recall_sizes(k: Column, multiplier: int, cap: Column, n: Column) -> Column:
+    """``recall_size`` as a column."""
+    size = F.least(n, k * max(multiplier, 1))
+    return F.when(cap > 0, F.least(size, cap)).otherwise(size).cast("bigint")
+
+
 def topk_vectors(queries: DataFrame, catalog: DataFrame, k: int, consensus: float = 0.0, **options) -> DataFrame:
     """k best catalog images per query by inner product: (query_id, image_name, score).
 
