@@ -503,6 +503,19 @@ def _(d):
         "vec_id", F.round("q.step", 9).alias("step"), F.array_join(F.col("q.codes").cast("array<string>"), "|").alias("codes"))
 
 
+_NEAR_AXES = """shifted AS (SELECT vec_id, image_name, list_transform(generate_series(1, 64), lambda i: embedding[i] * 0.1::DOUBLE + CASE WHEN i % 10 = style_code[4]::INT THEN 0.5 ELSE 0 END) AS e FROM vectors)"""
+
+
+@query("topk_clustered", f"""WITH {_NEAR_AXES}, s AS (SELECT q.vec_id AS query_id, c.image_name, round(list_dot_product(q.e, c.e), 12) AS score FROM shifted q, shifted c)
+    SELECT query_id, image_name, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, image_name) <= 20""")
+def _(d):
+    """Vectors that lie near ten directions, where most products end early (counted in tests/test_pruning.py)."""
+    at = F.substring("style_code", 4, 1).cast("int")
+    shifted = F.transform("embedding", lambda v, i: v * 0.1 + F.when((i + 1) % 10 == at, F.lit(0.5)).otherwise(F.lit(0.0)))
+    v = d.vectors().select("vec_id", "image_name", shifted.alias("embedding"))
+    return _rounded(V.topk_vectors(v.select(F.col("vec_id").alias("query_id"), "embedding"), v.select("image_name", "embedding"), 20), "score")
+
+
 def _probed(d: Data):
     """(index, found): the 20 best of every vector at a quarter of the cells, by an index written and read again."""
     folder = work_folder(d.spark)

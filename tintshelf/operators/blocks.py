@@ -3,7 +3,10 @@
 Both sides are arrays of doubles; one query may have several views. Two physical ways, same rows:
 
 * the query side is small (checked): it is broadcast once and the catalog is scanned in tiles, each partition
-  returning only its own best rows. Every pair is scored, by matrix products of bounded size;
+  returning only its own best rows. Products are first grown over the leading principal axes of the queries; what the
+  norms of the remaining coordinates add cannot lift most pairs to the k-th best a query already holds in that task (or to
+  the floor), and only the others are scored on all coordinates. Where vectors have no leading axes, or few pairs can be
+  left out, tiles are scored whole, by matrix products of bounded size;
 * otherwise both sides are spread over Voronoi cells of bounded number. A cell can be skipped for a query
   when ``q.p + |q| * radius`` (Cauchy-Schwarz) stays under the score the query already holds; vectors that
   form no clusters leave little to skip, and then every pair is scored here as well. Cells are
@@ -102,6 +105,63 @@ def _best_pairs(queries: _Queries, keys, codes, vectors: np.ndarray, keep: Keep)
     return _merge(out, keep)
 
 
+#: Share of the squares that the leading axes hold, the most of all axes they may be, the share of pairs above which a
+#: tile is scored whole, and the fewest rows of a task's first tile, which only serves to fill the queries' lists.
+LEADING, MOST_AXES, WHOLE_SHARE, FIRST_ROWS = 0.8, 0.5, 0.2, 128
+
+
+def leading_axes(stack: np.ndarray) -> np.ndarray | None:
+    """Orthonormal axes (width x axes) that hold most of the squares of these rows; None if that takes too many.
+
+    They decide how much is left out, never which rows are found.
+    """
+    if not len(stack) or not np.isfinite(stack).all():
+        return None
+    values, axes = np.linalg.eigh(stack.T @ stack)
+    share = np.cumsum(values[::-1]) / max(values.sum(), 1e-300)
+    n = int(np.searchsorted(share, LEADING)) + 1
+    return axes[:, ::-1][:, :n].copy() if n <= MOST_AXES * stack.shape[1] else None
+
+
+def _on_axes(x: np.ndarray, axes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Leading coordinates, and a bound of the norm of the rest."""
+    lead = x @ axes
+    square = (x * x).sum(1)
+    return lead, np.sqrt(np.maximum(square - (lead * lead).sum(1), 0) + 1e-12 * square)
+
+
+def _pruned_pairs(queries: _Queries, q_axes, c_axes, keys, codes, vectors, keep: Keep, limit: np.ndarray) -> tuple[pd.DataFrame | None, int]:
+    """As ``_best_pairs`` for pairs that can reach ``limit`` (one per query), and the multiplications; None if most can."""
+    (q_lead, q_rest), (c_lead, c_rest) = q_axes, c_axes
+    bound = queries.fuse(q_lead @ c_lead.T + q_rest[:, None] * c_rest[None, :], keep.consensus)
+    work = q_lead.size * len(c_lead)
+    alive = bound >= (limit - 1e-9 * (1 + np.abs(limit)))[:, None]
+    if any(c is not None for c in queries.codes):
+        alive &= (queries.codes[:, None] == codes[None, :]) == keep.same_code
+    if keep.skip_self:
+        alive &= queries.ids[:, None] != keys[None, :]
+    if alive.mean() > WHOLE_SHARE:
+        return None, work
+    qi, ci = np.nonzero(alive)
+    views = queries.counts[qi]
+    first = np.cumsum(views) - views
+    row = np.repeat(queries.starts[qi] - first, views) + np.arange(views.sum())
+    scores = np.einsum("ij,ij->i", queries.stack[row], vectors[np.repeat(ci, views)])
+    if len(qi):
+        top = np.maximum.reduceat(scores, first)
+        scores = top if keep.consensus <= 1e-6 else (1.0 - keep.consensus) * top + keep.consensus * np.add.reduceat(scores, first) / views
+    scores = np.round(scores, PLACES)
+    out = pd.DataFrame({"query_id": queries.ids[qi], "key": keys[ci], "score": scores})
+    return _merge(out if keep.floor is None else out[out["score"] >= keep.floor], keep), work + len(row) * vectors.shape[1]
+
+
+def _reach(rows: pd.DataFrame, queries: _Queries, k: int) -> np.ndarray:
+    """The k-th best score of each query among merged rows; minus infinity where there are fewer."""
+    kth = rows.groupby("query_id", sort=False)["score"].agg(["size", "min"])
+    kth = kth[kth["size"] >= k]["min"]
+    return kth.reindex(queries.ids).fillna(-np.inf).to_numpy(float)
+
+
 def _merge(rows: pd.DataFrame, keep: Keep) -> pd.DataFrame:
     if keep.floor is not None:
         return rows.groupby(["query_id", "key"], as_index=False, sort=False)["score"].max()
@@ -116,25 +176,48 @@ def best_of(pairs: DataFrame, keep: Keep) -> DataFrame:
     return pairs.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= keep.k).drop("_rn")
 
 
-def _scan(queries: DataFrame, catalog: DataFrame, keep: Keep) -> DataFrame:
-    """Tiles of queries against tiles of catalog rows; a task holds one product of tiles and the best rows so far."""
-    shared = queries.sparkSession.sparkContext.broadcast(_Queries(queries.toPandas()))
+def _scan(queries: DataFrame, catalog: DataFrame, keep: Keep, counters=None) -> DataFrame:
+    """Tiles of queries against tiles of catalog rows; a task holds one product of tiles and the best rows so far.
+
+    ``counters``: two accumulators of multiplications made, and of those that scoring every pair takes.
+    """
+    whole = _Queries(queries.toPandas())
+    shared = queries.sparkSession.sparkContext.broadcast((whole, leading_axes(whole.stack)))
 
     def best(batches):
-        tiles = list(shared.value.tiles(TILE_VALUES // CHUNK_ROWS))
+        stacked, axes = shared.value
+        tiles = list(stacked.tiles(TILE_VALUES // CHUNK_ROWS))
+        on_axes = [_on_axes(t.stack, axes) for t in tiles] if axes is not None else []
         held: list[list[pd.DataFrame]] = [[] for _ in tiles]
+        limits = [np.full(len(t.ids), -np.inf if keep.floor is None else keep.floor) for t in tiles]
+        size = max(FIRST_ROWS, 2 * keep.k) if axes is not None and keep.floor is None else CHUNK_ROWS
         for pdf in batches:
-            for start in range(0, len(pdf), CHUNK_ROWS):
-                part = pdf.iloc[start : start + CHUNK_ROWS]
+            start = 0
+            while start < len(pdf):
+                part = pdf.iloc[start : start + size]
+                start, size = start + size, CHUNK_ROWS
                 keys, codes, vectors = part["key"].to_numpy(object), part["code"].to_numpy(object), _matrix(part["vec"])
-                for tile, rows in zip(tiles, held, strict=True):
-                    found = _best_pairs(tile, keys, codes, vectors, keep)
+                c_axes = _on_axes(vectors, axes) if axes is not None else None
+                made = c_axes[0].size * vectors.shape[1] if c_axes else 0
+                for t, (tile, rows) in enumerate(zip(tiles, held, strict=True)):
+                    every, found = tile.stack.size * len(vectors), None
+                    if c_axes is not None and np.isfinite(limits[t]).mean() > 0.5:
+                        found, work = _pruned_pairs(tile, on_axes[t], c_axes, keys, codes, vectors, keep, limits[t])
+                        made += work
+                    if found is None:
+                        found = _best_pairs(tile, keys, codes, vectors, keep)
+                        made += every
+                    if counters is not None:
+                        counters[1].add(every)
                     if keep.floor is not None:  # every row counts here, so hand them on instead of holding them
                         yield found
                         continue
                     rows.append(found)
-                    if sum(map(len, rows)) > 3 * len(tile.ids) * keep.k:
+                    if sum(map(len, rows)) > (1.25 if len(rows) > 1 else 0.5) * len(tile.ids) * keep.k:
                         rows[:] = [_merge(pd.concat(rows), keep)]
+                        limits[t] = _reach(rows[0], tile, keep.k)
+                if counters is not None:
+                    counters[0].add(int(made))
         for rows in held:
             if rows:
                 yield _merge(pd.concat(rows), keep)
@@ -281,6 +364,7 @@ def similarity_join(
     keep: Keep,
     max_broadcast_rows: int = 20_000,
     n_pivots: int | None = None,
+    counters=None,
 ) -> DataFrame:
     """(query_id, key, score) from queries(query_id, embedding[, query_code]) x catalog(key, embedding[, code]).
 
@@ -290,7 +374,7 @@ def similarity_join(
     q, c = prepare_sides(queries, catalog)
     # Views are gathered once; the way by cells reads either side several times.
     q = checkpointed(q)
-    pairs = _scan(q, c, keep) if _fits(q, max_broadcast_rows) else _by_cells(q, checkpointed(c), keep, n_pivots)
+    pairs = _scan(q, c, keep, counters) if _fits(q, max_broadcast_rows) else _by_cells(q, checkpointed(c), keep, n_pivots)
     return best_of(pairs, keep).withColumn("query_id", F.col("query_id").cast(queries.schema["query_id"].dataType))
 
 
