@@ -2,8 +2,8 @@
 
 Rule: a run of ``run`` lines in a row, or one line of at least ``long_words`` words, that stands word for word at an
 earlier place (order: doc_id, text hash, line) is removed there; repeats that overlap count as repeats. Lines are compared
-without outer blanks; blank lines are no part of a run and go with the line before them. With ``passages`` a run of fewer
-than ``run`` lines also counts that reaches ``long_words`` words as a whole, but not without its first or its last line.
+without outer blanks; blank lines are no part of a run and go with the line before them. A run of fewer than ``run`` lines
+also counts that reaches ``long_words`` words as a whole, but not without its first or its last line (``passages``).
 
 Way: every window of ``run`` line hashes gives its smallest hash (the rightmost of equals) as a fingerprint, and a long
 line is one by itself, so both places of a repeated run hold the same fingerprints at the same offsets; a passage is a
@@ -27,7 +27,7 @@ from tintshelf.llm.common import stored, text_hash
 RUN, LONG_WORDS = 3, 50
 
 
-def removed_lines(documents: DataFrame, run: int = RUN, long_words: int = LONG_WORDS, passages: bool = False) -> DataFrame:
+def removed_lines(documents: DataFrame, run: int = RUN, long_words: int = LONG_WORDS, passages: bool = True) -> DataFrame:
     """(doc_id, th, lines): numbers of the lines that repeat an earlier run, for the documents that have any."""
     docs = documents.select("doc_id", text_hash(F.col("text")).alias("th"), F.split("text", "\n").alias("all")).filter(F.size("all") > 0)
     named = F.transform("all", lambda x, i: F.struct(F.btrim(x, F.lit(" \t\r")).alias("s"), i.alias("i")))
@@ -100,7 +100,7 @@ def removed_lines(documents: DataFrame, run: int = RUN, long_words: int = LONG_W
     return cut.select("doc_id", "th", F.array_sort(F.array_distinct(F.flatten(spans))).alias("lines"))
 
 
-def dedup_lines(documents: DataFrame, run: int = RUN, long_words: int = LONG_WORDS, passages: bool = False) -> DataFrame:
+def dedup_lines(documents: DataFrame, run: int = RUN, long_words: int = LONG_WORDS, passages: bool = True) -> DataFrame:
     """All columns of ``documents`` with the shortened ``text``, then ``n_lines`` and ``n_removed`` of the text as given."""
     # renamed, so that nothing else that the caller has can clash
     gone = stored(removed_lines(documents, run, long_words, passages)).toDF("_ld_doc", "_ld_th", "_ld_gone")

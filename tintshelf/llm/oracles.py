@@ -73,10 +73,11 @@ ORACLES["op1_line_dedup"] = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(text, chr(10)) AS w FROM documents),
 a AS (SELECT r, doc_id, unnest(range(len(w))) AS i, w FROM d),
 l AS (SELECT r, doc_id, i, trim(w[i + 1], ' ' || chr(9) || chr(13)) AS s, len(w) AS n FROM a),
-f AS (SELECT *, row_number() OVER o AS k, coalesce(lead(i) OVER o, n) AS upto, lead(s, 1) OVER o AS s2, lead(s, 2) OVER o AS s3,
-        coalesce(lead(i, 3) OVER o, n) AS upto3, len(regexp_split_to_array(s, '[ \\t]+')) AS words
-      FROM l WHERE s <> '' WINDOW o AS (PARTITION BY r ORDER BY i)),
+f AS (SELECT *, row_number() OVER o AS k, coalesce(lead(i) OVER o, n) AS upto, lead(s, 1) OVER o AS s2, lead(s, 2) OVER o AS s3, coalesce(lead(i, 2) OVER o, n) AS upto2,
+        coalesce(lead(i, 3) OVER o, n) AS upto3, words, lead(words) OVER o AS words2
+      FROM (SELECT *, len(regexp_split_to_array(s, '[ \\t]+')) AS words FROM l) WHERE s <> '' WINDOW o AS (PARTITION BY r ORDER BY i)),
 g AS (SELECT r, doc_id, i, upto, s AS gram FROM f WHERE words >= {lines.LONG_WORDS}
+      UNION ALL SELECT r, doc_id, i, upto2, s || chr(10) || s2 FROM f WHERE greatest(words, words2) < {lines.LONG_WORDS} AND words + words2 >= {lines.LONG_WORDS}
       UNION ALL SELECT r, doc_id, i, upto3, s || chr(10) || s2 || chr(10) || s3 FROM f WHERE s3 IS NOT NULL),
 p AS (SELECT *, row_number() OVER (PARTITION BY gram ORDER BY doc_id NULLS FIRST, r, i) AS place FROM g),
 x AS (SELECT DISTINCT r, unnest(range(i, upto)) AS i FROM p WHERE place > 1),
