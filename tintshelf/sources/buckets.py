@@ -5,6 +5,7 @@ changed. A version is a small file that says for every bucket which folder holds
 current, and a version file is created only if none of its number is there, so readers see a change whole or not at all,
 and of two writers that start from one version the second fails. A version can carry the token of the request or batch that
 made it: ``done(token)`` tells a repeated batch to change nothing. What is held on the driver is one entry per bucket.
+A version file gets its name by a rename; in stores where that is no single step, one writer at a time may commit.
 
 The number of buckets is fixed when the store is made. It bounds the share of a table that one changed row rewrites.
 """
