@@ -254,5 +254,6 @@ def with_views(sql: str) -> str:
         return sql
     ctes = ",\n".join(f"{name} AS ({VIEWS[name]})" for name in needed)
     body = sql.strip()
-    joiner = ",\n" + body[4:].lstrip() if body.upper().startswith("WITH ") else "\n" + body
-    return f"WITH {ctes}{joiner}"
+    start = "WITH RECURSIVE " if body.upper().startswith("WITH RECURSIVE ") else "WITH "
+    joiner = ",\n" + body[len(start):].lstrip() if body.upper().startswith(start) else "\n" + body
+    return f"{start}{ctes}{joiner}"

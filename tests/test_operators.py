@@ -13,7 +13,8 @@ from tintshelf.operators.catalog import assemble_products
 from tintshelf.operators.imports import allocate_names
 from tintshelf.operators.layout import assign_slots
 from tintshelf.operators.numbering import number_within
-from tintshelf.operators.textindex import match_tokens
+from tintshelf.operators.pixels import classic_feature, edge_histogram, lbp_histogram, subject_score
+from tintshelf.operators.textindex import fuzzy_candidates, match_tokens
 from tintshelf.operators.vectors import topk_vectors
 from tintshelf.streaming.readings import average_readings
 
@@ -45,9 +46,21 @@ def test_topk_with_copies(spark, monkeypatch, bound):
         assert list(mine.image_name) == [name for _, name in scores]
 
 
+def test_fuzzy_candidates_follow_the_matches(spark):
+    """Words that share a common ending but too few letters do not meet, in a vocabulary of any size."""
+    rng = random.Random(5)
+    ends = ["ATION", "INGLY", "NESS", "MENT"]
+    words = ["".join(rng.choice("ABCDEFGHIKLMNOPRSTUV") for _ in range(rng.randint(4, 6))) + rng.choice(ends) for _ in range(10_000)]
+    asked = spark.createDataFrame([(w[:1] + w[2:],) for w in words[:200]], "query_token string")
+    for size in (1_000, 10_000):
+        vocab = spark.createDataFrame([(w, 1.0) for w in dict.fromkeys(words[:size])], "token string, idf double")
+        met, matched = fuzzy_candidates(asked, vocab.select("token")).count(), match_tokens(asked, vocab, max_matches=size).count()
+        assert 200 <= matched <= met <= 1.5 * matched
+
+
 def test_match_tokens_equals_brute_force(spark):
     rng = random.Random(3)
-    words = {"".join(rng.choice("ABCDE12") for _ in range(rng.randint(4, 11))) for _ in range(250)}
+    words = {"".join(rng.choice("ABCDE12") for _ in range(rng.randint(1, 17))) for _ in range(400)} | {"ESESES", "EESES"}
     words = sorted(w for w in words if any(c.isalpha() for c in w))
     idf = {w: 1 + len(w) / 7 + i / 1000 for i, w in enumerate(words)}
     asked = sorted({w[:2] + w[3:] for w in words if len(w) > 5} | {w + "X" for w in words} | set(words[:20]))
@@ -107,3 +120,33 @@ def test_product_with_many_images_is_one_row(spark):
     rows = {r["style_code"]: r for r in assemble_products(products, images, tags).collect()}
     assert len(rows) == 2 and rows["B-2"]["images"] == [] and rows["A-1"]["image_count"] == n
     assert [i["sort_order"] for i in rows["A-1"]["images"]] == list(range(1, n + 1))
+
+
+def _image(spark, shades, width, height):
+    rows = [(1, y, x, *shades(y, x)) for y in range(height) for x in range(width)]
+    return spark.createDataFrame(rows, "image_id bigint, y int, x int, r int, g int, b int")
+
+
+def test_tiles_do_not_change_neighbourhood_features(spark):
+    """Sides that divide the image, that do not, and one tile for all give the same rows."""
+    rng = random.Random(11)
+    pixels = _image(spark, lambda y, x: [rng.randrange(256) for _ in range(3)], 13, 8).cache()
+    for feature in (lbp_histogram, edge_histogram):
+        whole, *cut = [sorted((r["bin"], round(r["value"], 9)) for r in feature(pixels, tile=t).collect()) for t in (64, 4, 5, 1)]
+        assert whole and cut == [whole] * 3
+    whole, *cut = [np.array(classic_feature(pixels, 4, tile=t).first()["embedding"]) for t in (64, 4, 5)]
+    assert all(np.allclose(whole, c, atol=1e-9) for c in cut)
+    plan = classic_feature(pixels, 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1
+
+
+def test_subject_cut_is_the_exact_quantile(spark):
+    """One flat image, one of noise and one whose colour is lost in places; no percentile in the plan."""
+    rng = random.Random(12)
+    for shades in (lambda y, x: (9, 9, 9), lambda y, x: [rng.randrange(256) for _ in range(3)], lambda y, x: (None if x == 3 else 7 * x, 5 * y, 80)):
+        found = subject_score(_image(spark, shades, 11, 9).cache())
+        rows = found.collect()
+        scores = [r["score"] for r in rows if r["score"] is not None]
+        cut = max(0.6, float(np.quantile(scores, 0.72)))
+        assert len(rows) == 99 and all(r["subject"] is None if r["score"] is None else r["subject"] == (r["score"] > cut) or abs(r["score"] - cut) < 1e-12 for r in rows)
+        assert "percentile" not in found._jdf.queryExecution().toString()

@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from tintshelf.functions import color as C
 
 HSV_BINS = (12, 4, 4)
+#: Side of the tiles that neighbourhoods are read in; about 1.6 % of the pixels are sent twice.
+TILE = 256
+#: Ranges of scores per doubling that a quantile is counted in.
+RANGES = 4096
 
 
 def _per_image():
@@ -68,35 +72,52 @@ def garment_color_histogram(pixels: DataFrame, top_rows: int = 24, min_pixels: i
     return counts.select("image_id", "bin", _share(F.col("n")).alias("value"))
 
 
-def _neighbours(pixels: DataFrame) -> DataFrame:
-    """Gray level with its left/right and upper/lower rows; null at the border."""
-    row = Window.partitionBy("image_id", "y").orderBy("x")
-    column = Window.partitionBy("image_id", "x").orderBy("y")
-    p = pixels.select("image_id", "y", "x", _gray().alias("c"))
-    p = p.withColumn("w", F.lag("c").over(row)).withColumn("e", F.lead("c").over(row))
+def _tiles(pixels: DataFrame, side: int, *more: Column) -> DataFrame:
+    """Gray level ``c`` of every pixel in its tile (ty, tx) and, for border pixels, in the tiles next to it; ``own`` marks
+    the first. The one exchange of pixels: whatever looks at neighbours afterwards works inside a tile, and an image may
+    spread over as many tasks as it has tiles."""
+    near = [F.array_distinct(F.array(*[F.floor(F.greatest(F.col(n) + d, F.lit(0)) / side).cast("int") for d in (-1, 0, 1)])) for n in "yx"]
+    p = pixels.select("image_id", "y", "x", _gray().alias("c"), *more, near[0].alias("ty"), near[1].alias("tx"))
+    p = p.withColumn("ty", F.explode("ty")).withColumn("tx", F.explode("tx")).repartition("image_id", "ty", "tx")
+    return p.withColumn("own", (F.floor(F.col("y") / side) == F.col("ty")) & (F.floor(F.col("x") / side) == F.col("tx")))
+
+
+def _neighbours(tiles: DataFrame) -> DataFrame:
+    """Left, right and the rows above and below of every pixel; null at the border. No exchange: rows and columns lie in tiles."""
+    row = Window.partitionBy("image_id", "ty", "tx", "y").orderBy("x")
+    column = Window.partitionBy("image_id", "ty", "tx", "x").orderBy("y")
+    p = tiles.withColumn("w", F.lag("c").over(row)).withColumn("e", F.lead("c").over(row))
     line = F.struct("w", "c", "e")
-    p = p.withColumn("up", F.lag(line).over(column)).withColumn("down", F.lead(line).over(column))
-    return p.filter("w IS NOT NULL AND e IS NOT NULL AND up IS NOT NULL AND down IS NOT NULL")
+    return p.withColumn("up", F.lag(line).over(column)).withColumn("down", F.lead(line).over(column))
+
 
+_INNER = "own AND w IS NOT NULL AND e IS NOT NULL AND up IS NOT NULL AND down IS NOT NULL"
 
-def lbp_histogram(pixels: DataFrame, bins: int = 16) -> DataFrame:
-    """Local binary patterns of interior pixels, clockwise from the upper left, squeezed to ``bins``."""
+
+def _lbp_bin(bins: int) -> Column:
     ring = ("up.w", "up.c", "up.e", "e", "down.e", "down.c", "down.w", "w")
     code = sum(((F.col(n) >= F.col("c")).cast("int") * (1 << i) for i, n in enumerate(ring)), F.lit(0))
-    p = _neighbours(pixels).select("image_id", F.floor(code * bins / 256).cast("int").alias("bin"))
-    counts = p.groupBy("image_id", "bin").agg(F.count("*").alias("n"))
-    return counts.select("image_id", "bin", _share(F.col("n")).alias("value"))
+    return F.floor(code * bins / 256).cast("int")
 
 
-def edge_histogram(pixels: DataFrame, bins: int = 18) -> DataFrame:
-    """Edge directions of interior pixels weighted by gradient size."""
+def _edge(bins: int) -> tuple[Column, Column]:
+    """Bin of the direction and size of the gradient."""
     gx, gy = F.col("e") - F.col("w"), F.col("down.c") - F.col("up.c")
     turn = (F.atan2(gy, gx) + math.pi) / (2.0 * math.pi)
-    p = _neighbours(pixels).select(
-        "image_id",
-        F.least(F.floor(turn * bins), F.lit(bins - 1)).cast("int").alias("bin"),
-        F.sqrt(gx * gx + gy * gy).alias("size"),
-    )
+    return F.least(F.floor(turn * bins), F.lit(bins - 1)).cast("int"), F.sqrt(gx * gx + gy * gy)
+
+
+def lbp_histogram(pixels: DataFrame, bins: int = 16, tile: int = TILE) -> DataFrame:
+    """Local binary patterns of interior pixels, clockwise from the upper left, squeezed to ``bins``. Images are full grids."""
+    p = _neighbours(_tiles(pixels, tile)).filter(_INNER).select("image_id", _lbp_bin(bins).alias("bin"))
+    counts = p.groupBy("image_id", "bin").agg(F.count("*").alias("n"))
+    return counts.select("image_id", "bin", _share(F.col("n")).alias("value"))
+
+
+def edge_histogram(pixels: DataFrame, bins: int = 18, tile: int = TILE) -> DataFrame:
+    """Edge directions of interior pixels weighted by gradient size. Images are full grids."""
+    way, size = _edge(bins)
+    p = _neighbours(_tiles(pixels, tile)).filter(_INNER).select("image_id", way.alias("bin"), size.alias("size"))
     sums = p.groupBy("image_id", "bin").agg(F.sum("size").alias("n"))
     return sums.select("image_id", "bin", _share(F.col("n")).alias("value"))
 
@@ -144,22 +165,38 @@ def stripe_spectrum(pixels: DataFrame, top_rows: int = 24, min_pixels: int = 64,
     return spec.select("image_id", "axis", "k", (F.col("mag") / length).alias("value"))
 
 
-def classic_feature(pixels: DataFrame, grid: int = 24) -> DataFrame:
-    """(image_id, embedding): 0.8*hsv, lbp, edge, 0.5*grid side by side, unit length."""
+def classic_feature(pixels: DataFrame, grid: int = 24, tile: int = TILE) -> DataFrame:
+    """(image_id, embedding): 0.8*hsv, lbp, edge, 0.5*grid side by side, unit length.
+
+    Pixels are exchanged once, into tiles; the sizes of images, a partial aggregate, meet them there. All four parts leave
+    the tiles as sums per (image, part, bin). Images are full grids.
+    """
     n_hsv, n_lbp, n_edge = math.prod(HSV_BINS), 16, 18
     total = n_hsv + n_lbp + n_edge + grid * grid
-
-    def part(rows: DataFrame, column: str, offset: int, weight: float) -> DataFrame:
-        return rows.select(
-            "image_id", (F.col(column) + offset).alias("at"), (F.col("value") * weight).alias("value")
-        )
-
-    rows = (
-        part(hsv_histogram(pixels), "bin", 0, 0.8)
-        .unionByName(part(lbp_histogram(pixels), "bin", n_hsv, 1.0))
-        .unionByName(part(edge_histogram(pixels), "bin", n_hsv + n_lbp, 1.0))
-        .unionByName(part(structure_grid(pixels, grid), "cell", n_hsv + n_lbp + n_edge, 0.5))
-    )
+    sizes = image_sizes(pixels)
+    for n, length in (("ty", "height"), ("tx", "width")):
+        sizes = sizes.withColumn(n, F.explode(F.sequence(F.lit(0), F.floor((F.col(length) - 1) / tile).cast("int"))))
+    p = _neighbours(_tiles(pixels, tile, _hsv_bin().alias("hsv"))).filter("own").join(sizes, ["image_id", "ty", "tx"])
+
+    cell = F.floor(F.col("y") * grid / F.col("height")) * grid + F.floor(F.col("x") * grid / F.col("width"))
+    way, size = _edge(n_edge)
+
+    def entry(part: int, at: Column, value: Column) -> Column:
+        return F.struct(F.lit(part).alias("part"), at.cast("int").alias("bin"), value.cast("double").alias("value"))
+
+    one = F.lit(1.0)
+    always = [entry(0, F.col("hsv"), one), entry(3, cell, F.floor("c"))]
+    inner = [entry(1, _lbp_bin(n_lbp), one), entry(2, way, size)]
+    found = p.select("image_id", F.explode(F.when(F.expr(_INNER), F.array(*always, *inner)).otherwise(F.array(*always))).alias("e"))
+    sums = found.groupBy("image_id", "e.part", "e.bin").agg(F.sum("e.value").alias("n"), F.count("*").alias("rows"))
+
+    per_part = Window.partitionBy("image_id", "part")
+    mean = F.col("n") / F.col("rows")
+    z = (mean - F.avg(mean).over(per_part)) / (F.stddev_pop(mean).over(per_part) + 1e-6)
+    share = F.col("n") / (F.sum("n").over(per_part) + 1e-8)
+    weight = F.when(F.col("part") == 0, 0.8).otherwise(1.0)
+    start = F.element_at(F.array(*[F.lit(v) for v in (0, n_hsv, n_hsv + n_lbp, n_hsv + n_lbp + n_edge)]), F.col("part") + 1)
+    rows = sums.select("image_id", (F.col("bin") + start).alias("at"), F.when(F.col("part") == 3, z * 0.5).otherwise(share * weight).alias("value"))
     # At most ``total`` entries per image.
     cells = rows.groupBy("image_id").agg(
         F.map_from_entries(F.collect_list(F.struct("at", "value"))).alias("cells"),
@@ -283,22 +320,55 @@ def foreground_box(pixels: DataFrame, padding: float = 0.06) -> DataFrame:
     )
 
 
-def subject_score(pixels: DataFrame) -> DataFrame:
-    """(image_id, y, x, score, subject): colour distance from the border weighted to the centre, and its mask."""
-    p = pixels.join(image_sizes(pixels), "image_id")
-    rim = F.greatest(F.lit(2), F.rint(F.least("height", "width") * 0.08).cast("int"))
-    weight = sum(
-        (cond.cast("int") for cond in (
-            F.col("y") < rim, F.col("y") >= F.col("height") - rim, F.col("x") < rim, F.col("x") >= F.col("width") - rim)),
-        F.lit(0),
+def _rim_stats(pixels: DataFrame) -> DataFrame:
+    """(image_id, width, height, mean and mean square of r, g, b over the rim), all from sums of lines.
+
+    A pixel counts once for each side of the rim it lies on, so sums of whole rows and columns are enough: an image
+    leaves width + height rows behind, and its size is known before the rim is.
+    """
+    lines = pixels.select("image_id", "r", "g", "b", F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).cast("int").alias("n")) for a in "yx"])).alias("line"))
+    sums = lines.groupBy("image_id", "line.axis", "line.n").agg(
+        F.count("*").alias("k"), *[F.sum(c).alias(f"s{c}") for c in "rgb"], *[F.sum(F.col(c) * F.col(c)).alias(f"t{c}") for c in "rgb"],
     )
-    p = p.withColumn("weight", weight)
-    n = F.sum("weight")
-    stats = p.groupBy("image_id").agg(
-        *[(F.sum(F.col(c) * F.col("weight")) / n).alias(f"m{c}") for c in "rgb"],
-        *[(F.sum(F.col(c) * F.col(c) * F.col("weight")) / n).alias(f"q{c}") for c in "rgb"],
+    height, width = [F.max(F.when(F.col("axis") == a, F.col("n") + 1)).over(_per_image()) for a in "yx"]
+    sums = sums.withColumn("height", height).withColumn("width", width)
+    rim = F.greatest(F.lit(2), F.rint(F.least("height", "width") * 0.08).cast("int"))
+    length = F.when(F.col("axis") == "y", F.col("height")).otherwise(F.col("width"))
+    sums = sums.withColumn("on", (F.col("n") < rim).cast("int") + (F.col("n") >= length - rim).cast("int"))
+    k = F.sum(F.col("k") * F.col("on"))
+    return sums.groupBy("image_id", "height", "width").agg(
+        *[(F.sum(F.col(f"s{c}") * F.col("on")) / k).alias(f"m{c}") for c in "rgb"], *[(F.sum(F.col(f"t{c}") * F.col("on")) / k).alias(f"q{c}") for c in "rgb"],
     )
-    p = p.join(stats, "image_id")
+
+
+def _quantile(values: DataFrame, at: float) -> DataFrame:
+    """(image_id, cut): the exact quantile, between neighbours linear, of the non-null ``score`` >= 0 of every image.
+
+    Scores are counted in ranges; the ranges that hold the two ranks are chosen from these counts and only their scores are
+    counted by value. No image is sorted or held in one task: a window sees the ranges of an image (a few ten thousand at
+    most) or the different scores of two of them.
+    """
+    v = values.filter("score IS NOT NULL").select("image_id", "score", F.floor(F.log2(F.col("score") + 1.0) * RANGES).alias("range"))
+    upwards = Window.partitionBy("image_id").orderBy("range")
+    counts = v.groupBy("image_id", "range").agg(F.count("*").alias("n"))
+    counts = counts.withColumn("before", F.sum("n").over(upwards) - F.col("n")).withColumn("place", (F.sum("n").over(_per_image()) - 1) * at)
+    picked = counts.filter((F.col("before") <= F.ceil("place")) & (F.col("before") + F.col("n") > F.floor("place"))).drop("n")
+    inside = v.join(picked, ["image_id", "range"]).groupBy("image_id", "score", "before", "place").agg(F.count("*").alias("n"))
+    running = F.min("before").over(_per_image()) + F.sum("n").over(Window.partitionBy("image_id").orderBy("score"))
+    inside = inside.withColumn("upto", running)
+    low, high = [F.min(F.when(F.col("upto") > f("place"), F.col("score"))) for f in (F.floor, F.ceil)]
+    ends = inside.groupBy("image_id").agg(low.alias("low"), high.alias("high"), F.first("place").alias("place"))
+    share = F.col("place") - F.floor("place")
+    between = (F.ceil("place") - F.col("place")) * F.col("low") + share * F.col("high")
+    return ends.select("image_id", F.when((F.col("low") == F.col("high")) | (share == 0), F.col("low")).otherwise(between).alias("cut"))
+
+
+def subject_score(pixels: DataFrame) -> DataFrame:
+    """(image_id, y, x, score, subject): colour distance from the border weighted to the centre, and its mask.
+
+    Pixels meet one row per image twice, its rim and its cut; the cut comes from counts (``_quantile``).
+    """
+    p = pixels.join(_rim_stats(pixels), "image_id")
     z2 = F.lit(0.0)
     for c in "rgb":
         # Whole-number sums, so the variance by squares loses nothing before the division.
@@ -309,8 +379,7 @@ def subject_score(pixels: DataFrame) -> DataFrame:
     ny = (F.col("y") - (F.col("height") - 1) * 0.5) / F.greatest(F.lit(1.0), F.col("height") * 0.48)
     score = F.sqrt(z2) * (F.exp(-(nx * nx + ny * ny)) * 0.9 + 0.65)
     p = p.select("image_id", "y", "x", score.alias("score"))
-    cut = p.groupBy("image_id").agg(F.percentile("score", F.lit(0.72)).alias("cut"))
-    return p.join(cut, "image_id").withColumn(
+    return p.join(_quantile(p, 0.72), "image_id", "left").withColumn(
         "subject", F.col("score") > F.greatest(F.lit(0.6), F.col("cut"))
     ).drop("cut")
 

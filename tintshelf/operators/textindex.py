@@ -14,6 +14,8 @@ from tintshelf.operators.numbering import checkpointed
 from tintshelf.session import spread, spread_scan
 
 MAX_LENGTH_GAP = 3
+#: Words with at most this many unmatched characters meet on a common subsequence, others on a common piece.
+FEW_EDITS = 4
 
 
 def build_postings(docs: DataFrame, min_len: int = 4) -> DataFrame:
@@ -46,11 +48,41 @@ def _edits(len_a, len_b, min_ratio: float):
     return most - (most + len_a + len_b) % 2
 
 
+def _lengths(words: DataFrame, mine: str, other: str, min_ratio: float) -> DataFrame:
+    """Each word once per length of a partner; ``lost`` characters of the vocabulary word n and ``won`` of the query
+    word qn stay unmatched at most: lost + won = edits, lost - won = n - qn."""
+    own = F.col(mine)
+    w = words.withColumn(other, F.explode(F.sequence(own - MAX_LENGTH_GAP, own + MAX_LENGTH_GAP))).filter(F.col(other) > 0)
+    w = w.withColumn("edits", _edits(F.col("n"), F.col("qn"), min_ratio)).filter("edits >= abs(n - qn)")
+    return w.withColumn("lost", F.expr("(edits + n - qn) div 2").cast("int")).withColumn("won", F.expr("(edits + qn - n) div 2").cast("int"))
+
+
+def _shortened(word, times):
+    """The distinct strings left when ``times`` characters of the word are deleted."""
+
+    def cut(w):
+        return F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
+
+    return F.aggregate(F.array_repeat(F.lit(0), times), F.array(word), lambda words, _: F.array_distinct(F.flatten(F.transform(words, cut))))
+
+
+def _common_subsequences(words: DataFrame, vocab: DataFrame, min_ratio: float) -> DataFrame:
+    """Pairs (query_token, token) of few edits that share a subsequence of the length the ratio asks for.
+
+    The ratio counts matched blocks in order, so a pair that reaches it has such a subsequence: delete ``lost`` characters
+    of one word and ``won`` of the other and both read the same. Nothing else meets, however common a piece of a word is.
+    """
+    v = _lengths(vocab.select("token", F.length("token").alias("n")), "n", "qn", min_ratio).filter(F.col("edits") <= FEW_EDITS)
+    v = v.select("token", "n", "lost").distinct().select("token", "n", "lost", F.explode(_shortened(F.col("token"), F.col("lost"))).alias("key"))
+    q = _lengths(words.select("query_token", F.length("query_token").alias("qn")), "qn", "n", min_ratio).filter(F.col("edits") <= FEW_EDITS)
+    q = q.select("query_token", "n", "lost", F.explode(_shortened(F.col("query_token"), F.col("won"))).alias("key"))
+    return q.join(v, ["n", "lost", "key"]).select("query_token", "token").distinct()
+
+
 def _vocab_pieces(vocab: DataFrame, min_ratio: float) -> DataFrame:
     """Each word cut into (edits + 1) even pieces, once per query length it can be compared with."""
-    n = F.length("token")
-    v = vocab.select("token", n.alias("n"), F.explode(F.sequence(n - MAX_LENGTH_GAP, n + MAX_LENGTH_GAP)).alias("qn"))
-    v = v.filter("qn > 0").withColumn("parts", F.least(_edits(F.col("n"), F.col("qn"), min_ratio) + 1, F.col("n")))
+    v = _lengths(vocab.select("token", F.length("token").alias("n")), "n", "qn", min_ratio).filter(F.col("edits") > FEW_EDITS)
+    v = v.withColumn("parts", F.least(F.col("edits") + 1, F.col("n")))
     v = v.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     start = F.expr("i * n div parts").cast("int")
     stop = F.expr("(i + 1) * n div parts").cast("int")
@@ -60,31 +92,40 @@ def _vocab_pieces(vocab: DataFrame, min_ratio: float) -> DataFrame:
 def _query_pieces(words: DataFrame, min_ratio: float) -> DataFrame:
     """Every substring of a query word that could be piece i of a word of length n."""
     n, qn = F.col("n"), F.col("qn")
-    w = words.select("query_token", F.length("query_token").alias("qn"))
-    w = w.withColumn("n", F.explode(F.sequence(qn - MAX_LENGTH_GAP, qn + MAX_LENGTH_GAP))).filter("n > 0")
-    w = w.withColumn("edits", _edits(n, qn, min_ratio)).withColumn("parts", F.least(F.col("edits") + 1, n))
+    w = _lengths(words.select("query_token", F.length("query_token").alias("qn")), "qn", "n", min_ratio).filter(F.col("edits") > FEW_EDITS)
+    w = w.withColumn("parts", F.least(F.col("edits") + 1, n))
     w = w.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     w = w.withColumn("start", F.expr("i * n div parts").cast("int"))
     w = w.withColumn("len", F.expr("(i + 1) * n div parts").cast("int") - F.col("start"))
-    # lost = unmatched in the vocabulary word, won = unmatched in the query word; lost + won <= edits, lost - won = n - qn.
-    lost, won = F.expr("(edits + n - qn) div 2").cast("int"), F.expr("(edits + qn - n) div 2").cast("int")
-    low = F.greatest(F.lit(0), F.col("start") - lost)
-    high = F.least(qn - F.col("len"), F.col("start") + won)
+    low = F.greatest(F.lit(0), F.col("start") - F.col("lost"))
+    high = F.least(qn - F.col("len"), F.col("start") + F.col("won"))
     w = w.filter(low <= high).withColumn("at", F.explode(F.sequence(low, high)))
     piece = F.expr("substring(query_token, at + 1, len)")
     return w.select("query_token", "n", "qn", "i", piece.alias("piece")).distinct()
 
 
+def fuzzy_candidates(words: DataFrame, vocab: DataFrame, min_ratio: float = 0.78) -> DataFrame:
+    """(query_token, token): pairs of words(query_token) and vocab(token) that may reach the ratio; none that does is missed.
+
+    Words of few edits meet on common subsequences, longer ones on pieces. Rows per word depend on its length alone.
+    """
+    a, b = F.col("query_token"), F.col("token")
+    long = _query_pieces(words, min_ratio).join(_vocab_pieces(vocab, min_ratio), ["n", "qn", "i", "piece"]).select("query_token", "token")
+    near = _common_subsequences(words, vocab, min_ratio).unionByName(long.distinct())  # a pair of lengths goes one way only
+    return near.filter(F.levenshtein(a, b) <= _edits(F.length(a), F.length(b), min_ratio))
+
+
 def match_tokens(
     query_tokens: DataFrame, vocab: DataFrame, min_ratio: float = 0.78, max_matches: int = 4
 ) -> DataFrame:
     """query_tokens(query_token) against vocab(token, idf): (query_token, token, ratio, idf).
 
     An exact hit stands alone. Otherwise the best ``max_matches`` by (ratio, idf, token) with ratio >= min_ratio
-    and lengths at most 3 apart. A ratio r = 2M/(a+b) leaves at most (1-r)(a+b) characters unmatched, so of
-    that many + 1 pieces of one word at least one stands unbroken in the other, near its place: candidates
-    come from an equi join on pieces and none is missed. The edit distance is no larger than the number of
-    unmatched characters, so it thins them out in the JVM; only the rest reach the Python ratio.
+    and lengths at most 3 apart. A ratio r = 2M/(a+b) leaves at most (1-r)(a+b) characters unmatched, shared out
+    between the words by their lengths. Up to four, both words give the strings left after that many deletions and
+    meet on equal ones; beyond, of that many + 1 pieces of one word at least one stands unbroken in the other, near
+    its place, and words meet on pieces. None is missed. The edit distance is no larger than the number of unmatched
+    characters, so it thins the candidates out in the JVM; only the rest reach the Python ratio.
     """
     # Either side is read for the exact and for the fuzzy matches; the texts behind it only once.
     q = checkpointed(spread(query_tokens.select("query_token"), "query_token").distinct())
@@ -93,13 +134,7 @@ def match_tokens(
     rest = q.join(vocab, q.query_token == vocab.token, "left_anti")
     a, b = F.col("query_token"), F.col("token")
     la, lb = F.length(a), F.length(b)
-    pairs = (
-        _query_pieces(rest, min_ratio)
-        .join(_vocab_pieces(vocab.select("token"), min_ratio), ["n", "qn", "i", "piece"])
-        .filter(F.levenshtein(a, b) <= _edits(la, lb, min_ratio))
-        .select("query_token", "token")
-        .distinct()
-    )
+    pairs = fuzzy_candidates(rest, vocab.select("token"), min_ratio)
     inside = (la >= 6) & (lb >= 6) & (F.contains(b, a) | F.contains(a, b))
     contained = pairs.filter(inside).withColumn("ratio", F.least(la, lb) / F.greatest(la, lb))
     others = pairs.filter(~inside).withColumn("ratio", _sequence_ratio(a, b))
