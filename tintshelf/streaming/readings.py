@@ -4,18 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from tintshelf.operators.colorcards import nearest_colors
 from tintshelf.operators.numbering import number_within
 
 SAMPLES = 3
-AVERAGE_SCHEMA = "device_id bigint, group_no bigint, ts timestamp, l double, a double, b double, sample_count int"
-STATE_SCHEMA = "group_no bigint, ts array<timestamp>, reading_id array<bigint>, l array<double>, a array<double>, b array<double>"
+MEANS = "device_id bigint, group_no bigint, us bigint, l double, a double, b double, sample_count int"
+ROWS = "us array<bigint>, reading_id array<bigint>, l array<double>, a array<double>, b array<double>"
+COLUMNS = {"us": "int64", "reading_id": "int64", "l": "float64", "a": "float64", "b": "float64"}
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def valid_readings(readings: DataFrame) -> DataFrame:
@@ -30,52 +34,119 @@ def valid_readings(readings: DataFrame) -> DataFrame:
 def average_readings(readings: DataFrame, n: int = SAMPLES) -> DataFrame:
     """readings(reading_id, device_id, ts, l, a, b): every n consecutive valid readings of a device become one mean.
 
-    Readings of one time come in the order of their ids. An incomplete last group emits nothing. Numbering crosses partitions, so a device may hold any share of the rows.
+    Readings of one time come in the order of their ids. An incomplete last group emits nothing; readings
+    without a device are left out. Numbering crosses partitions, so a device may hold any share of the rows.
     """
-    numbered = number_within(valid_readings(readings), ["device_id"], ["ts", "reading_id"])
+    numbered = number_within(valid_readings(readings).filter("device_id IS NOT NULL"), ["device_id"], ["ts", "reading_id"])
     groups = numbered.groupBy("device_id", F.floor(F.col("nth") / n).alias("group_no")).agg(
         F.max("ts").alias("ts"), *[F.avg(c).alias(c) for c in "lab"], F.count("*").cast("int").alias("sample_count")
     )
     return groups.filter(F.col("sample_count") == n)
 
 
-def stream_average_readings(readings: DataFrame, n: int = SAMPLES, idle: str = "1 day") -> DataFrame:
-    """Streaming twin of ``average_readings``. State per device is at most n - 1 readings; a device silent for
-    ``idle`` of event time forgets its unfinished group, and readings later than that are dropped. Rows of one
-    micro-batch are put in order of time and id; order across micro-batches is arrival order.
+def _micros(span: str) -> int:
+    return int(pd.Timedelta(span) / pd.Timedelta("1us"))
 
-    The timeout follows event time: one in processing time would keep a drained stream alive for ever.
+
+class AverageInOrder(StatefulProcessor):
+    """Means of n consecutive readings of a device, in order of time and id across micro-batches.
+
+    Arriving frames are put away one by one, cut by spans of ``width``: the rows of a span are chunks in map state and the
+    span's end is an event-time timer. When the watermark passes it, no row of the span can come any more: its rows are read,
+    put in order and folded behind the unfinished group. So no more than one frame or one span of one device is in memory.
     """
 
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        columns = ["ts", "reading_id", "l", "a", "b"]
-        done, *old = state.get if state.exists else (0, [], [], [], [], [])
-        pending = pd.DataFrame({c: list(v) for c, v in zip(columns, old, strict=True)})
-        fresh = pd.concat([p[columns] for p in batches]).sort_values(["ts", "reading_id"])
-        rows = pd.concat([pending, fresh], ignore_index=True) if len(pending) else fresh.reset_index(drop=True)
-        full = len(rows) // n
-        if full:
-            head = rows.iloc[: full * n]
-            means = head.groupby(head.index // n).agg({"ts": "max", "l": "mean", "a": "mean", "b": "mean"})
-            means.insert(0, "group_no", range(done, done + full))
-            means.insert(0, "device_id", key[0])
-            means["sample_count"] = n
-            yield means
-        rest = rows.iloc[full * n :]
-        state.update((done + full, *[list(rest[c]) for c in columns]))
-        last = int(fresh["ts"].iloc[-1].timestamp() * 1000)
-        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + idle_ms)
-
-    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    def __init__(self, n: int, width: int, idle: int | None) -> None:
+        self.n, self.width, self.idle = n, width, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows = handle.getMapState("rows", "span bigint, chunk int", ROWS)
+        self.chunks = handle.getMapState("chunks", "span bigint", "n int")
+        self.open = handle.getValueState("open", f"done bigint, {ROWS}")
+
+    def _end(self, span: int) -> int:
+        """Milliseconds at which the span is over, rounded up."""
+        return -(-(span + 1) * self.width // 1000)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            for span, part in frame.groupby(frame["us"] // self.width):
+                known = self.chunks.getValue((int(span),))
+                n = known[0] if known else 0
+                self.rows.updateValue((int(span), n), tuple(part[c].tolist() for c in COLUMNS))
+                self.chunks.updateValue((int(span),), (n + 1,))
+                if n == 0:
+                    self.handle.registerTimer(self._end(int(span)))
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        span = at * 1000 // self.width - 1
+        while self._end(span) > at:  # spans need not be whole milliseconds
+            span -= 1
+        known = self.chunks.getValue((span,)) if self._end(span) == at else None
+        done, *held = self.open.get() or (0, [], [], [], [], [])
+        if known:
+            done, held, out = self._fold(key, span, known[0], done, held)
+            self.open.update((done, *held))
+            if self.idle is not None and held[0]:
+                self.handle.registerTimer(self._end((held[0][-1] + self.idle) // self.width))
+            if out is not None:
+                yield out
+        elif held[0] and self.idle is not None and self._end((held[0][-1] + self.idle) // self.width) <= at:
+            self.open.update((done, [], [], [], [], []))
+
+    def _fold(self, key: tuple, span: int, chunks: int, done: int, held: list) -> tuple[int, list, pd.DataFrame | None]:
+        """Read a span and take it out of the state; groups done, what is left unfinished, and the means."""
+        parts = [self.rows.getValue((span, k)) for k in range(chunks)]
+        fresh = pd.DataFrame({c: np.concatenate([np.asarray(p[i], dtype=t) for p in parts]) for i, (c, t) in enumerate(COLUMNS.items())})
+        for k in range(chunks):
+            self.rows.removeKey((span, k))
+        self.chunks.removeKey((span,))
+        fresh = fresh.sort_values(["us", "reading_id"])
+        old = pd.DataFrame({c: np.asarray(v, dtype=t) for (c, t), v in zip(COLUMNS.items(), held, strict=True)})
+        rows = pd.concat([old, fresh], ignore_index=True)
+        # A long silence ends a run; its last, unfinished group is forgotten.
+        silent = np.diff(rows["us"].to_numpy()) > (self.idle if self.idle is not None else np.iinfo(np.int64).max - 1)
+        run = np.r_[0, np.cumsum(silent)]
+        start = np.r_[0, np.flatnonzero(silent) + 1]
+        length = np.diff(np.r_[start, len(rows)])
+        whole = length // self.n
+        nth = np.arange(len(rows)) - start[run]
+        full = nth < (whole * self.n)[run]
+        group = (np.cumsum(whole) - whole)[run] + nth // self.n
+        left = rows[(run == run[-1]) & ~full]
+        out = None
+        if full.any():
+            out = rows[full].groupby(group[full]).agg(us=("us", "max"), l=("l", "mean"), a=("a", "mean"), b=("b", "mean"))
+            out.insert(0, "group_no", done + out.index.to_numpy())
+            out.insert(0, "device_id", key[0])
+            out["sample_count"] = self.n
+        return done + int(whole.sum()), [left[c].tolist() for c in COLUMNS], out
+
+
+def stream_average_readings(
+    readings: DataFrame, n: int = SAMPLES, lateness: str = "1 hour", width: str = "10 minutes", idle: str | None = None
+) -> DataFrame:
+    """Streaming twin of ``average_readings``: the same rows, whatever files and triggers the readings come in.
+
+    A reading may come up to ``lateness`` after a later one of any device; later than that, it is dropped. A mean is emitted
+    once the watermark has passed the span of ``width`` its last reading lies in, so the newest readings wait for the stream to
+    go on. Between readings of a device more than ``idle`` apart its unfinished group is forgotten (by default never).
+    Readings without a time or a device are left out. State of a device: the readings of spans not over, and at most n - 1
+    others. A span costs about a dozen calls of the state store: ``width`` should hold some tens of readings of a usual
+    device, and at most what fits in memory of the busiest one.
+
+    State lies in RocksDB, which the session is told to use for streams started from now on.
+    """
+    readings.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     live = valid_readings(readings).select(
-        "reading_id", "device_id", F.col("ts").cast("timestamp").alias("ts"), "l", "a", "b"
-    ).withWatermark("ts", idle)
-    return live.groupBy("device_id").applyInPandasWithState(
-        fold, AVERAGE_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout
-    )
+        "device_id", F.col("ts").cast("timestamp").alias("ts"), "reading_id", *[F.col(c).cast("double").alias(c) for c in "lab"]
+    ).filter("ts IS NOT NULL AND device_id IS NOT NULL").withWatermark("ts", lateness).withColumn("us", F.unix_micros("ts"))
+    processor = AverageInOrder(n, _micros(width), None if idle is None else _micros(idle))
+    means = live.groupBy("device_id").transformWithStateInPandas(processor, MEANS, "Append", "EventTime")
+    return means.select("device_id", "group_no", F.timestamp_micros("us").alias("ts"), *"lab", "sample_count")
 
 
 def recent_devices(events: DataFrame, limit: int = 8) -> DataFrame:
@@ -96,7 +167,9 @@ def recent_devices(events: DataFrame, limit: int = 8) -> DataFrame:
     )
 
 
-def match_stream(readings: DataFrame, cards: DataFrame, sink: str, checkpoint: str, k: int = 12, **trigger) -> StreamingQuery:
+def match_stream(
+    readings: DataFrame, cards: DataFrame, sink: str, checkpoint: str, k: int = 12, lateness: str = "1 hour", width: str = "10 minutes", **trigger
+) -> StreamingQuery:
     """Average a reading stream and append each mean's k nearest cards to the Parquet ``sink``."""
 
     def match(batch: DataFrame, batch_id: int) -> None:
@@ -104,5 +177,5 @@ def match_stream(readings: DataFrame, cards: DataFrame, sink: str, checkpoint: s
         # The batch number is the folder: a repeated batch replaces its own rows.
         nearest_colors(named, cards, k).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
-    means = stream_average_readings(readings)
+    means = stream_average_readings(readings, lateness=lateness, width=width)
     return means.writeStream.foreachBatch(match).option("checkpointLocation", checkpoint).trigger(**trigger).start()
