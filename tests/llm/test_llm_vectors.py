@@ -55,6 +55,15 @@ def test_equal_rows_and_null_ids(docs):
     assert got == [("1", 2, "1", True), ("1", 2, "1", True), ("5", 0, "5", True), ("None", 2, "1", False)]
 
 
+def test_doubles_of_any_size(docs):
+    r = np.random.default_rng(3)
+    base = r.normal(size=(6, 16))
+    sizes = [1.0, 1e-200, 1e200, 1e-300, 1e300, 5e-324 * 2**60]
+    rows = [(i * 10 + k, [float(x) for x in v * z], 1) for i, v in enumerate(base) for k, z in enumerate(sizes)]
+    got = {row["vec_id"]: tuple(row) for row in vectors.near_vectors(docs(rows, "vec_id bigint, embedding array<double>, label int")).collect()}
+    assert got == {i * 10 + k: (i * 10 + k, len(sizes) - 1, i * 10, k == 0) for i in range(6) for k in range(len(sizes))}
+
+
 def test_bound_drops_no_pair():
     r = np.random.default_rng(9)
     for size in (1, 3, 8, 40):

@@ -41,6 +41,7 @@ def principal_axes(sample: list[np.ndarray]) -> dict[int, np.ndarray]:
     out = {}
     for size in {len(v) for v in sample}:
         x = np.array([v for v in sample if len(v) == size], dtype=np.float64)
+        x /= np.abs(x).max(axis=1, keepdims=True)  # lengths neither overflow nor vanish
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         out[size] = np.linalg.eigh(x.T @ x)[1][:, ::-1].copy()
     return out
@@ -92,6 +93,7 @@ def _cells(axes: dict[int, np.ndarray], width: float):
             rows = []
             for cls, label, size, copies, v in zip(frame["cls"], frame["label"], frame["size"], frame["copies"], frame["embedding"], strict=True):
                 x = np.asarray(v, dtype=np.float64)
+                x = x / np.abs(x).max()
                 x = x / np.linalg.norm(x)
                 y = x @ axes[len(x)][:, :GRID] if len(x) in axes else x[:GRID]
                 own = np.zeros(GRID, dtype=np.int64)
@@ -107,7 +109,7 @@ def _tile(axes: dict[int, np.ndarray], threshold: float):
         frame = frame.sort_values("cls", kind="stable")
         x = np.array(frame["embedding"].tolist(), dtype=np.float64)
         scale = np.abs(x).max(axis=1, keepdims=True)
-        x /= scale  # lengths neither overflow nor vanish
+        x /= scale
         unit = x / np.linalg.norm(x, axis=1, keepdims=True)
         y = unit @ axes[x.shape[1]] if x.shape[1] in axes else unit
         own, cell = np.array(frame["own"].tolist()), np.array(frame["cell"].iloc[0])
