@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tintshelf.operators import blocks
+from tintshelf.operators import blocks, ivf
 from tintshelf.operators.blocks import Keep, prepare_sides, similarity_join, within_code_join
 
 
@@ -80,3 +80,12 @@ def test_numbers_that_are_none(spark):
     s[np.isnan(s)] = -np.inf
     for i in range(20):
         assert np.allclose(sorted(r.score for r in got if r.query_id == i), np.sort(s[i])[-5:], rtol=1e-9)
+
+
+def test_full_probe_writes_no_candidates(spark):
+    x = np.random.default_rng(8).normal(size=(600, 16))
+    index = ivf.build_ivf(_frame(spark, x, "key", "string"), cells=6)
+    found = ivf.search_ivf(_frame(spark, x[:40], "query_id", "bigint"), index, 5, 6, rescore=10**6)
+    assert "about" not in found._jdf.queryExecution().analyzed().toString()
+    names = [f"i{i:05d}" for i in range(600)]
+    assert {(r.query_id, r.key) for r in found.collect()} == {(i, n) for i, n, _ in _best(np.round(x[:40] @ x.T, 12), 5, names)}
