@@ -215,7 +215,8 @@ def _(d):
 @query("next_card_number", """SELECT p_partkey, lpad((p_partkey + 1)::VARCHAR, greatest(5, length((p_partkey + 1)::VARCHAR))::INT, '0') AS next,
     CASE WHEN p_size % 2 = 0 THEN '国彩' ELSE '' END AS vendor FROM part""")
 def _(d):
-    number = F.lpad(F.col("p_partkey").cast("string"), 5, "0")
+    number = F.col("p_partkey").cast("string")
+    number = F.lpad(number, F.greatest(F.lit(5), F.length(number)), F.lit("0"))  # lpad cuts what is longer
     name = F.when(F.col("p_size") % 2 == 0, F.concat("p_name", F.lit("国彩 1"))).otherwise(F.col("p_name"))
     return d.table("part").select("p_partkey", T.next_card_number(number).alias("next"), T.known_prefix(name).alias("vendor"))
 
