@@ -20,13 +20,14 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Word pattern of byte-level BPE (fixed value: published with the vocabulary).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words and their ids that a task remembers (it starts afresh beyond), and the longest word that is remembered.
-MOST_WORDS, MOST_BYTES = 400_000, 64
+MOST_WORDS, MOST_BYTES = 250_000, 64
 
 
 def byte_letters() -> dict[str, int]:
@@ -164,7 +165,7 @@ class Coder:
         return out + self._plain(text[at:])
 
     def learn(self, found: list) -> dict | _Both:
-        """(ids, ids as text, bytes decoded from the ids) of all words in ``found``."""
+        """(number of ids, ids as text, bytes decoded from the ids) of all words in ``found``."""
         if len(self.known) > MOST_WORDS:
             self.known = {}
         known = self.known
@@ -173,11 +174,11 @@ class Coder:
         fresh = [w for w in new if isinstance(w, str)]
         for w, ids in zip(fresh, self.bpe.merge([w.encode("utf-8", "replace") for w in fresh]) if fresh else [], strict=True):
             ids = ids.tolist()
-            own[w] = (ids, ",".join(map(str, ids)), b"".join([self.bpe.bytes_of[i] for i in ids]))
+            own[w] = (len(ids), ",".join(map(str, ids)), b"".join([self.bpe.bytes_of[i] for i in ids]))
         for w in new:
             if not isinstance(w, str):
                 i = self.bpe.special[w[1]]
-                own[w] = ([i], str(i), self.bpe.bytes_of[i])
+                own[w] = (1, str(i), self.bpe.bytes_of[i])
         long = {w: v for w, v in own.items() if len(v[2]) > MOST_BYTES}
         known.update((w, v) for w, v in own.items() if w not in long)
         return _Both(known, long) if long else known
@@ -185,7 +186,7 @@ class Coder:
     def encode(self, text: str | None) -> list[int]:
         found = self.split(text or "")
         known = self.learn(found)
-        return [i for w in found for i in known[w][0]]
+        return [int(i) for w in found for i in known[w][1].split(",")]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join([self.bpe.bytes_of[i] for i in ids]).decode("utf-8", "replace")
@@ -205,7 +206,7 @@ class _Both:
 _ADDED = T.StructType().add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
 _IDS = T.StructField("ids", T.ArrayType(T.IntegerType()))
 #: Characters of text that are split and merged together.
-GROUP_CHARS = 4_000_000
+GROUP_CHARS = 1_000_000
 
 
 def encode_documents(documents: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
@@ -218,24 +219,22 @@ def encode_documents(documents: DataFrame, path: str, keep_ids: bool = False) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(sent.value)
         for batch in batches:
-            texts = [t or "" for t in batch.column(at).to_pylist()]
             n, ids_hex, text_hex, ids = [], [], [], []
+            ends = np.cumsum(pc.utf8_length(batch.column(at)).fill_null(0).to_numpy(zero_copy_only=False))
             lo = 0
-            while lo < len(texts):
-                hi, chars = lo, 0
-                while hi < len(texts) and (hi == lo or chars + len(texts[hi]) <= GROUP_CHARS):
-                    chars += len(texts[hi])
-                    hi += 1
-                split = [coder.split(t) for t in texts[lo:hi]]
+            while lo < len(ends):
+                before = ends[lo - 1] if lo else 0
+                hi = max(lo + 1, int(np.searchsorted(ends, before + GROUP_CHARS, side="right")))
+                split = [coder.split(t or "") for t in batch.column(at).slice(lo, hi - lo).to_pylist()]
                 known = coder.learn([w for s in split for w in s])
                 for s in split:
                     got = [known[w] for w in s]
-                    n.append(sum([len(g[0]) for g in got]))
+                    n.append(sum([g[0] for g in got]))
                     ids_hex.append(hashlib.sha256(",".join([g[1] for g in got]).encode()).hexdigest())
                     decoded = b"".join([g[2] for g in got]).decode("utf-8", "replace")
                     text_hex.append(hashlib.sha256(decoded.encode()).hexdigest())
                     if keep_ids:
-                        ids.append([i for g in got for i in g[0]])
+                        ids.append([int(i) for g in got for i in g[1].split(",")])
                 lo = hi
             new = [pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())]
             new += [pa.array(ids, pa.list_(pa.int32()))] if keep_ids else []
