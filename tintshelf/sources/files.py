@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import struct
 import zlib
+from functools import cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,22 +96,30 @@ def png_bytes(image: pd.DataFrame) -> bytes:
     def chunk(kind: bytes, body: bytes) -> bytes:
         return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
 
-    image = image.sort_values(["y", "x"])
-    width, height = int(image["x"].max()) + 1, int(image["y"].max()) + 1
-    rows = image[["r", "g", "b"]].to_numpy("uint8").reshape(height, width * 3)
+    y, x = image["y"].to_numpy(), image["x"].to_numpy()
+    width, height = int(x.max()) + 1, int(y.max()) + 1
+    rows = np.stack([image[c].to_numpy() for c in "rgb"], axis=1).astype("uint8")[np.lexsort((x, y))].reshape(height, width * 3)
     head = struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)
     body = zlib.compress(b"".join(b"\0" + r.tobytes() for r in rows))
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", body) + chunk(b"IEND", b"")
 
 
+@cache
+def _store(folder: str):
+    """File system and path of a folder, looked up once a process."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder)
+
+
 def write_images(pixels: DataFrame, folder: str) -> int:
     """Write (image_name, y, x, r, g, b) as one PNG file per image; returns their number. ``folder`` is shared."""
 
-    def write(image: pd.DataFrame) -> pd.DataFrame:
-        from pyarrow import fs
+    store, root = _store(folder)
+    store.create_dir(root, recursive=True)
 
-        store, root = fs.FileSystem.from_uri(folder)
-        store.create_dir(root, recursive=True)
+    def write(image: pd.DataFrame) -> pd.DataFrame:
+        store, root = _store(folder)
         with store.open_output_stream(f"{root}/{image['image_name'].iloc[0]}") as out:
             out.write(png_bytes(image))
         return pd.DataFrame({"n": [1]})
