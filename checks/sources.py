@@ -6,6 +6,7 @@ from checks.base import Data, query
 from tintshelf.operators.learn import PairModel
 from tintshelf.operators.vectors import recall_sizes
 from tintshelf.operators import textindex as H
+from tintshelf.operators.numbering import checkpointed
 from tintshelf.session import new_folder as work_folder
 from tintshelf.sources import files as W
 from tintshelf.sources import records as R
@@ -76,7 +77,7 @@ def _(d):
 @query("text_index_round_trip", "SELECT token, df, image_name FROM postings JOIN token_idf USING (token)")
 def _(d):
     folder = work_folder(d.spark) + "/index"
-    postings = H.build_postings(d.docs())
+    postings = checkpointed(H.build_postings(d.docs()))  # read twice
     R.write_text_index(postings, H.token_idf(postings, d.table("documents").agg(F.count("*").alias("n"))), folder)
     read, idf = R.read_text_index(d.spark, folder)
     return read.join(idf, "token").select("token", "df", "image_name")
