@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql.functions import col, count_if, countDistinct, spark_partition_id
 
 from tintshelf.operators import blocks, ivf
 from tintshelf.operators.blocks import Keep, prepare_sides, similarity_join, within_code_join
@@ -89,3 +90,14 @@ def test_full_probe_writes_no_candidates(spark):
     assert "about" not in found._jdf.queryExecution().analyzed().toString()
     names = [f"i{i:05d}" for i in range(600)]
     assert {(r.query_id, r.key) for r in found.collect()} == {(i, n) for i, n, _ in _best(np.round(x[:40] @ x.T, 12), 5, names)}
+
+
+def test_every_block_has_a_task_of_its_own(spark, monkeypatch):
+    """Blocks that share a task would sort several copies of the catalog there while other tasks stand idle."""
+    monkeypatch.setattr(blocks, "LEAST_BLOCK", 32)
+    dealt, real = [], blocks._streamed
+    monkeypatch.setattr(blocks, "_streamed", lambda rows, *rest: dealt.append(rows) or real(rows, *rest))
+    q, c = _vectors(500, 1), _vectors(300, 2)
+    blocks._by_blocks(*prepare_sides(_frame(spark, q, "query_id", "bigint"), _frame(spark, c, "key", "string").coalesce(1)), Keep(k=3))
+    at = dealt[0].groupBy(spark_partition_id().alias("task")).agg(countDistinct("qc").alias("blocks"), count_if(col("side") == 1).alias("rows")).collect()
+    assert len(at) >= 7 and all(r.blocks == 1 and r.rows == 300 for r in at)
