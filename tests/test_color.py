@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tintshelf.functions import color as C
+from tintshelf.operators import colorboxes
 from tintshelf.operators.colorboxes import Shelf
 from tintshelf.operators.colorcards import nearest_colors
 
@@ -79,3 +80,13 @@ def test_pairs_per_reading_stay_level():
             shelf.closest(asked[part], 3)
         pairs.append(shelf.scored / len(asked))
     assert pairs[1] < 1.6 * pairs[0] and pairs[1] < 0.03 * 20_000
+
+
+def test_cards_beyond_reach_are_not_scored():
+    """Inside a box, and of cards of one colour, only what a bound without angles leaves is scored."""
+    r = np.random.default_rng(3)
+    asked, shelf = np.c_[r.uniform(0, 100, 2000), r.uniform(-80, 80, (2000, 2))], Shelf(r.normal(size=(20_000, 3)) * [20, 40, 40] + [50, 0, 0])
+    got = [shelf.closest(asked[part], 3) for part in shelf.chunks(asked)]
+    assert shelf.scored < 400 * len(asked) and sum(len(g[0]) for g in got) == 3 * len(asked)
+    x, y = (np.c_[r.uniform(0, 100, 200_000), r.uniform(-150, 150, (200_000, 2))] for _ in range(2))
+    assert (colorboxes.pair_bound(x, y) <= colorboxes.delta_e_2000(x, y) + 1e-9).all()

@@ -69,6 +69,22 @@ class Boxes:
         return np.sqrt((gap[..., 0] / s_l) ** 2 + ab2)
 
 
+def pair_bound(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The bound of ``Boxes`` for rows of two Lab arrays: a card is a box without size. No angle is taken."""
+    away = ((x[:, 0] + y[:, 0]) / 2 - 50) ** 2
+    light = (x[:, 0] - y[:, 0]) / (1 + 0.015 * away / np.sqrt(20 + away))
+
+    def weight(c):
+        cube = c * c * c
+        seventh = cube * cube * c
+        return np.sqrt(seventh / (seventh + 25.0**7))
+
+    c = (np.sqrt(x[:, 1] ** 2 + x[:, 2] ** 2) + np.sqrt(y[:, 1] ** 2 + y[:, 2] ** 2)) / 2
+    c = c * (1.5 - 0.5 * weight(c))
+    ab2 = ((x[:, 1] - y[:, 1]) ** 2 + (x[:, 2] - y[:, 2]) ** 2) * (1 - np.sin(np.radians(60)) * weight(c)) / (1 + 0.045 * c) ** 2
+    return np.sqrt(light * light + ab2)
+
+
 class Shelf:
     """Cards (rows of Lab, in the order that decides ties), cut into boxes that follow their number."""
 
@@ -103,12 +119,15 @@ class Shelf:
             part = part[np.argsort(asked[part, edge], kind="stable")]
             todo += [part[len(part) // 2 :], part[: len(part) // 2]]
 
-    def _score(self, asked: np.ndarray, row: np.ndarray, box: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, card, rounded distance) of all cards in the boxes."""
+    def _score(self, asked: np.ndarray, row: np.ndarray, box: np.ndarray, reach: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, card, rounded distance) of all cards in the boxes, but for those whose bound is beyond ``reach``."""
         size = self.start[box + 1] - self.start[box]
         row = np.repeat(row, size)
         place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.start[box], size)
         card = self.cards[place]
+        if reach is not None:
+            near = pair_bound(asked[row], self.lab[card]) <= reach[row] + 1e-6
+            row, card = row[near], card[near]
         self.scored += len(card)
         return row, card, np.round(delta_e_2000(asked[row], self.lab[card]), 6)
 
@@ -150,5 +169,5 @@ class Shelf:
         seen = np.zeros((m, len(self.boxes.n)), dtype=bool)
         seen[:, near] = home
         row, box = np.nonzero(pick & ~seen[:, within])
-        more = self._score(asked, row, within[box])
+        more = self._score(asked, row, within[box], reach)
         return self._best(*(np.concatenate([a, b]) for a, b in zip(found[:3], more, strict=True)), k)
