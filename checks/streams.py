@@ -2,6 +2,7 @@
 
 from dataclasses import fields
 
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from checks.base import Data, query
@@ -17,10 +18,16 @@ def _source(d: Data, name: str):
 
 
 def _finish(running, seconds: int = 300) -> None:
-    """Wait for a drained stream; one that does not end is an error, not a hang."""
-    if not running.awaitTermination(seconds):
-        running.stop()
-        raise TimeoutError("the stream did not finish")
+    """Wait for a drained stream, however long its tables make it; one in which no task and no batch ends for ``seconds`` is an
+    error, not a hang."""
+    tracker, last = SparkSession.active().sparkContext.statusTracker(), None
+    while not running.awaitTermination(seconds):
+        stages = [(i, s.numCompletedTasks) for i in sorted(tracker.getActiveStageIds()) if (s := tracker.getStageInfo(i))]
+        now = (p["batchId"] if (p := running.lastProgress) else None, stages)
+        if now == last:
+            running.stop()
+            raise TimeoutError("the stream did not finish")
+        last = now
 
 
 def _drain(stream, folder: str):

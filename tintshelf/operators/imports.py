@@ -119,9 +119,12 @@ def import_summary(prepared: DataFrame, manifest: DataFrame) -> DataFrame:
     return rows.agg(n["imported"].alias("imported"), (n["good"] - n["imported"]).alias("duplicates"), n["failed"].alias("failed"))
 
 
-def apply_manifest(catalog: Catalog, manifest: DataFrame) -> tuple[Catalog, DataFrame]:
-    """Nightly follow-up: sync the catalog with the imported images, then add the manifest's tags to their products."""
-    synced, stats = M.sync_catalog(manifest.select("image_name"), catalog)
+def apply_manifest(catalog: Catalog, manifest: DataFrame, small: bool = False) -> tuple[Catalog, DataFrame]:
+    """Nightly follow-up: sync the catalog with the imported images, then add the manifest's tags to their products.
+
+    ``small`` as in ``sync_catalog``.
+    """
+    synced, stats = M.sync_catalog(manifest.select("image_name"), catalog, small=small)
     return M.add_tag_rows(manifest.select("style_code", F.explode("tags").alias("tag")), synced), stats
 
 

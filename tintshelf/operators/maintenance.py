@@ -33,10 +33,11 @@ def _tags_seen(catalog: Catalog, product_tags: DataFrame) -> DataFrame:
     return catalog.tags.select("name").unionByName(product_tags.select(F.col("tag").alias("name"))).distinct()
 
 
-def sync_catalog(files: DataFrame, catalog: Catalog, now: Column | None = None) -> tuple[Catalog, DataFrame]:
+def sync_catalog(files: DataFrame, catalog: Catalog, now: Column | None = None, small: bool = False) -> tuple[Catalog, DataFrame]:
     """Take in image files(image_name): new products, images by name, covers of the touched products; plus counts.
 
     ``now`` is the time of creation and change that touched products get (the current time if none is given). Names starting ``MY-`` are user uploads and are left alone.
+    ``small``: the caller has counted the files and they fit into every task, so the catalog's images need no shuffle to meet them.
     """
     seen = files.filter(~F.startswith("image_name", F.lit("MY-"))).select(
         T.strip(T.style_code_catalog(F.col("image_name"))).alias("style_code"), "image_name",
@@ -44,7 +45,13 @@ def sync_catalog(files: DataFrame, catalog: Catalog, now: Column | None = None)
     ).filter("style_code <> ''").dropDuplicates(["image_name"])
     touched = seen.select("style_code").distinct()
     fresh = touched.join(catalog.products, "style_code", "left_anti")
-    images = catalog.images.join(seen, "image_name", "left_anti").select("style_code", "image_name", "sort_order").unionByName(seen)
+    names, codes = (F.broadcast(x) if small else x for x in (seen.select("image_name"), touched))
+
+    def merged(old: DataFrame) -> DataFrame:
+        return old.join(names, "image_name", "left_anti").select("style_code", "image_name", "sort_order").unionByName(seen)
+
+    images = merged(catalog.images)
+    of_touched = merged(catalog.images.join(codes, "style_code", "left_semi"))  # covers need no other images
     now = _time(now)
     new = fresh.select("style_code", F.lit("").alias("note"), now.alias("created_at"), now.alias("updated_at"))
     products = catalog.products.unionByName(new, allowMissingColumns=True)
@@ -55,7 +62,7 @@ def sync_catalog(files: DataFrame, catalog: Catalog, now: Column | None = None)
         F.count_if(F.col("kind") == "added").alias("products_added"),
         F.count_if(F.col("kind") == "image").alias("images_added_or_updated"),
     )
-    return replace(catalog, products=_with_covers(products, images, touched, now), images=images), stats
+    return replace(catalog, products=_with_covers(products, of_touched, touched, now), images=images), stats
 
 
 def upsert_products(requests: DataFrame, catalog: Catalog, now: Column | None = None) -> Catalog:

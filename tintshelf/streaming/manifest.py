@@ -23,6 +23,17 @@ CATALOG_TABLES = {
     "tags": ("name", "name string"),
 }
 
+#: Bytes of a batch's names and codes, with 64 for each row, up to which they go to every task; stored images then need no shuffle.
+SMALL_BATCH = 128_000_000
+
+
+def _stored(batch: DataFrame) -> tuple[DataFrame, int, bool]:
+    """The batch, read once and kept, its number of rows, and whether its names go to every task."""
+    manifest = checkpointed(batch.select("style_code", "image_name", "tags"))
+    size = [F.coalesce(F.octet_length(c), F.lit(0)) for c in ("style_code", "image_name")]
+    got = manifest.agg(F.count("*").alias("n"), F.sum(size[0] + size[1] + 64).alias("bytes")).first()
+    return manifest, got["n"], (got["bytes"] or 0) <= SMALL_BATCH
+
 
 def manifest_stream(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
     """New manifest files as they are appended."""
@@ -41,8 +52,9 @@ def stream_manifest(
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        if not batch.isEmpty():
-            store(apply_manifest(load(), batch)[0], batch_id)
+        manifest, rows, small = _stored(batch)
+        if rows:
+            store(apply_manifest(load(), manifest, small)[0], batch_id)
 
     return manifests.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
@@ -69,14 +81,16 @@ class CatalogStore:
         """
         if token is not None and self.rows.done(token):
             return False
-        manifest = checkpointed(manifest.select("style_code", "image_name", "tags"))
+        manifest, _, small = _stored(manifest)
         names = manifest.select("image_name").distinct()
+        names = F.broadcast(names) if small else names
         goes = manifest.select(F.explode(F.array(T.strip(T.style_code_catalog(F.col("image_name"))), "style_code")).alias("style_code"))
         holds = self.rows.read("images").select("style_code", "image_name").join(names, "image_name", "left_semi").select("style_code")
         buckets = self.rows.touched(goes.unionByName(holds))
         part = Catalog(**{t: self.rows.read(t, None if t == "tags" else buckets).drop("_file") for t in CATALOG_TABLES})
-        new = apply_manifest(part, manifest)[0]
-        changes = {t: (checkpointed(getattr(new, t)), buckets) for t in ("products", "images", "product_tags")}
+        new = apply_manifest(part, manifest, small)[0]
+        # old files stay as they are and each of these is read once, so nothing of them is stored in between
+        changes = {t: (getattr(new, t), buckets) for t in ("products", "images", "product_tags")}
         fresh = checkpointed(new.tags.select("name").distinct().join(part.tags, "name", "left_anti"))
         self.rows.replace({**changes, "tags": self.rows.merged("tags", fresh)}, token)
         return True
