@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tintshelf.session import new_folder
-from tintshelf.streaming.readings import AverageInOrder, average_readings, stream_average_readings
+from tintshelf.streaming.readings import AverageInGroups, AverageInOrder, average_readings, stream_average_readings
 
 SCHEMA = "reading_id bigint, device_id bigint, ts timestamp, l double, a double, b double"
 
@@ -126,3 +126,34 @@ def test_stream_equals_batch_over_triggers(spark):
     shown = lambda df: sorted(map(tuple, df.select(*names).collect()), key=str)
     got = shown(spark.read.parquet(f"{folder}/out"))
     assert got == shown(average_readings(all_rows)) and len(got) > 200
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_spans_of_many_devices_fold_as_sorted_runs(seed):
+    r = random.Random(seed)
+    n, width, idle = r.choice([1, 2, 3, 5]), r.choice([1_000, 1_500, 7_000, 60_000]), r.choice([None, 0, 900, 4_000, 50_000])
+    devices = [r.randrange(-(2**62), 2**62) for _ in range(r.choice([1, 2, 9]))]
+    rows = [(r.choice(devices), r.randrange(-20_000, 200_000) if r.random() < 0.9 else 5_000, i, r.random()) for i in range(r.choice([1, 2, 40, 300]))]
+    processor, handle = AverageInGroups(n, width, idle), _Handle()
+    processor.init(handle)
+    lateness, mark, newest, got = 30_000, -(10**9), -(10**9), []
+
+    def fire(upto):
+        while due := sorted(t for t in handle.timers if t <= upto):
+            handle.timers.discard(due[0])
+            for out in processor.handleExpiredTimer((7,), None, _At(due[0])):
+                got.extend(zip(out["device_id"], out["group_no"], out["us"], out["l"], strict=True))
+
+    order = sorted(rows, key=lambda x: x[1] + r.randrange(lateness))
+    while order:
+        batch, order = order[:50], order[50:]
+        frames = [pd.DataFrame([(d, us, i, v, v, v) for d, us, i, v in batch[k : k + 7]], columns=["device_id", "us", "reading_id", "l", "a", "b"]) for k in range(0, len(batch), 7)]
+        assert list(processor.handleInputRows((7,), iter(frames), None)) == []
+        newest = max(newest, *(us for _, us, _, _ in batch))
+        mark = max(mark, (newest - lateness) // 1000)
+        fire(mark)
+    fire(10**9)
+    want = {(d, g, us): v for d in devices for g, us, v in _plain([x[1:] for x in rows if x[0] == d], n, idle)}
+    assert {x[:3] for x in got} == set(want) and len(got) == len(want)
+    assert all(abs(v - want[d, g, us]) < 1e-12 for d, g, us, v in got)
+    assert not handle.maps["rows"] and not handle.maps["chunks"]

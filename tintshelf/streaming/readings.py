@@ -19,6 +19,10 @@ SAMPLES = 3
 MEANS = "device_id bigint, group_no bigint, us bigint, l double, a double, b double, sample_count int"
 ROWS = "us array<bigint>, reading_id array<bigint>, l array<double>, a array<double>, b array<double>"
 COLUMNS = {"us": "int64", "reading_id": "int64", "l": "float64", "a": "float64", "b": "float64"}
+#: A reading, and the number of a device's groups so far, as they lie in the state of a group of devices.
+READING, DONE = np.dtype([("device_id", "<i8"), *COLUMNS.items()]), np.dtype([("device_id", "<i8"), ("done", "<i8")])
+#: Groups of devices; each is one key of the state.
+GROUPS = 1024
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -69,12 +73,22 @@ class AverageInOrder(StatefulProcessor):
         """Milliseconds at which the span is over, rounded up."""
         return -(-(span + 1) * self.width // 1000)
 
+    def _packed(self, part: pd.DataFrame) -> tuple:
+        return tuple(part[c].tolist() for c in COLUMNS)
+
+    def _span(self, at: int) -> int:
+        """The span that is over at so many milliseconds, or the last one before."""
+        span = at * 1000 // self.width - 1
+        while self._end(span) > at:  # spans need not be whole milliseconds
+            span -= 1
+        return span
+
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         for frame in rows:
             for span, part in frame.groupby(frame["us"] // self.width):
                 known = self.chunks.getValue((int(span),))
                 n = known[0] if known else 0
-                self.rows.updateValue((int(span), n), tuple(part[c].tolist() for c in COLUMNS))
+                self.rows.updateValue((int(span), n), self._packed(part))
                 self.chunks.updateValue((int(span),), (n + 1,))
                 if n == 0:
                     self.handle.registerTimer(self._end(int(span)))
@@ -82,9 +96,7 @@ class AverageInOrder(StatefulProcessor):
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         at = expiredTimerInfo.getExpiryTimeInMs()
-        span = at * 1000 // self.width - 1
-        while self._end(span) > at:  # spans need not be whole milliseconds
-            span -= 1
+        span = self._span(at)
         known = self.chunks.getValue((span,)) if self._end(span) == at else None
         done, *held = self.open.get() or (0, [], [], [], [], [])
         if known:
@@ -126,8 +138,77 @@ class AverageInOrder(StatefulProcessor):
         return done + int(whole.sum()), [left[c].tolist() for c in COLUMNS], out
 
 
+class AverageInGroups(AverageInOrder):
+    """The same means where a key of the state is a group of devices: calls of the state store follow groups, not devices.
+
+    Frames have a ``device_id`` as well. A chunk is the bytes of its readings; a span of all devices of a group is folded at
+    once, each device behind its own unfinished group. So one frame or one span of one group is in memory.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows = handle.getMapState("rows", "span bigint, chunk int", "readings binary")
+        self.chunks = handle.getMapState("chunks", "span bigint", "n int")
+        self.open = handle.getValueState("open", "done binary, readings binary")
+
+    def _packed(self, part: pd.DataFrame) -> tuple:
+        out = np.empty(len(part), dtype=READING)
+        for c in READING.names:
+            out[c] = part[c].to_numpy()
+        return (out.tobytes(),)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        span = self._span(expiredTimerInfo.getExpiryTimeInMs())
+        known = self.chunks.getValue((span,))
+        if not known:
+            return
+        done, held = (np.frombuffer(bytes(x), t) for x, t in zip(self.open.get() or (b"", b""), (DONE, READING), strict=True))
+        parts = [np.frombuffer(bytes(self.rows.getValue((span, k))[0]), READING) for k in range(known[0])]
+        for k in range(known[0]):
+            self.rows.removeKey((span, k))
+        self.chunks.removeKey((span,))
+        done, held, out = self._fold_all(done, np.concatenate([held, *parts]), (span + 1) * self.width)
+        self.open.update((done.tobytes(), held.tobytes()))
+        if len(out):
+            yield out
+
+    def _fold_all(self, done: np.ndarray, rows: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, pd.DataFrame]:
+        """Groups done by device, what is left unfinished, and the means of all readings before ``end``."""
+        rows = rows[np.lexsort((rows["reading_id"], rows["us"], rows["device_id"]))]
+        device, us = rows["device_id"], rows["us"]
+        other = device[1:] != device[:-1]
+        # A long silence ends a run; its last, unfinished group is forgotten.
+        silent = np.diff(us) > (self.idle if self.idle is not None else np.iinfo(np.int64).max - 1)
+        run = np.r_[0, np.cumsum(other | silent)]
+        start = np.r_[0, np.flatnonzero(other | silent) + 1]
+        whole = np.diff(np.r_[start, len(rows)]) // self.n
+        nth = np.arange(len(rows)) - start[run]
+        full = nth < (whole * self.n)[run]
+        first = np.r_[0, np.flatnonzero(other) + 1]  # of each device
+        last = np.r_[first[1:], len(rows)] - 1
+        ids, mine = device[first], np.r_[0, np.cumsum(other)]
+        before = np.cumsum(whole) - whole
+        group = before[run] - before[run[first]][mine] + nth // self.n
+
+        known = np.union1d(done["device_id"], ids)
+        now = np.zeros(len(known), dtype=DONE)
+        now["device_id"] = known
+        now["done"][np.searchsorted(known, done["device_id"])] = done["done"]
+        at = np.searchsorted(known, ids)
+        group += now["done"][at][mine]
+        now["done"][at] += (before + whole)[run[last]] - before[run[first]]
+
+        keep = ~full & (run == run[last][mine])
+        if self.idle is not None:  # no reading that is still to come can follow these
+            keep &= us[last][mine] >= end - self.idle
+        ends = np.flatnonzero(full)[self.n - 1 :: self.n]
+        means = {c: rows[c][full].reshape(-1, self.n).mean(axis=1) for c in "lab"}
+        out = pd.DataFrame({"device_id": device[ends], "group_no": group[ends], "us": us[ends], **means, "sample_count": np.full(len(ends), self.n, dtype=np.int32)})
+        return now, rows[keep], out
+
+
 def stream_average_readings(
-    readings: DataFrame, n: int = SAMPLES, lateness: str = "1 hour", width: str = "10 minutes", idle: str | None = None
+    readings: DataFrame, n: int = SAMPLES, lateness: str = "1 hour", width: str = "10 minutes", idle: str | None = None, groups: int = GROUPS
 ) -> DataFrame:
     """Streaming twin of ``average_readings``: the same rows, whatever files and triggers the readings come in.
 
@@ -135,8 +216,8 @@ def stream_average_readings(
     once the watermark has passed the span of ``width`` its last reading lies in, so the newest readings wait for the stream to
     go on. Between readings of a device more than ``idle`` apart its unfinished group is forgotten (by default never).
     Readings without a time or a device are left out. State of a device: the readings of spans not over, and at most n - 1
-    others. A span costs about a dozen calls of the state store: ``width`` should hold some tens of readings of a usual
-    device, and at most what fits in memory of the busiest one.
+    others. Devices lie in ``groups``, a fixed number for the life of a stream's state; a span of a group costs about a dozen
+    calls of the state store, and its readings should fit in memory, also of the busiest device.
 
     State lies in RocksDB, which the session is told to use for streams started from now on.
     """
@@ -144,8 +225,9 @@ def stream_average_readings(
     live = valid_readings(readings).select(
         "device_id", F.col("ts").cast("timestamp").alias("ts"), "reading_id", *[F.col(c).cast("double").alias(c) for c in "lab"]
     ).filter("ts IS NOT NULL AND device_id IS NOT NULL").withWatermark("ts", lateness).withColumn("us", F.unix_micros("ts"))
-    processor = AverageInOrder(n, _micros(width), None if idle is None else _micros(idle))
-    means = live.groupBy("device_id").transformWithStateInPandas(processor, MEANS, "Append", "EventTime")
+    live = live.withColumn("device_group", F.pmod(F.xxhash64("device_id"), F.lit(groups)).cast("int"))
+    processor = AverageInGroups(n, _micros(width), None if idle is None else _micros(idle))
+    means = live.groupBy("device_group").transformWithStateInPandas(processor, MEANS, "Append", "EventTime")
     return means.select("device_id", "group_no", F.timestamp_micros("us").alias("ts"), *"lab", "sample_count")
 
 
