@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tintshelf.session import new_folder
+from tintshelf.streaming import readings
 from tintshelf.streaming.readings import AverageInGroups, AverageInOrder, average_readings, stream_average_readings
 
 SCHEMA = "reading_id bigint, device_id bigint, ts timestamp, l double, a double, b double"
@@ -157,3 +158,29 @@ def test_spans_of_many_devices_fold_as_sorted_runs(seed):
     assert {x[:3] for x in got} == set(want) and len(got) == len(want)
     assert all(abs(v - want[d, g, us]) < 1e-12 for d, g, us, v in got)
     assert not handle.maps["rows"] and not handle.maps["chunks"]
+
+
+def test_matching_folds_every_batch_once(spark, monkeypatch):
+    """A batch that is read twice folds the state twice, and tasks that want the same store at once fail."""
+    folder, seen = new_folder(spark), spark.sparkContext.accumulator(0)
+    rows = [(i, i % 7, pd.Timestamp("2024-03-01").to_pydatetime() + pd.Timedelta(seconds=i), float(i % 50), 1.0, 2.0) for i in range(210)]
+    closing = [(10_000, 99, pd.Timestamp("2024-03-05").to_pydatetime(), 0.0, 0.0, 0.0)]
+    for part in (rows, closing):
+        spark.createDataFrame(part, SCHEMA).repartition(2).write.mode("append").parquet(f"{folder}/in")
+
+    def counted(*args, **options):
+        means = stream_average_readings(*args, **options)
+
+        def count(frames):
+            for frame in frames:
+                seen.add(len(frame))
+                yield frame
+
+        return means.mapInPandas(count, means.schema)
+
+    monkeypatch.setattr(readings, "stream_average_readings", counted)
+    cards = spark.createDataFrame([("x", str(v), float(v), 0.0, 0.0) for v in range(50)], "library_id string, name string, l double, a double, b double")
+    live = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    q = readings.match_stream(live, cards, f"{folder}/out", f"{folder}/state", k=2, availableNow=True)
+    assert q.awaitTermination(240)
+    assert spark.read.parquet(f"{folder}/out").count() == 2 * 70 and seen.value == 70

@@ -13,7 +13,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from tintshelf.operators.colorcards import nearest_colors
-from tintshelf.operators.numbering import number_within
+from tintshelf.operators.numbering import checkpointed, number_within
 
 SAMPLES = 3
 MEANS = "device_id bigint, group_no bigint, us bigint, l double, a double, b double, sample_count int"
@@ -255,7 +255,8 @@ def match_stream(
     """Average a reading stream and append each mean's k nearest cards to the Parquet ``sink``."""
 
     def match(batch: DataFrame, batch_id: int) -> None:
-        named = batch.select(F.concat_ws("/", "device_id", "group_no").alias("reading_id"), "l", "a", "b")
+        # Means are written once: read again from the stream, they would fold the state again, and two tasks at once want one store.
+        named = checkpointed(batch.select(F.concat_ws("/", "device_id", "group_no").alias("reading_id"), "l", "a", "b"))
         # The batch number is the folder: a repeated batch replaces its own rows.
         nearest_colors(named, cards, k).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
