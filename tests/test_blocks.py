@@ -101,3 +101,17 @@ def test_every_block_has_a_task_of_its_own(spark, monkeypatch):
     blocks._by_blocks(*prepare_sides(_frame(spark, q, "query_id", "bigint"), _frame(spark, c, "key", "string").coalesce(1)), Keep(k=3))
     at = dealt[0].groupBy(spark_partition_id().alias("task")).agg(countDistinct("qc").alias("blocks"), count_if(col("side") == 1).alias("rows")).collect()
     assert len(at) >= 7 and all(r.blocks == 1 and r.rows == 300 for r in at)
+
+
+def test_full_probe_sends_each_row_once_to_a_block(spark, monkeypatch):
+    """Where all cells are probed, cells decide nothing: rows in three cells went to the blocks of each."""
+    x = np.random.default_rng(9).normal(size=(400, 16))
+    index = ivf.build_ivf(_frame(spark, x, "key", "string"), cells=6)
+    monkeypatch.setattr(blocks, "LEAST_BLOCK", 50)
+    monkeypatch.setattr(blocks, "_fits", lambda *_: False)
+    dealt, real = [], blocks._streamed
+    monkeypatch.setattr(blocks, "_streamed", lambda rows, *rest: dealt.append(rows) or real(rows, *rest))
+    found = ivf.search_ivf(_frame(spark, x, "query_id", "bigint"), index, 5, 6, rescore=10**6)
+    at = dealt[0].agg(countDistinct("cell", "qc").alias("blocks"), count_if(col("side") == 1).alias("rows")).first()
+    assert at["blocks"] == 8 and at["rows"] == 8 * 400
+    assert {(r.query_id, r.key) for r in found.collect()} == {(i, n) for i, n, _ in _best(np.round(x @ x.T, 12), 5, [f"i{i:05d}" for i in range(400)])}

@@ -145,3 +145,38 @@ def test_all_positives_by_default(spark):
     items = spark.createDataFrame([(f"p{i}", "big", [float(i), 1.0]) for i in range(120)] + [("solo", "s", [1.0, 1.0])], "image_name string, style_code string, clip array<double>")
     assert mine_positives(items).count() == 120 * 119 + 1
     assert mine_positives(items, per_image=5).count() == 120 * 5 + 1
+
+
+def test_index_search_shuffles_no_candidates(spark, monkeypatch):
+    """Blocks of queries meet codes and vectors; what they find does not depend on the blocks."""
+    r = np.random.default_rng(4)
+    x = r.normal(size=(900, 32))
+    x[600:] = x[:300]  # equal vectors
+    index = ivf.build_ivf(_vectors(spark, x), cells=30, parts=8)
+    index.codes.write.parquet(folder := f"{new_folder(spark)}/codes")
+    index = ivf.IvfIndex(index.centres, index.books, spark.read.parquet(folder), index.vectors)
+    # two views of every query but the first
+    rows = [(i, x[i].tolist()) for i in range(120)] + [(i, (x[i] + 0.3).tolist()) for i in range(1, 120)]
+    queries = spark.createDataFrame(rows, "query_id bigint, embedding array<double>")
+    one = ivf.search_ivf(queries, index, 5, 8, rescore=4, consensus=0.25)
+    assert "about" not in one._jdf.queryExecution().analyzed().toString()
+    monkeypatch.setattr("tintshelf.operators.blocks.LEAST_BLOCK", 10)
+    monkeypatch.setattr(ivf, "MAX_SHORT", 20 * 16)  # 16 queries a block
+    many = ivf.search_ivf(queries, index, 5, 8, rescore=4, consensus=0.25)
+    got = _rows(many, "query_id", "key", "score")
+    assert got == _rows(one, "query_id", "key", "score") and len(got) == 600
+    # the same by hand: candidates by the code of the nearest probed cell
+    where = {c: {} for c in range(30)}
+    for c in index.codes.collect():
+        where[c.cell][c.key] = (np.frombuffer(bytes(c.code), np.uint8), c.nearer)
+    for i in (0, 7, 119):
+        views = np.array([v for q, v in rows if q == i])
+        probed = {c for v in views for c in np.argsort(-(index.centres @ v), kind="stable")[:8]}
+        about = {key: (views @ (index.centres[c] + index.books[np.arange(8), code].ravel())).max() for c in probed for key, (code, nearer) in where[c].items() if not probed & set(nearer)}
+        cut = sorted(about.values())[-20]
+        best = []
+        for key in about:
+            if about[key] >= cut - 1e-9:
+                s = views @ x[int(key[1:6])]
+                best.append((-round(0.75 * s.max() + 0.25 * s.mean(), 12), key))
+        assert np.allclose(sorted(-s for q, _, s in got if q == i), [s for s, _ in sorted(best)[:5]])
