@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from tintshelf.operators import learn
 from tintshelf.operators.learn import train_reranker
 from tintshelf.operators.ranking import ivf_topk, pca_reduce
 from tintshelf.operators.vectors import topk_vectors
@@ -51,3 +52,21 @@ def test_reranker_separates(spark):
         pull = np.r_[np.full(10, 1e-4 * 600), 0]
         w += np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(pull), z.T @ (y - p) - pull * w)
     assert np.abs(scored.p.to_numpy() - 1 / (1 + np.exp(-z @ w))).max() < 0.05
+
+
+def test_pairs_of_a_code_are_counted_in_blocks(spark, monkeypatch):
+    """As many pairs as the square of a code's images: no row is made of them, and the figures are those of the rows."""
+    monkeypatch.setattr(learn, "CODE_ROWS", 20)
+    r = np.random.default_rng(3)
+    rows = [(f"i{i:03d}", "a" if i < 70 else "b" if i < 89 else "c", *[r.normal(size=w).tolist() for w in (4, 3, 2, 5)]) for i in range(90)]
+    items = spark.createDataFrame(rows, "image_name string, style_code string, clip array<double>, shape array<double>, color array<double>, stripe array<double>")
+    views = items.crossJoin(spark.range(2).selectExpr("cast(id as int) view"))
+    negatives = learn.mine_hard_negatives(items, 5)
+    model = learn.PairModel((1.5, 0.75, -0.25, 0.5, 0.125, 0.25, -0.5, 0.375, 0.625, -0.125), -0.5, tuple(np.linspace(-0.3, 0.4, 10)), tuple(np.linspace(0.2, 0.9, 10)))
+    with monkeypatch.context() as m:
+        m.delattr(learn, "_code_pairs")
+        got = learn.code_metrics(views, items, negatives, model, 1)
+    pairs = learn.training_pairs(views, items, None, negatives, 1)
+    assert got.collect() == learn.training_metrics(pairs, model).collect() and got.first()["samples"] == 2 * (70 * 69 + 19 * 18 + 1) + 90 * 5
+    none = learn.code_metrics(views.limit(0), items, negatives.limit(0), model).first()
+    assert tuple(none) == (0, None, None)
