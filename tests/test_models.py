@@ -70,3 +70,26 @@ def test_pairs_of_a_code_are_counted_in_blocks(spark, monkeypatch):
     assert got.collect() == learn.training_metrics(pairs, model).collect() and got.first()["samples"] == 2 * (70 * 69 + 19 * 18 + 1) + 90 * 5
     none = learn.code_metrics(views.limit(0), items, negatives.limit(0), model).first()
     assert tuple(none) == (0, None, None)
+
+
+def test_pairs_meet_vectors_in_blocks(spark, monkeypatch):
+    """Features of given pairs: vectors go out once a block, and a stored list is not made again."""
+    monkeypatch.setattr(learn, "LEAST_BLOCK", 7)
+    r = np.random.default_rng(6)
+    sizes = (4, 3, 2, 5)
+    rows = [(f"i{i:03d}", *[r.normal(size=w).tolist() for w in sizes]) for i in range(60)]
+    schema = "image_name string, clip array<double>, shape array<double>, color array<double>, stripe array<double>"
+    items = spark.createDataFrame([*rows, rows[3]], schema)  # one name twice
+    views = spark.createDataFrame([(n, v, *x) for n, *x in rows[:50] for v in range(3)], "image_name string, view int" + schema[17:])
+    pairs = sorted({(f"i{a:03d}", f"i{b:03d}") for a, b in r.integers(0, 70, (400, 2))} | {("i001", "i003"), (None, "i001")}, key=str)
+    of = spark.createDataFrame(pairs, "image_name string, partner string")
+    got = learn.training_pairs(views, items, of, of, 2, stored=True)
+    assert "Join" not in (plan := got._jdf.queryExecution().analyzed().toString()) and "MapInArrow" not in plan
+    vec = {n: [np.array(v) for v in x] for n, *x in rows}
+    want = []
+    for a, b in pairs:
+        if a in vec and a < "i050" and b in vec:
+            clip, shape, color, stripe = (x @ y for x, y in zip(vec[a], vec[b], strict=True))
+            f = [clip, clip, shape, color, stripe, clip - shape, shape - color, stripe - color, clip * stripe, shape * stripe]
+            want += [(label, *np.round(f, 9)) for label, n in ((1.0, 3), (0.0, 2)) for _ in range(n * (2 if b == "i003" else 1))]
+    assert sorted((x.label, *np.round(x.features, 9)) for x in got.collect()) == sorted(want) and len(want) > 500
