@@ -115,3 +115,31 @@ def test_full_probe_sends_each_row_once_to_a_block(spark, monkeypatch):
     at = dealt[0].agg(countDistinct("cell", "qc").alias("blocks"), count_if(col("side") == 1).alias("rows")).first()
     assert at["blocks"] == 8 and at["rows"] == 8 * 400
     assert {(r.query_id, r.key) for r in found.collect()} == {(i, n) for i, n, _ in _best(np.round(x @ x.T, 12), 5, [f"i{i:05d}" for i in range(400)])}
+
+
+def test_views_are_fused_without_reduceat_down_columns(monkeypatch):
+    """Queries of any number of views; the scores are those of reduceat, which took most of a tile's time."""
+    r = np.random.default_rng(2)
+    for counts in ([4] * 9, [1, 3, 2, 7, 1], [1], [1, 70, 2]):
+        q = object.__new__(blocks._Queries)
+        q.counts = np.array(counts)
+        q.starts = np.cumsum(q.counts) - q.counts
+        x = r.normal(size=(sum(counts), 11))
+        want = 0.7 * np.maximum.reduceat(x, q.starts, axis=0) + 0.3 * np.add.reduceat(x, q.starts, axis=0) / q.counts[:, None]
+        assert np.allclose(q.fuse(x, 0.3), want, atol=1e-14) and np.array_equal(q.fuse(x, 0.0), np.maximum.reduceat(x, q.starts, axis=0))
+    q.counts, q.starts, calls = np.full(128, 4), np.arange(128) * 4, []
+
+    class Counted:
+        def __init__(self, join):
+            self.join = join
+
+        def __call__(self, *args, **options):
+            return self.join(*args, **options)
+
+        def reduceat(self, *args, **options):
+            calls.append(args)
+            return self.join.reduceat(*args, **options)
+
+    monkeypatch.setattr(blocks.np, "maximum", Counted(np.maximum))
+    q.fuse(r.normal(size=(512, 64)), 0.2)
+    assert not calls
